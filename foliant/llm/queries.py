@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, warc
+from . import fingerprints, langid, mixing, packing, quality, sharding, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_packing": packing.op2_packing,
+    "op3_near_vectors": vectors.op3_near_vectors,
     "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_language_id": langid.op7_language_id,
+    "op9_quality": quality.op9_quality,
 }
-ORACLES = {"op1_warc": warc.ORACLE, "op4_mixing": mixing.ORACLE}
+ORACLES = {"op1_warc": warc.ORACLE, "op3_near_vectors": vectors.ORACLE, "op4_mixing": mixing.ORACLE}
