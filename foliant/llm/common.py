@@ -254,3 +254,33 @@ def running(df: DataFrame, group: list[str], order: list, value: str, name: str)
     for i, g in enumerate(group):
         on &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
     return parts.join(sums, on).select(*cols, (F.col("_local") + F.col("_off")).alias("before"))
+
+
+# ---------------------------------------------------------------- bounded tables for map sides
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the JVM drop shuffle files that no live plan needs; long jobs hold many otherwise."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+BITS_WORDS = 1 << 20
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """A one-hash Bloom filter of fixed size (8 MB) over the longs of the first column: what is
+    in it may be more than was put in, never less, so users only save work by it."""
+    h = F.col(hashes.columns[0])
+    words = hashes.select(F.pmod(h, F.lit(BITS_WORDS)).cast("int").alias("i"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{hashes.columns[0]}`, 20) & 63 as int))").alias("b"))
+    got = words.groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(BITS_WORDS, np.uint64)
+    out[got["i"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    u = h.astype(np.int64).view(np.uint64)
+    return (table[(u & np.uint64(BITS_WORDS - 1)).astype(np.int64)] >> (u >> np.uint64(20) & np.uint64(63))) & np.uint64(1) == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, mixing, packing, quality, sharding, vectors, warc
+from . import fingerprints, jaccard, langid, mixing, packing, quality, sharding, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_language_id": langid.op7_language_id,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op9_quality": quality.op9_quality,
 }
-ORACLES = {"op1_warc": warc.ORACLE, "op3_near_vectors": vectors.ORACLE, "op4_mixing": mixing.ORACLE}
+ORACLES = {"op1_warc": warc.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "op3_near_vectors": vectors.ORACLE, "op4_mixing": mixing.ORACLE}
