@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -284,3 +285,24 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
 def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     u = h.astype(np.int64).view(np.uint64)
     return (table[(u & np.uint64(BITS_WORDS - 1)).astype(np.int64)] >> (u >> np.uint64(20) & np.uint64(63))) & np.uint64(1) == 1
+
+
+def held_in(table: np.ndarray):
+    """A column function: may the hashed long be in the bit table?"""
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        return pd.Series(in_table(table, h.to_numpy()))
+
+    return held
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is not in the one column of ``ids``.  Rows that the bit table
+    clears stay in place; only the others are joined, so kept texts hardly move."""
+    ids = ids.select(F.col(ids.columns[0]).alias("_id"))
+    table = bit_table(ids.select(F.xxhash64("_id").alias("h")))
+    marked = docs.withColumn("_maybe", held_in(table)(F.xxhash64(key)))
+    clear = marked.filter(~F.col("_maybe")).drop("_maybe")
+    rest = marked.filter("_maybe").drop("_maybe").join(ids, F.col(key) == F.col("_id"), "left_anti")
+    return clear.unionByName(rest)

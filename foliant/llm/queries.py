@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, langid, mixing, packing, quality, sharding, vectors, warc
+from . import fingerprints, jaccard, langid, mixing, packing, quality, sharding, suffixes, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_language_id": langid.op7_language_id,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
 }
 ORACLES = {"op1_warc": warc.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "op3_near_vectors": vectors.ORACLE, "op4_mixing": mixing.ORACLE}
