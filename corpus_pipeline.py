@@ -23,9 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those in which no language stands out.  Texts stay
     in place: the prediction runs beside them and only rejects leave."""
     names, net = fit(docs)
-    rest = F.struct(*[F.col(c) for c in docs.columns])
-    out = predict(docs.select("text", rest.alias("row")), names, net)
-    return out.filter((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE)).select("row.*").select(*docs.columns)
+    plain = [F.col(c).alias(f"c{i}" if c != "text" else "text") for i, c in enumerate(docs.columns)]  # no name can clash
+    out = predict(docs.select(*plain), names, net, with_text=True)
+    out = out.filter((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE))
+    return out.select(*[F.col(f"c{i}" if c != "text" else "text").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

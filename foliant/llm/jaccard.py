@@ -3,9 +3,9 @@
 Sets are the distinct five-word shingles of whole texts, as 64-bit hashes.  Equal sets are one.
 The index holds, per shingle, the list of sets that have it in their prefix (rare shingles
 first), in blocks by size: sizes too far apart are skipped as blocks.  What a set is linked with
-is derived from sets already known to be like it: sets that share a min-hash are compared in
-bounded groups first, and in the lists a pair whose sets are connected already is passed over,
-so a list of copies costs nothing.  The pairs left are counted over all lists; counts that
+is derived from sets already known to be like it: sets of frequent shingles that share a
+min-hash are compared in groups of bounded blocks first, and in the lists a pair whose sets are connected already, or
+were compared, is passed over, so a list of copies costs nothing.  The pairs left are counted over all lists; counts that
 cannot reach the threshold are dropped, and the rest is verified on whole sets.
 The first step only saves work: links it misses are found in the lists, so components are exact.
 
@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_table, components, in_table, mix, partitions, shingle_hashes, small_batches, store, tidy, utf8
+from .common import bit_table, components, held_in, in_table, mix, partitions, shingle_hashes, small_batches, store, tidy, utf8
 
 PERCENT = 75
 HEAVY = 1 << 17  # shingles ranked by frequency in the prefix order; the rest counts as rare
 HEAVY_LOCAL = 8  # documents of one window of a task that make a shingle worth reporting
 WINDOW = 1 << 22  # shingles to a window
-KEYS = 3  # min-hashes by which like sets meet early
-GROUP = 128  # sets of a group compared early, about
+KEYS = 5  # min-hashes by which like sets meet early
+GROUP = 192  # sets of a block compared at once, about
 SALTS = 1 << 20  # slots of the table of group splits
 
 
@@ -70,15 +70,17 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.log2(np.maximum(top["n"].to_numpy(np.float64), 1))[order].astype(np.int64)
 
 
-def prefix(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a sorted set in the order (rank class, hash)."""
+def prefix(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The first shingles of a sorted set in the order (rank class, hash), and how many of them
+    are frequent."""
     p = reach(len(s))
     if len(heavy[0]):
         at = np.minimum(np.searchsorted(heavy[0], s), len(heavy[0]) - 1)
         rank = np.where(heavy[0][at] == s, heavy[1][at], 0)
         if rank.any():
-            return s[np.argsort(rank, kind="stable")[:p]]
-    return s[:p]
+            first = np.argsort(rank, kind="stable")[:p]
+            return s[first], int((rank[first] > 0).sum())
+    return s[:p], 0
 
 
 def minima(s: np.ndarray) -> list[int]:
@@ -86,27 +88,29 @@ def minima(s: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, heavy) -> DataFrame:
-    """doc_id, n, a 128-bit digest of the set, min-hashes, prefix."""
-    names = ["doc_id", "n", "s1", "s2", "keys", "prefix"]
+    """doc_id, n, a 128-bit digest of the set, frequent shingles of the prefix, min-hashes, prefix."""
+    names = ["doc_id", "n", "s1", "s2", "common", "keys", "prefix"]
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            ids, out = batch.column(0), [[], [], [], [], []]
+            ids, out = batch.column(0), [[], [], [], [], [], []]
             for _, s in sets(utf8(batch.column(1))):
                 d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 out[0].append(len(s))
                 out[1].append(int(d[0]))
                 out[2].append(int(d[1]))
                 out[3].append(minima(s) if len(s) else [])
-                out[4].append(prefix(s, heavy).view(np.int64))
+                first, common = prefix(s, heavy)
+                out[4].append(first.view(np.int64))
+                out[5].append(common)
             flat = pa.array(np.concatenate(out[4]) if out[4] else np.zeros(0, np.int64), pa.int64())
             ends = pa.array(np.cumsum([0] + [len(x) for x in out[4]]), pa.int32())
-            cols = [ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, flat)]
+            cols = [ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[5], pa.int64()), pa.array(out[3], pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, flat)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, common long, keys array<long>, prefix array<long>")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -120,15 +124,41 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def early_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links (a, b) inside groups of sets that share a min-hash, one spanning tree a group.
-    A min-hash of many sets is split by a hash of the set; a few of its sets go to all parts."""
-    keyed = reps.filter("n > 0").select("rep", F.posexplode("keys").alias("j", "key"))
+def overlaps(sets_: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over slices of the shared shingles."""
+    flat = np.concatenate(sets_)
+    row = np.repeat(np.arange(len(sets_)), [len(s) for s in sets_])
+    _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[col]
+    row, col = row[keep], number[col[keep]]
+    out = np.zeros((len(sets_), len(sets_)), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        a, b = np.searchsorted(col, [low, low + 4096])
+        m = np.zeros((len(sets_), 4096), np.float32)
+        m[row[a:b], col[a:b] - low] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def crowds_of(reps: DataFrame) -> DataFrame:
+    """(j, key, c): min-hashes of several sets."""
+    keyed = reps.select(F.posexplode("keys").alias("j", "key"))
+    return store(keyed.groupBy("j", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "jac-crowds")
+
+
+def early_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame) -> DataFrame:
+    """All links inside the groups of sets that share a min-hash, as a spanning tree a group:
+    afterwards a pair of one group needs no second look.  A group of many sets is compared block
+    against block, each pair of blocks a group of its own; only links leave it."""
     slot = F.pmod(F.xxhash64("j", "key"), F.lit(SALTS)).cast("int")
-    crowd = store(keyed.groupBy("j", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").withColumn("slot", slot), "jac-crowds")
     split = np.zeros(SALTS, np.uint8)
-    big = crowd.filter(F.col("c") > GROUP).groupBy("slot").agg(F.max(F.ceil(F.log2(F.col("c") / GROUP))).alias("e")).toPandas()
+    big = crowd.filter(F.col("c") > GROUP).groupBy(slot.alias("slot")).agg(F.max(F.ceil(F.log2(F.col("c") / GROUP))).alias("e")).toPandas()
     split[big["slot"].to_numpy(np.int64)] = big["e"].to_numpy(np.int64)
+    keyed = reps.select("rep", F.posexplode("keys").alias("j", "key"))
     wanted = bit_table(keyed.join(crowd.select("j", "key"), ["j", "key"]).select(F.xxhash64("rep").alias("h")).distinct())
     crowds = bit_table(crowd.select(F.xxhash64("j", "key").alias("h")))
     spark = docs.sparkSession
@@ -141,83 +171,97 @@ def early_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
             if not len(pick):
                 continue
             part = batch.take(pa.array(pick))
-            out = [[], [], [], []]
-            ids, hashes = part.column(0).to_pylist(), mix(h[pick].view(np.uint64))
+            j, key, doc, raw = [], [], [], []
+            ids = part.column(0).to_pylist()
             for i, s in sets(utf8(part.column(2))):
-                if not len(s):
-                    continue
-                for j, key in enumerate(minima(s)):
-                    out[0].append(j)
-                    out[1].append(key)
-                    out[2].append(ids[i])
-                    out[3].append((s, int(hashes[i])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array([x[1] & (2**62 - 1) for x in out[3]], pa.int64()), pa.array([x[0].tobytes() for x in out[3]], pa.binary())],
-                names=["j", "key", "doc", "luck", "s"],
-            )
-
-    rows = d.mapInArrow(emit, "j int, key long, doc long, luck long, s binary")
-    rows = rows.withColumn("slot", slot).withColumn("kh", F.xxhash64("j", "key"))
+                if len(s):
+                    j += range(KEYS)
+                    key += minima(s)
+                    doc += [ids[i]] * KEYS
+                    raw += [s.tobytes()] * KEYS
+            yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(raw, pa.binary())], names=["j", "key", "doc", "s"])
+
+    rows = d.mapInArrow(emit, "j int, key long, doc long, s binary")
+    rows = rows.filter(held_in(crowds)(F.xxhash64("j", "key"))).withColumn("slot", slot).withColumn("luck", F.xxhash64("doc"))
 
     def deal(batches):
-        """Drop sets alone with their min-hash; add the part of the group."""
+        """Add the pair of blocks; a set of a group of b blocks goes to b of them."""
         for batch in batches:
-            keep = np.flatnonzero(in_table(crowds, batch.column(6).to_numpy()))
-            if not len(keep):
-                continue
-            parts = np.int64(1) << split[batch.column(5).to_numpy()[keep]].astype(np.int64)
-            luck = batch.column(3).to_numpy()[keep]
-            own = luck % parts
-            everywhere = (luck >> 30) % (parts * (GROUP // 4)) == 0  # about four sets of a group
-            rows, salt = [], []
-            for k, (p, o, e) in enumerate(zip(parts.tolist(), own.tolist(), everywhere.tolist(), strict=True)):
-                for x in range(p) if e and p > 1 else (o,):
-                    rows.append(int(keep[k]))
-                    salt.append(x)
-            part = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(salt, pa.int64()), part.column(2), part.column(4)], names=["j", "key", "salt", "doc", "s"])
-
-    rows = rows.mapInArrow(deal, "j int, key long, salt long, doc long, s binary")
-    rows = rows.repartition(partitions(spark), "j", "key", "salt").sortWithinPartitions("j", "key", "salt", "doc")
-
-    def compare(batches):
-        now, docs_, sets_, root, out = None, [], [], [], []
+            blocks = (np.int64(1) << split[batch.column(4).to_numpy()].astype(np.int64)).tolist()
+            luck, row, low, high, own = batch.column(5).to_pylist(), [], [], [], []
+            for k, b in enumerate(blocks):
+                mine = luck[k] % b
+                for other in range(b):
+                    row.append(k)
+                    low.append(min(mine, other))
+                    high.append(max(mine, other))
+                    own.append(mine)
+            for a in range(0, len(row), 2000):
+                part = batch.take(pa.array(row[a : a + 2000]))
+                cols = [pa.array(x[a : a + 2000], pa.int32()) for x in (low, high, own)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols, part.column(2), part.column(3)], names=["j", "key", "low", "high", "own", "doc", "s"])
+
+    rows = rows.mapInArrow(deal, "j int, key long, low int, high int, own int, doc long, s binary")
+    rows = rows.repartition(partitions(spark), "j", "key", "low", "high").sortWithinPartitions("j", "key", "low", "high", "doc")
+
+    def group(low, high, rows):
+        own, docs_ = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        sets_ = [np.frombuffer(r[2], np.uint64) for r in rows]
+        n = np.array([len(s) for s in sets_])
+        both = overlaps(sets_)
+        x, y = np.nonzero(100 * both >= PERCENT * (n[:, None] + n[None, :] - both))
+        keep = (x < y) & (docs_[x] != docs_[y]) & ((own[x] != own[y]) if low != high else True)
+        root = list(range(len(rows)))
 
         def top(p):
             while root[p] != p:
                 root[p] = p = root[root[p]]
             return p
 
+        out = []
+        for p, q in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+            a, b = top(p), top(q)
+            if a != b:
+                root[b] = a
+                out.append((int(docs_[p]), int(docs_[q])))
+        return out
+
+    def compare(batches):
+        now, rows, out = None, [], []
         for batch in batches:
-            for j, key, salt, doc, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (j, key, salt) != now:
-                    now, docs_, sets_, root = (j, key, salt), [], [], []
-                s, x = np.frombuffer(raw, np.uint64), len(root)
-                root.append(x)
-                for y in range(x):
-                    if top(x) != top(y) and linked(sets_[y], s):
-                        if docs_[y] != doc:
-                            out.append((docs_[y], doc))
-                        root[top(x)] = top(y)
-                docs_.append(doc)
-                sets_.append(s)
+            for j, key, low, high, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (j, key, low, high) != now:
+                    if len(rows) > 1:
+                        out += group(now[2], now[3], rows)
+                    now, rows = (j, key, low, high), []
+                rows.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
                 out = []
+        if len(rows) > 1:
+            out = group(now[2], now[3], rows)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
     return store(rows.mapInArrow(compare, "a long, b long").distinct(), "jac-early")
 
 
 def list_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b, na, nb) once for every list that holds both, unless their sizes rule a link out or
-    they are connected already."""
+    """(a, b, na, nb) once for every list that holds both, unless their sizes rule a link out,
+    they are connected already, or a group has compared them.  ``known`` holds component and
+    min-hashes, eight bytes each, of sets that have company."""
     spark = postings.sparkSession
     rows = postings.repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "doc")
 
     def run(batches):
         carry = None
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            known = np.zeros((batch.num_rows, 1 + KEYS), np.int64)
+            known[:, 0] = cols[2]
+            has = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            if has.any():
+                known[has] = np.frombuffer(b"".join(batch.column(3).drop_null().to_pylist()), ">i8").reshape(-1, 1 + KEYS)
+            cols.append(known)
             if carry is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(carry, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -227,20 +271,21 @@ def list_pairs(postings: DataFrame) -> DataFrame:
             yield from lists(carry)
 
     def lists(cols):
-        token, n, doc, comp = cols
+        token, n, doc, known = cols
         if not len(token):
             return
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         ends = np.append(starts[1:], len(token))
         a, b, na, nb, held = [], [], [], [], 0
         for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            c = comp[s:e]
-            if (c == c[0]).all():
+            k = known[s:e]
+            if (k[:, 0] == k[0, 0]).all():
                 continue
             size, ids = n[s:e], doc[s:e]
             far = np.searchsorted(size, size * 100 // PERCENT, side="right")  # later ones are too large
             for i in range(e - s - 1):
-                other = np.flatnonzero(c[i + 1 : far[i]] != c[i]) + i + 1
+                rest = k[i + 1 : far[i]]
+                other = np.flatnonzero(~((rest == k[i]) & (k[i] != 0)).any(1) if k[i, 1:].any() else rest[:, 0] != k[i, 0]) + i + 1
                 if len(other):
                     a.append(np.full(len(other), ids[i]))
                     b.append(ids[other])
@@ -296,14 +341,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table = store(signatures(docs, heavy), "jac-sets-of")
     named = table.filter("doc_id is not null and n > 0")
     # a doc_id may come with several sets; each (doc_id, set) stands for its set's smallest doc_id
-    reps = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    reps = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("common").alias("common"))
     reps = store(reps, "jac-reps")
-    early = early_links(docs, reps.select("rep", "n", "keys"))
+    # long lists are those of frequent shingles, so only sets that reach them with their prefixes
+    # are compared early; the others meet in short lists
+    busy = reps.filter("common > 0").select("rep", "keys")
+    crowd = crowds_of(busy)
+    early = early_links(docs, busy, crowd)
     tidy(spark)
     known = components(early, "jac-cc1")
-    chosen = reps.select("s1", "s2", "rep").join(known, F.col("rep") == F.col("id"), "left").select(F.col("s1").alias("_a"), F.col("s2").alias("_b"), "rep", F.coalesce("component", "rep").alias("comp"))
-    lists = named.join(chosen, (F.col("s1") == F.col("_a")) & (F.col("s2") == F.col("_b")) & (F.col("doc_id") == F.col("rep")))
-    postings = lists.select(F.explode("prefix").alias("token"), "n", F.col("doc_id").alias("doc"), "comp")
+    # most sets are alone with all their min-hashes and stand for one document: their prefixes go
+    # to the lists as they are, and only the others meet what is known of them
+    crowds = held_in(bit_table(crowd.select(F.xxhash64("j", "key").alias("h"))))
+    byte8 = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
+    keys = [F.when((F.col("common") > 0) & crowds(F.xxhash64(F.lit(j), F.col("keys")[j])), F.col("keys")[j]).otherwise(F.lit(0).cast("long")) for j in range(KEYS)]
+    chosen = reps.join(known, F.col("rep") == F.col("id"), "left")
+    chosen = chosen.select(F.col("s1").alias("_a"), F.col("s2").alias("_b"), "rep", F.concat(byte8(F.coalesce("component", "rep")), *[byte8(k) for k in keys]).alias("known"))
+    social = reps.select(F.xxhash64("s1", "s2").alias("h"), "copies", "common")
+    social = social.filter("copies > 1 or common > 0").select("h")
+    marked = named.select("doc_id", "n", "s1", "s2", "prefix").withColumn("_met", held_in(bit_table(social))(F.xxhash64("s1", "s2")))
+    alone = marked.filter(~F.col("_met")).select(F.explode("prefix").alias("token"), "n", F.col("doc_id").alias("doc"), F.lit(None).cast("binary").alias("known"))
+    met = marked.filter("_met").join(chosen, (F.col("s1") == F.col("_a")) & (F.col("s2") == F.col("_b")) & (F.col("doc_id") == F.col("rep")))
+    met = met.select(F.explode("prefix").alias("token"), "n", F.col("doc_id").alias("doc"), "known")
+    postings = alone.unionByName(met)
     pairs = list_pairs(postings).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
     # of two sets, the one whose prefix ends first has all common shingles up to there in both
     # prefixes: the overlap is at most those counted and what is left behind its prefix

@@ -25,7 +25,8 @@ DOCS_A_LANGUAGE = 400  # training documents of each language, at most about
 WORDS_A_DOC = 120  # training words of each, spread over the whole text
 LANGUAGES = 200  # languages told apart, the most frequent first
 STEPS, BATCH, RATE = 300, 1024, 0.02
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000  # words whose sums a worker keeps
+WINDOW = 1 << 20  # bytes of text read at a time
 UND = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -212,10 +213,10 @@ class Reader:
         return out
 
 
-def predict(docs: DataFrame, names: list[str], net: Network | None) -> DataFrame:
-    """doc_id, lang_pred, score, and the text's key ``_row`` columns as given."""
-    small_batches(docs.sparkSession)
-    extra = [c for c in docs.columns if c != "text"]
+def predict(docs: DataFrame, names: list[str], net: Network | None, with_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` (text only if asked for), lang_pred and score."""
+    small_batches(docs.sparkSession, 500)
+    extra = [c for c in docs.columns if with_text or c != "text"]
     schema = docs.select(*extra, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     order = docs.columns
 
@@ -225,9 +226,9 @@ def predict(docs: DataFrame, names: list[str], net: Network | None) -> DataFrame
             texts = utf8(batch.column(order.index("text")))
             lang, score = [UND] * len(texts), np.zeros(len(texts))
             i = 0
-            while reader and i < len(texts):  # about 4 MB of text at a time
+            while reader and i < len(texts):
                 j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 22):
+                while j < len(texts) and (j == i or size + len(texts[j]) <= WINDOW):
                     size += len(texts[j])
                     j += 1
                 p = reader.read(texts[i:j])

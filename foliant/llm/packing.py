@@ -21,7 +21,8 @@ from .common import small_batches, utf8
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 POOL_TOKENS = 1 << 20  # ids that wait in a task for a window
-CACHE_WORDS = 600_000  # words whose ids a worker keeps
+CACHE_WORDS = 400_000  # words whose ids a worker keeps
+WINDOW = 1 << 20  # bytes of text read at a time
 STEP = 8  # sequences to a step group
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
@@ -174,7 +175,7 @@ class Pool:
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Pieces of all documents with their ids (little-endian unsigned 32-bit), place, context
     size and step group.  ``path``: a tokenizer file that all executors can open."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     top = TIERS[0]
 
     def run(batches):
@@ -186,9 +187,9 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = batch.column(0).to_pylist()
             texts = utf8(batch.column(1))
             i = 0
-            while i < len(texts):  # about 4 MB of text at a time
+            while i < len(texts):
                 j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 22):
+                while j < len(texts) and (j == i or size + len(texts[j]) <= WINDOW):
                     size += len(texts[j])
                     j += 1
                 for d, raw in zip(ids[i:j], words.encode(texts[i:j]), strict=True):

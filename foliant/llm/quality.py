@@ -163,7 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, docs_a_class: int = DOCS_A_CLASS) ->
         return float(next(iter(counts), 0.5))
     luck = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("y") == 1, min(1.0, docs_a_class / counts[1])).otherwise(min(1.0, docs_a_class / counts[0]))
-    rows = docs.select("doc_id", "text").join(known.filter(luck < rate), "doc_id").filter("text is not null")
+    # a bounded sample: about docs_a_class of each class, four times that at the very most
+    picked = known.filter(luck < rate).limit(4 * docs_a_class)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null")
 
     def pick(batches):
         """Of each text the bytes that training looks at, so that what is gathered is bounded."""

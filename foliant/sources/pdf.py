@@ -1,0 +1,421 @@
+"""Page files: a binary-file scan and a small reader of text, rules and images.
+
+Files are independent rows, so a corpus is read in parallel; limits are checked on length before
+content is parsed, and what cannot be read goes to an error table, never stopping the others.
+The reader covers plain and Flate streams, object streams, page trees, simple fonts with widths
+and ToUnicode maps, text and path operators, image and form objects.  It does not decrypt."""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Limits
+from ..functions import geometry, text
+from ..schema import RECT
+
+TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|[\[\]{}]|\((?:)|<[0-9A-Fa-f\s]*>|/[^\s<>\[\]{}()/%]*|[^\s<>\[\]{}()/%]+")
+LETTER = (612.0, 792.0)
+
+
+class Ref(int):
+    pass
+
+
+class Name(str):
+    pass
+
+
+class Op(str):
+    pass
+
+
+class PdfError(ValueError):
+    pass
+
+
+def _string(data: bytes, at: int) -> tuple[bytes, int]:
+    out, depth = bytearray(), 1
+    plain = {110: 10, 114: 13, 116: 9, 98: 8, 102: 12}
+    while at < len(data):
+        c = data[at]
+        at += 1
+        if c == 92 and at < len(data):
+            c = data[at]
+            at += 1
+            if 48 <= c <= 55:
+                n = 1
+                while n < 3 and at < len(data) and 48 <= data[at] <= 55:
+                    c = (c if n > 1 else c - 48) * 8 + data[at] - 48
+                    at, n = at + 1, n + 1
+                out.append((c if n > 1 else c - 48) & 255)
+            elif c not in (10, 13):
+                out.append(plain.get(c, c))
+            continue
+        depth += (c == 40) - (c == 41)
+        if not depth:
+            break
+        out.append(c)
+    return bytes(out), at
+
+
+def parse(data: bytes, at: int = 0, many: bool = False):
+    """One object and its end, or (``many``) all tokens of a content stream."""
+    stack: list[list] = [[]]
+    while True:
+        m = TOKEN.search(data, at)
+        if not m:
+            break
+        t, at = m[0], m.end()
+        if t[:1] == b"%":
+            continue
+        if t == b"(":
+            v, at = _string(data, at)
+        elif t in (b"<<", b"[", b"{"):
+            stack.append([])
+            continue
+        elif t in (b">>", b"]", b"}"):
+            if len(stack) < 2:
+                continue
+            items = stack.pop()
+            v = {str(k): x for k, x in zip(items[::2], items[1::2], strict=False)} if t == b">>" else items
+        elif t[:1] == b"<":
+            h = re.sub(rb"\s", b"", t[1:-1])
+            v = bytes.fromhex((h + b"0" * (len(h) % 2)).decode())
+        elif t[:1] == b"/":
+            v = Name(re.sub(r"#([0-9A-Fa-f]{2})", lambda x: chr(int(x[1], 16)), t[1:].decode("latin-1")))
+        elif re.fullmatch(rb"[+-]?(\d+\.?\d*|\.\d+)", t):
+            v = float(t) if b"." in t else int(t)
+        elif t == b"R" and len(stack[-1]) >= 2 and not many:
+            stack[-1].pop()
+            v = Ref(stack[-1].pop())
+        elif t in (b"true", b"false", b"null"):
+            v = {b"true": True, b"false": False, b"null": None}[t]
+        else:
+            v = Op(t.decode("latin-1"))
+            if v == "ID" and many:  # inline image: skip its data
+                end = re.compile(rb"[\s]EI(?=[\s]|$)").search(data, at)
+                at = end.end() if end else len(data)
+        stack[-1].append(v)
+        if not many and len(stack) == 1:
+            # a number may be the head of a reference
+            if isinstance(v, int) and not isinstance(v, (Ref, bool)):
+                r = re.compile(rb"\s+\d+\s+R(?![A-Za-z])").match(data, at)
+                if r:
+                    return Ref(v), r.end()
+            return v, at
+    return stack[0] if many else (None, at)
+
+
+class Document:
+    def __init__(self, data: bytes):
+        if b"%PDF" not in data[:1024]:
+            raise PdfError("no header")
+        self.data = data
+        self.at = {int(m[1]): m.end() for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data)}
+        self.cache: dict[int, object] = {}
+        if re.search(rb"/Encrypt\s", data):
+            raise PdfError("encrypted")
+        for n in list(self.at):
+            o = self.get(Ref(n))
+            if isinstance(o, tuple) and o[0].get("Type") == "ObjStm":
+                raw = self.stream(o)
+                head = parse(raw[: int(self.get(o[0]["First"]))], many=True)
+                for k, off in zip(head[::2], head[1::2], strict=False):
+                    if k not in self.at:
+                        self.cache[k] = parse(raw, int(self.get(o[0]["First"])) + off)[0]
+
+    def get(self, x):
+        """Resolve a reference: a value, or (dictionary, raw stream)."""
+        hops = 0
+        while isinstance(x, Ref) and hops < 50:
+            n, hops = int(x), hops + 1
+            if n not in self.cache:
+                self.cache[n] = None
+                if n in self.at:
+                    v, end = parse(self.data, self.at[n])
+                    if isinstance(v, dict) and (m := re.compile(rb"\s*stream\r?\n").match(self.data, end)):
+                        size = self.get(v.get("Length"))
+                        stop = m.end() + size if isinstance(size, int) and self.data[m.end() + size : m.end() + size + 20].lstrip()[:9] == b"endstream" else self.data.find(b"endstream", m.end())
+                        v = (v, self.data[m.end() : stop])
+                    self.cache[n] = v
+            x = self.cache[n]
+        return x
+
+    def dict(self, x) -> dict:
+        x = self.get(x)
+        return x if isinstance(x, dict) else x[0] if isinstance(x, tuple) else {}
+
+    def stream(self, x) -> bytes:
+        x = self.get(x)
+        if not isinstance(x, tuple):
+            return b""
+        d, raw = x
+        filters = self.get(d.get("Filter")) or []
+        for f in filters if isinstance(filters, list) else [filters]:
+            if f == "FlateDecode":
+                raw = zlib.decompressobj().decompress(raw)
+            elif f == "ASCIIHexDecode":
+                raw = bytes.fromhex(re.sub(rb"[\s>]", b"", raw).decode())
+            else:
+                return raw if d.get("Subtype") == "Image" else b""
+        return raw
+
+    def pages(self) -> list[dict]:
+        root = next((o for n in self.at if isinstance(o := self.get(Ref(n)), dict) and o.get("Type") == "Catalog"), None)
+        root = root or next((o for o in self.cache.values() if isinstance(o, dict) and o.get("Type") == "Catalog"), None)
+        if root is None:
+            raise PdfError("no catalog")
+        out: list[dict] = []
+
+        def walk(node, given: dict, seen: frozenset):
+            d = self.dict(node)
+            own = given | {k: d[k] for k in ("MediaBox", "Resources", "Rotate") if k in d}
+            if d.get("Type") == "Page" or "Kids" not in d:
+                out.append(own | d)
+                return
+            for kid in self.get(d["Kids"]) or []:
+                if not (isinstance(kid, Ref) and int(kid) in seen):
+                    walk(kid, own, seen | ({int(kid)} if isinstance(kid, Ref) else set()))
+
+        walk(root.get("Pages"), {}, frozenset())
+        return out
+
+    def media_box(self, page: dict) -> tuple[float, float, int] | None:
+        box = [self.get(x) for x in self.get(page.get("MediaBox")) or []]
+        if len(box) != 4:
+            return None
+        w, h = abs(box[2] - box[0]), abs(box[3] - box[1])
+        turn = int(self.get(page.get("Rotate")) or 0) % 360
+        if w <= 0 or h <= 0:
+            return None
+        return (float(h), float(w), turn) if turn in (90, 270) else (float(w), float(h), turn)
+
+
+class Font:
+    def __init__(self, doc: Document, ref):
+        d = doc.dict(ref)
+        self.name = str(doc.get(d.get("BaseFont")) or "Unknown").split("+")[-1]
+        self.wide = d.get("Subtype") == "Type0"
+        self.first = int(doc.get(d.get("FirstChar")) or 0)
+        self.widths = [doc.get(w) for w in doc.get(d.get("Widths")) or []]
+        desc = doc.dict(d.get("FontDescriptor"))
+        self.heavy = float(doc.get(desc.get("FontWeight")) or 0) >= 600 or bool(int(doc.get(desc.get("Flags")) or 0) & (1 << 18))
+        self.map: dict[int, str] = {}
+        if "ToUnicode" in d:
+            self._cmap(doc.stream(d["ToUnicode"]))
+
+    def _cmap(self, raw: bytes) -> None:
+        word = lambda b: b.decode("utf-16-be", "ignore")
+        code = lambda b: int.from_bytes(b, "big")
+        held: list = []
+        for t in parse(raw, many=True):
+            if t == "endbfchar":
+                for a, b in zip(held[::2], held[1::2], strict=False):
+                    self.map[code(a)] = word(b)
+            elif t == "endbfrange":
+                for a, b, c in zip(held[::3], held[1::3], held[2::3], strict=False):
+                    for k in range(min(code(b) - code(a) + 1, 65536)):
+                        self.map[code(a) + k] = word(c[k]) if isinstance(c, list) else word((code(c) + k).to_bytes(len(c), "big"))
+            if isinstance(t, Op):
+                held = []
+            else:
+                held.append(t)
+
+    def decode(self, raw: bytes) -> list[tuple[str, float]]:
+        """(text, width in em) of each code."""
+        codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)] if self.wide else list(raw)
+        out = []
+        for c in codes:
+            w = self.widths[c - self.first] if 0 <= c - self.first < len(self.widths) and isinstance(self.widths[c - self.first], (int, float)) else 500
+            out.append((self.map.get(c) or (chr(c) if self.wide else bytes([c]).decode("cp1252", "replace")), w / 1000))
+        return out
+
+
+def _mul(a, b):
+    return (
+        a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3],
+        a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5],
+    )
+
+
+def _at(m, x, y):
+    return m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]
+
+
+def _box(points) -> tuple[float, float, float, float]:
+    xs, ys = zip(*points, strict=True)
+    return min(xs), max(ys), max(xs), min(ys)
+
+
+def read_page(doc: Document, page: dict, content: bytes | None = None, resources=None, ctm=(1, 0, 0, 1, 0, 0), depth: int = 0) -> dict[str, list]:
+    """spans (text, font, size, bold, box), paths (box, width) and images (box, px) of a page."""
+    out: dict[str, list] = {"spans": [], "paths": [], "images": []}
+    res = doc.dict(resources if resources is not None else page.get("Resources"))
+    if content is None:
+        c = page.get("Contents")
+        parts = doc.get(c) if isinstance(doc.get(c), list) else [c]
+        content = b"\n".join(doc.stream(p) for p in parts)
+    fonts: dict[str, Font] = {}
+    state = {"m": ctm, "font": None, "size": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "lead": 0.0, "rise": 0.0, "line": 1.0}
+    saved, points, args = [], [], []
+    tm = tlm = (1, 0, 0, 1, 0, 0)
+
+    def show(raw):
+        nonlocal tm
+        f = state["font"]
+        if not f or not isinstance(raw, bytes):
+            return
+        full = _mul(tm, state["m"])
+        words, x = "", 0.0
+        for ch, w in f.decode(raw):
+            x += (w * state["size"] + state["char"] + (state["word"] if ch == " " else 0)) * state["scale"]
+            words += ch
+        size = abs(state["size"]) * (full[2] ** 2 + full[3] ** 2) ** 0.5
+        r, s = state["rise"], state["size"]
+        box = _box([_at(full, 0, r), _at(full, x, r), _at(full, 0, r + s), _at(full, x, r + s)])
+        out["spans"].append((words, f.name, size, f.heavy, *box))
+        tm = _mul((1, 0, 0, 1, x, 0), tm)
+
+    for t in parse(content, many=True):
+        if not isinstance(t, Op):
+            args.append(t)
+            continue
+        a, args = args, []
+        try:
+            if t == "q":
+                saved.append(dict(state))
+            elif t == "Q" and saved:
+                state = saved.pop()
+            elif t == "cm":
+                state["m"] = _mul(tuple(a[:6]), state["m"])
+            elif t == "w":
+                state["line"] = float(a[0])
+            elif t == "BT":
+                tm = tlm = (1, 0, 0, 1, 0, 0)
+            elif t == "Tf":
+                if a[0] not in fonts:
+                    fonts[a[0]] = Font(doc, doc.dict(res.get("Font")).get(str(a[0])))
+                state["font"], state["size"] = fonts[a[0]], float(a[1])
+            elif t in ("Tc", "Tw", "TL", "Ts"):
+                state[{"Tc": "char", "Tw": "word", "TL": "lead", "Ts": "rise"}[t]] = float(a[0])
+            elif t == "Tz":
+                state["scale"] = a[0] / 100
+            elif t in ("Td", "TD"):
+                if t == "TD":
+                    state["lead"] = -a[1]
+                tm = tlm = _mul((1, 0, 0, 1, a[0], a[1]), tlm)
+            elif t == "Tm":
+                tm = tlm = tuple(a[:6])
+            elif t == "T*":
+                tm = tlm = _mul((1, 0, 0, 1, 0, -state["lead"]), tlm)
+            elif t == "Tj":
+                show(a[0])
+            elif t in ("'", '"'):
+                if t == '"':
+                    state["word"], state["char"] = a[0], a[1]
+                tm = tlm = _mul((1, 0, 0, 1, 0, -state["lead"]), tlm)
+                show(a[-1])
+            elif t == "TJ":
+                for x in a[0]:
+                    if isinstance(x, bytes):
+                        show(x)
+                    else:
+                        tm = _mul((1, 0, 0, 1, -x / 1000 * state["size"] * state["scale"], 0), tm)
+            elif t in ("m", "l"):
+                points.append(_at(state["m"], a[0], a[1]))
+            elif t in ("c", "v", "y"):
+                points += [_at(state["m"], a[i], a[i + 1]) for i in range(0, len(a), 2)]
+            elif t == "re":
+                x, y, w, h = a[:4]
+                points += [_at(state["m"], *p) for p in ((x, y), (x + w, y), (x, y + h), (x + w, y + h))]
+            elif t in ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*"):
+                if points:
+                    out["paths"].append((*_box(points), state["line"]))
+                points = []
+            elif t == "n":
+                points = []
+            elif t == "Do":
+                x = doc.dict(res.get("XObject")).get(str(a[0]))
+                d = doc.dict(x)
+                if d.get("Subtype") == "Image":
+                    box = _box([_at(state["m"], *p) for p in ((0, 0), (1, 0), (0, 1), (1, 1))])
+                    if not (box[2] > box[0] and box[1] > box[3]):
+                        box = (0.0, 1.0, 1.0, 0.0)
+                    out["images"].append((*box, int(doc.get(d.get("Width")) or 0), int(doc.get(d.get("Height")) or 0), str(doc.get(d.get("Filter")) or "")))
+                elif d.get("Subtype") == "Form" and depth < 10:
+                    m = tuple(doc.get(d.get("Matrix")) or (1, 0, 0, 1, 0, 0))
+                    inner = read_page(doc, page, doc.stream(x), d.get("Resources", res), _mul(m, state["m"]), depth + 1)
+                    for k, v in inner.items():
+                        out[k] += v
+        except (IndexError, TypeError, KeyError, ZeroDivisionError):
+            continue  # a malformed operator is skipped
+    return out
+
+
+ROWS = f"doc_id long, paper_id string, kind string, page int, seq long, text string, font_name string, font_size double, is_bold boolean, {RECT}, a int, b int, detail string"
+
+
+def read_file(doc_id: int, path: str, data: bytes | None, limits: Limits) -> list[tuple]:
+    """Rows of one file: pages, spans, paths, images and errors."""
+    stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0] or "unknown"
+    row = lambda kind, page=None, seq=0, text_=None, font=None, size=None, bold=None, box=(None,) * 4, a=None, b=None, detail=None: (doc_id, stem, kind, page, seq, text_, font, size, bold, *box, a, b, detail)
+    if data is None:
+        return [row("error", detail="FileTooLarge")]
+    try:
+        doc = Document(data)
+        pages = doc.pages()
+        if len(pages) > limits.max_pages:
+            return [row("error", detail=f"TooManyPages: {len(pages)}")]
+    except Exception as e:
+        return [row("error", detail=f"ParseError: {type(e).__name__}")]
+    out = []
+    for k, page in enumerate(pages):
+        box = doc.media_box(page)
+        out.append(row("page", k, box=(0.0, box[1], box[0], 0.0) if box else (None,) * 4, a=box[2] if box else 0))
+        try:
+            got = read_page(doc, page)
+        except Exception as e:
+            out.append(row("error", k, detail=f"PageSkipped: {type(e).__name__}"))
+            continue
+        out += [row("span", k, i, s[0], s[1], float(s[2]), s[3], tuple(map(float, s[4:]))) for i, s in enumerate(got["spans"])]
+        out += [row("path", k, i, size=float(p[4]), box=tuple(map(float, p[:4]))) for i, p in enumerate(got["paths"])]
+        out += [row("image", k, i, box=tuple(map(float, p[:4])), a=p[4], b=p[5], detail=p[6]) for i, p in enumerate(got["images"])]
+    return out
+
+
+def rows_of(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """All rows of ``files`` (path, length, content); large files are refused unread."""
+    d = files.select(F.xxhash64("path").alias("doc_id"), "path", F.when(F.col("length") <= limits.max_bytes, F.col("content")).alias("content"))
+    names = [c.split()[0] for c in ROWS.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            for doc_id, path, data in zip(pdf["doc_id"], pdf["path"], pdf["content"], strict=True):
+                rows = read_file(doc_id, path, None if data is None else bytes(data), limits)
+                yield pd.DataFrame(rows, columns=names)
+
+    return d.mapInPandas(run, ROWS)
+
+
+def scan(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+
+def tables(rows: DataFrame, image_dir: str = "images") -> dict[str, DataFrame]:
+    """spans, paths, images, media, papers and errors from the rows of a scan."""
+    c, box = F.col, ["left", "top", "right", "bottom"]
+    spans = rows.filter("kind = 'span'").select("doc_id", F.col("seq").alias("span_seq"), "page", "text", "font_name", "font_size", "is_bold", text.is_italic_font(c("font_name")).alias("is_italic"), *box)
+    w, h = c("right") - c("left"), c("top") - c("bottom")
+    paths = rows.filter("kind = 'path'").filter(~F.isnan("left") & ~F.isnan("top") & ~F.isnan("right") & ~F.isnan("bottom") & (w >= 0) & (h >= 0))
+    paths = paths.select("doc_id", "page", *box, geometry.path_type(w, h).alias("path_type"), c("font_size").alias("line_width"))
+    name = F.format_string("%s/p%03d_img%03d.png", F.lit(image_dir), "page", F.col("seq"))
+    images = rows.filter("kind = 'image'").select("doc_id", (c("page").cast("long") * 10000 + c("seq")).alias("image_seq"), "page", name.alias("path"), *box, c("a").alias("width_px"), c("b").alias("height_px"), F.lit("png").alias("format"))
+    media = rows.filter("kind = 'page'").select("doc_id", "page", c("right").alias("width"), c("top").alias("height"))
+    papers = rows.groupBy("doc_id").agg(F.first("paper_id").alias("paper_id"), F.count(F.when(c("kind") == "page", 1)).alias("pages"))
+    errors = rows.filter("kind = 'error'").select("doc_id", "paper_id", "page", c("detail").alias("reason"))
+    return {"spans": spans, "paths": paths, "images": images, "media": media, "papers": papers, "errors": errors}
