@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import released, small_batches, utf8
 from .langid import held_out
 
 WIDTH, FILTERS = 6, 24
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_a_class: int = DOCS_A_CLASS) ->
                 cut.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary())], names=["doc_id", "y", "text"])
 
-    sample = rows.select("doc_id", "y", "text").mapInArrow(pick, "doc_id long, y int, text binary").toPandas()
+    sample = rows.select("doc_id", "y", "text").mapInArrow(released(pick), "doc_id long, y int, text binary").toPandas()
     sample = sample.sort_values(["doc_id", "text"], kind="stable")
     y = sample["y"].to_numpy(np.int64)
     if len(set(y.tolist())) < 2:
@@ -204,7 +204,7 @@ def score(docs: DataFrame, net: Filters | float) -> DataFrame:
             s = net.score(net.features(texts, tables)) if tables else np.full(len(texts), float(net))
             yield pa.RecordBatch.from_arrays([*[batch.column(order.index(c)) for c in extra], pa.array(s)], names=[*extra, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
