@@ -45,6 +45,27 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def released(run):
+    """``run`` for mapInArrow, giving memory back to the system when a partition is done: workers
+    are used again and again, and what their allocators keep would add up."""
+
+    def whole(batches):
+        import ctypes
+        import gc
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return whole
+
+
 # ---------------------------------------------------------------- words as hashes
 
 SEGMENT = 1 << 18  # bytes hashed at a time: 2 MB numpy columns, whatever the length of a text
@@ -247,7 +268,7 @@ def running(df: DataFrame, group: list[str], order: list, value: str, name: str)
 
     from pyspark.sql import Window
 
-    parts = store(dealt.mapInArrow(add, schema), name)
+    parts = store(dealt.mapInArrow(released(add), schema), name)
     sums = parts.groupBy("_pid", *group).agg(F.sum(value).alias("_sum"))
     over = Window.partitionBy(*([F.col(g) for g in group] or [F.lit(0)])).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("_pid").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_off"))

@@ -20,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_table, components, held_in, in_table, mix, partitions, shingle_hashes, small_batches, store, tidy, utf8
+from .common import bit_table, components, held_in, in_table, mix, partitions, released, shingle_hashes, small_batches, store, tidy, utf8
 
 PERCENT = 75
 HEAVY = 1 << 17  # shingles ranked by frequency in the prefix order; the rest counts as rare
-HEAVY_LOCAL = 8  # documents of one window of a task that make a shingle worth reporting
+HEAVY_LOCAL = 2  # documents of one window of a task that make a shingle worth reporting
+HEAVY_LEAST = 16  # documents, as reported, that make a shingle frequent
 WINDOW = 1 << 22  # shingles to a window
 KEYS = 5  # min-hashes by which like sets meet early
 GROUP = 192  # sets of a block compared at once, about
-SALTS = 1 << 20  # slots of the table of group splits
+SALTS = 1 << 20  # slots of the table of group splits; slots are low bits of min-hashes
 
 
 def sets(texts: list[bytes]):
@@ -63,27 +64,38 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield report()
 
-    found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()
+    found = docs.select("text").mapInArrow(released(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = found.filter(F.col("n") >= HEAVY_LEAST).orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.log2(np.maximum(top["n"].to_numpy(np.float64), 1))[order].astype(np.int64)
 
 
-def prefix(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+def ranks(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Rank classes of the shingles of a sorted set; 0: rare."""
+    if not len(heavy[0]):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(heavy[0], s), len(heavy[0]) - 1)
+    return np.where(heavy[0][at] == s, heavy[1][at], 0)
+
+
+def prefix(s: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
     """The first shingles of a sorted set in the order (rank class, hash), and how many of them
     are frequent."""
     p = reach(len(s))
-    if len(heavy[0]):
-        at = np.minimum(np.searchsorted(heavy[0], s), len(heavy[0]) - 1)
-        rank = np.where(heavy[0][at] == s, heavy[1][at], 0)
-        if rank.any():
-            first = np.argsort(rank, kind="stable")[:p]
-            return s[first], int((rank[first] > 0).sum())
-    return s[:p], 0
-
-
-def minima(s: np.ndarray) -> list[int]:
+    if not rank.any():
+        return s[:p], 0
+    first = np.argsort(rank, kind="stable")[:p]
+    return s[first], int((rank[first] > 0).sum())
+
+
+def minima(s: np.ndarray, rank: np.ndarray) -> list[int]:
+    """Min-hashes of the frequent shingles of about the rank that most of them have: near copies
+    share that, and a line that is common everywhere does not decide."""
+    some = rank[rank > 0]
+    if not len(some):
+        return []
+    s = s[(rank > 0) & (np.abs(rank - np.bincount(some).argmax()) <= 1)]
     return [int(mix(s ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))).min().view(np.int64)) for k in range(KEYS)]
 
 
@@ -101,8 +113,9 @@ def signatures(docs: DataFrame, heavy) -> DataFrame:
                 out[0].append(len(s))
                 out[1].append(int(d[0]))
                 out[2].append(int(d[1]))
-                out[3].append(minima(s) if len(s) else [])
-                first, common = prefix(s, heavy)
+                rank = ranks(s, heavy)
+                out[3].append(minima(s, rank))
+                first, common = prefix(s, rank)
                 out[4].append(first.view(np.int64))
                 out[5].append(common)
             flat = pa.array(np.concatenate(out[4]) if out[4] else np.zeros(0, np.int64), pa.int64())
@@ -110,7 +123,7 @@ def signatures(docs: DataFrame, heavy) -> DataFrame:
             cols = [ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[5], pa.int64()), pa.array(out[3], pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, flat)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, common long, keys array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n long, s1 long, s2 long, common long, keys array<long>, prefix array<long>")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -150,58 +163,52 @@ def crowds_of(reps: DataFrame) -> DataFrame:
     return store(keyed.groupBy("j", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "jac-crowds")
 
 
-def early_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame) -> DataFrame:
+def early_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame, heavy) -> DataFrame:
     """All links inside the groups of sets that share a min-hash, as a spanning tree a group:
     afterwards a pair of one group needs no second look.  A group of many sets is compared block
     against block, each pair of blocks a group of its own; only links leave it."""
-    slot = F.pmod(F.xxhash64("j", "key"), F.lit(SALTS)).cast("int")
     split = np.zeros(SALTS, np.uint8)
-    big = crowd.filter(F.col("c") > GROUP).groupBy(slot.alias("slot")).agg(F.max(F.ceil(F.log2(F.col("c") / GROUP))).alias("e")).toPandas()
+    big = crowd.filter(F.col("c") > GROUP).groupBy(F.pmod("key", F.lit(SALTS)).cast("int").alias("slot")).agg(F.max(F.ceil(F.log2(F.col("c") / GROUP))).alias("e")).toPandas()
     split[big["slot"].to_numpy(np.int64)] = big["e"].to_numpy(np.int64)
     keyed = reps.select("rep", F.posexplode("keys").alias("j", "key"))
     wanted = bit_table(keyed.join(crowd.select("j", "key"), ["j", "key"]).select(F.xxhash64("rep").alias("h")).distinct())
-    crowds = bit_table(crowd.select(F.xxhash64("j", "key").alias("h")))
+    crowds = bit_table(crowd.select("key"))
     spark = docs.sparkSession
     d = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").filter("doc_id is not null")
+    names = ["j", "key", "low", "high", "own", "doc", "s"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
     def emit(batches):
+        """Sets that have company, once for each block that theirs is compared with; of a group of b
+        blocks, b times."""
         for batch in batches:
             h = batch.column(1).to_numpy()
             pick = np.flatnonzero(in_table(wanted, h))
             if not len(pick):
                 continue
             part = batch.take(pa.array(pick))
-            j, key, doc, raw = [], [], [], []
-            ids = part.column(0).to_pylist()
+            ids, luck, out, size = part.column(0).to_pylist(), mix(h[pick].view(np.uint64)).tolist(), [], 0
             for i, s in sets(utf8(part.column(2))):
-                if len(s):
-                    j += range(KEYS)
-                    key += minima(s)
-                    doc += [ids[i]] * KEYS
-                    raw += [s.tobytes()] * KEYS
-            yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(raw, pa.binary())], names=["j", "key", "doc", "s"])
-
-    rows = d.mapInArrow(emit, "j int, key long, doc long, s binary")
-    rows = rows.filter(held_in(crowds)(F.xxhash64("j", "key"))).withColumn("slot", slot).withColumn("luck", F.xxhash64("doc"))
-
-    def deal(batches):
-        """Add the pair of blocks; a set of a group of b blocks goes to b of them."""
-        for batch in batches:
-            blocks = (np.int64(1) << split[batch.column(4).to_numpy()].astype(np.int64)).tolist()
-            luck, row, low, high, own = batch.column(5).to_pylist(), [], [], [], []
-            for k, b in enumerate(blocks):
-                mine = luck[k] % b
-                for other in range(b):
-                    row.append(k)
-                    low.append(min(mine, other))
-                    high.append(max(mine, other))
-                    own.append(mine)
-            for a in range(0, len(row), 2000):
-                part = batch.take(pa.array(row[a : a + 2000]))
-                cols = [pa.array(x[a : a + 2000], pa.int32()) for x in (low, high, own)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols, part.column(2), part.column(3)], names=["j", "key", "low", "high", "own", "doc", "s"])
-
-    rows = rows.mapInArrow(deal, "j int, key long, low int, high int, own int, doc long, s binary")
+                keys = np.array(minima(s, ranks(s, heavy)), np.int64)
+                for j in np.flatnonzero(in_table(crowds, keys)).tolist():
+                    key = int(keys[j])
+                    blocks = 1 << int(split[key & (SALTS - 1)])
+                    mine = luck[i] % blocks
+                    for other in range(blocks):
+                        out.append((j, key, min(mine, other), max(mine, other), mine, ids[i], s))
+                        size += s.nbytes
+                if size > 1 << 23:
+                    yield rows_of(out)
+                    out, size = [], 0
+            if out:
+                yield rows_of(out)
+
+    def rows_of(out):
+        cols = list(zip(*out, strict=True))
+        cols[6] = [s.tobytes() for s in cols[6]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    rows = d.mapInArrow(released(emit), "j int, key long, low int, high int, own int, doc long, s binary")
     rows = rows.repartition(partitions(spark), "j", "key", "low", "high").sortWithinPartitions("j", "key", "low", "high", "doc")
 
     def group(low, high, rows):
@@ -242,7 +249,7 @@ def early_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame) -> DataFrame
             out = group(now[2], now[3], rows)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    return store(rows.mapInArrow(compare, "a long, b long").distinct(), "jac-early")
+    return store(rows.mapInArrow(released(compare), "a long, b long").distinct(), "jac-early")
 
 
 def list_pairs(postings: DataFrame) -> DataFrame:
@@ -301,7 +308,7 @@ def list_pairs(postings: DataFrame) -> DataFrame:
     def batch_of(*cols):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["a", "b", "na", "nb"])
 
-    return rows.mapInArrow(run, "a long, b long, na long, nb long")
+    return rows.mapInArrow(released(run), "a long, b long, na long, nb long")
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -318,7 +325,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 out = [s.tobytes() for _, s in sets(utf8(part.column(2)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["doc", "s"])
 
-    found = d.mapInArrow(emit, "doc long, s binary").join(ends, "doc", "left_semi").distinct()
+    found = d.mapInArrow(released(emit), "doc long, s binary").join(ends, "doc", "left_semi").distinct()
     found = store(found, "jac-sets")
     both = pairs.select("a", "b").join(found.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
 
@@ -329,7 +336,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             part = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
 
-    return store(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct(), "jac-late")
+    return store(both.select("a", "b", "sa", "sb").mapInArrow(released(check), "a long, b long").distinct(), "jac-late")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -347,14 +354,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # are compared early; the others meet in short lists
     busy = reps.filter("common > 0").select("rep", "keys")
     crowd = crowds_of(busy)
-    early = early_links(docs, busy, crowd)
+    early = early_links(docs, busy, crowd, heavy)
     tidy(spark)
     known = components(early, "jac-cc1")
     # most sets are alone with all their min-hashes and stand for one document: their prefixes go
     # to the lists as they are, and only the others meet what is known of them
-    crowds = held_in(bit_table(crowd.select(F.xxhash64("j", "key").alias("h"))))
+    crowds = held_in(bit_table(crowd.select("key")))
     byte8 = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
-    keys = [F.when((F.col("common") > 0) & crowds(F.xxhash64(F.lit(j), F.col("keys")[j])), F.col("keys")[j]).otherwise(F.lit(0).cast("long")) for j in range(KEYS)]
+    keys = [F.when((F.col("common") > 0) & crowds(F.coalesce(F.get("keys", F.lit(j)), F.lit(0).cast("long"))), F.get("keys", F.lit(j))).otherwise(F.lit(0).cast("long")) for j in range(KEYS)]
     chosen = reps.join(known, F.col("rep") == F.col("id"), "left")
     chosen = chosen.select(F.col("s1").alias("_a"), F.col("s2").alias("_b"), "rep", F.concat(byte8(F.coalesce("component", "rep")), *[byte8(k) for k in keys]).alias("known"))
     social = reps.select(F.xxhash64("s1", "s2").alias("h"), "copies", "common")
