@@ -132,7 +132,7 @@ def assign(line_rows: DataFrame, regions: DataFrame) -> DataFrame:
     first = F.when(cx < 0.0, -cx).when(cx >= F.col("_r.split"), cx - F.col("_r.split")).otherwise(0.0)
     second = F.when(cx < F.col("_r.split"), F.col("_r.split") - cx).when(cx >= F.col("_r.width"), cx - F.col("_r.width")).otherwise(0.0)
     column = F.when(F.col("_r.split").isNotNull() & (second < first), 1).otherwise(0)
-    return joined.select(*line_rows.columns, F.coalesce("_r.region", F.lit(0)).alias("region"), column.alias("column_index"))
+    return joined.select(*line_rows.columns, F.coalesce("_r.region", F.lit(0)).alias("region"), column.alias("column_index"), F.col("_r.width").alias("page_width"))
 
 
 def blocks(assigned: DataFrame, gap_multiplier: float = 1.8, size_step: float = 1.0) -> DataFrame:
@@ -144,7 +144,7 @@ def blocks(assigned: DataFrame, gap_multiplier: float = 1.8, size_step: float =
     rows = rows.withColumn("_run", F.sum("_new").over(slot.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_at", F.row_number().over(slot))
     line = F.struct(*[F.col(c) for c in ("_at", "line_seq", "text", "left", "top", "right", "bottom", "font_size", "is_bold", *(["spans"] if "spans" in assigned.columns else []))])
-    g = rows.groupBy(*PAGE, "region", "column_index", "_run").agg(F.array_sort(F.collect_list(line)).alias("lines"), *union_of())
+    g = rows.groupBy(*PAGE, "region", "column_index", "_run").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.first("page_width").alias("page_width"), *union_of())
     ids = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "region", "column_index", "_run")) - 1
     return g.select(
         "doc_id",
@@ -160,21 +160,17 @@ def blocks(assigned: DataFrame, gap_multiplier: float = 1.8, size_step: float =
         F.size("lines").alias("n_lines"),
         F.col("lines")[0].font_size.alias("font_size"),
         F.col("lines")[0].is_bold.alias("is_bold"),
+        "page_width",
         "lines",
     )
 
 
-def reading_order(block_rows: DataFrame, dims: DataFrame | None = None, mode: str = "top") -> DataFrame:
+def reading_order(block_rows: DataFrame, mode: str = "top") -> DataFrame:
     """``reading_seq``: page, height, full width first, column, left, id.  ``mode="column"`` reads
-    region by region and column by column instead."""
-    rows = block_rows
-    if dims is None:
-        rows = rows.withColumn("_w", F.lit(612.0))
-    else:
-        rows = rows.join(dims.select(*PAGE, F.col("width").alias("_w")), PAGE, "left").withColumn("_w", F.coalesce("_w", F.lit(612.0)))
-    full = (F.col("right") - F.col("left")) >= F.col("_w") * 0.6
+    region by region and column by column instead.  A page without a width counts as Letter."""
+    full = (F.col("right") - F.col("left")) >= F.coalesce("page_width", F.lit(612.0)) * 0.6
     keys = [F.desc("top"), F.when(full, 0).otherwise(1), F.when(full, 0).otherwise(F.col("column_index")), F.col("left"), F.col("global_index")]
     if mode == "column":
         keys = [F.col("region"), F.col("column_index"), *keys]
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", *keys)) - 1
-    return rows.withColumn("reading_seq", seq.cast("long")).drop("_w")
+    return block_rows.withColumn("reading_seq", seq.cast("long"))

@@ -20,9 +20,17 @@ def body_font(block_rows: DataFrame, bin_width: float = 0.5) -> DataFrame:
     return bins.groupBy("doc_id").agg((F.coalesce(best, F.lit(round(10 / bin_width))) * bin_width).alias("body_size"))
 
 
-def classify(block_rows: DataFrame, body: DataFrame, caption_max_chars: int = 240, running_max_chars: int = 60) -> DataFrame:
+def with_body_font(block_rows: DataFrame, bin_width: float = 0.5) -> DataFrame:
+    """Blocks with their document's body size: ``body_font`` as windows, so blocks are not read twice."""
+    bin_ = F.when(F.col("font_size") > 0, F.round(F.col("font_size") / bin_width).cast("long"))
+    rows = block_rows.withColumn("_bin", bin_).withColumn("_n", F.sum(F.octet_length("text")).over(Window.partitionBy("doc_id", "_bin")))
+    best = F.max(F.when(F.col("_bin").isNotNull(), F.struct(F.col("_n").alias("n"), (-F.col("_bin")).alias("b")))).over(Window.partitionBy("doc_id"))
+    return rows.withColumn("body_size", F.coalesce(-best.b, F.lit(round(10 / bin_width))) * bin_width).drop("_bin", "_n")
+
+
+def classify(block_rows: DataFrame, caption_max_chars: int = 240, running_max_chars: int = 60) -> DataFrame:
     t = T.trim(F.col("text"))
-    rows = block_rows.join(body, "doc_id", "left").withColumn("body_size", F.coalesce("body_size", F.lit(10.0)))
+    rows = with_body_font(block_rows)
     ratio = F.when(F.col("body_size") > 0, F.col("font_size") / F.col("body_size")).otherwise(1.0)
     known = F.lit(False)
     for name in ENGLISH_SECTION_NAMES:
@@ -48,56 +56,53 @@ def repeated_running(typed: DataFrame, zone: float = 0.1, pages: int = 3) -> Dat
     rows = typed.withColumn("_h", high).withColumn("_text", F.lower(T.trim(F.col("text"))))
     free = (F.col("block_type") != "PageNumber") & (F.col("_h") > 0) & (F.col("_text") != "")
     head, foot = F.col("bottom") >= F.col("_h") - F.col("_h") * zone, F.col("top") <= F.col("_h") * zone
-    placed = rows.withColumn("_zone", F.when(free & head, "head").when(free & foot, "foot"))
-    often = placed.filter("_zone is not null").groupBy("doc_id", "_text", "_zone").agg(F.countDistinct("page").alias("_n")).filter(F.col("_n") >= pages)
-    for kind in ("head", "foot"):
-        some = often.filter(F.col("_zone") == kind).select("doc_id", "_text", F.lit(True).alias(f"_{kind}"))
-        placed = placed.join(some, ["doc_id", "_text"], "left")
+    rows = rows.withColumn("_zone", F.when(free & head, "head").when(free & foot, "foot"))
+    same = Window.partitionBy("doc_id", "_text")
+    often = lambda z: F.size(F.collect_set(F.when(F.col("_zone") == z, F.col("page"))).over(same)) >= pages
+    rows = rows.withColumn("_head", often("head")).withColumn("_foot", often("foot"))
     new = F.when(free & head & F.col("_head"), "RunningHeader").when(free & foot & F.col("_foot"), "RunningFooter").otherwise(F.col("block_type"))
-    return placed.withColumn("reclassified", new != F.col("block_type")).withColumn("block_type", new).drop("_h", "_text", "_zone", "_head", "_foot")
+    return rows.withColumn("reclassified", new != F.col("block_type")).withColumn("block_type", new).drop("_h", "_text", "_zone", "_head", "_foot")
 
 
-def headers(typed: DataFrame, cfg: HeaderConfig = HeaderConfig()) -> DataFrame:
-    """Blocks that score as headers, with level, numbering and clean text."""
-    rows = typed.filter(~F.col("block_type").isin(*NO_HEADER)) if cfg.respect_classification else typed
-    t = T.trim(F.col("text"))
-    rows = rows.withColumn("_t", t).filter((F.length("_t") <= cfg.max_chars) & (F.col("n_lines") <= cfg.max_lines) & ~F.col("_t").rlike(r"(?U)^[0-9\s]*$|^[0-9\p{IsWhite_Space}]*$"))
+def mark_headers(typed: DataFrame, cfg: HeaderConfig = HeaderConfig()) -> DataFrame:
+    """Blocks with ``header``: null, or struct (text, clean_text, level, numbering, components,
+    score).  Levels are numbering depth, else the rank of the size among the document's headers."""
+    eligible = ~F.col("block_type").isin(*NO_HEADER) if cfg.respect_classification else F.lit(True)
+    rows = typed.withColumn("_t", T.trim(F.col("text")))
     ratio = F.when(F.col("body_size") > 0, F.col("font_size") / F.col("body_size")).otherwise(1.0)
-    rows = rows.withColumn("_ratio", ratio).withColumn("_known", T.is_known_name(F.col("_t"), cfg.known_names)).filter((F.col("_ratio") <= 1.8) | F.col("_known"))
-    rows = rows.withColumn("_key", T.numbering(F.col("_t")))
+    short = (F.length("_t") <= cfg.max_chars) & (F.col("n_lines") <= cfg.max_lines) & ~F.col("_t").rlike(r"^[0-9\p{IsWhite_Space}]*$")
+    # long texts are no headers: spare them the expressions below
+    rows = rows.withColumn("_try", F.when(eligible & short, F.col("_t"))).withColumn("_ratio", ratio)
+    rows = rows.withColumn("_known", T.is_known_name(F.col("_try"), cfg.known_names)).withColumn("_key", T.numbering(F.col("_try")))
     points = lambda c, n: F.when(c, n).otherwise(0)
     score = (
         points(F.col("_key").isNotNull(), 3)
-        + points(T.is_all_caps(F.col("_t")), 2)
+        + points(T.is_all_caps(F.col("_try")), 2)
         + points(F.col("is_bold"), 2)
         + points(F.col("_ratio") > 1.1, 1)
         + points(F.col("_known"), 2)
-        + points(T.is_cjk_heading(F.col("_t"), cfg.max_chars), cfg.cjk_bonus)
+        + points(T.is_cjk_heading(F.col("_try"), cfg.max_chars), cfg.cjk_bonus)
         + points(F.col("n_lines") == 1, 1)
     )
-    rows = rows.withColumn("score", score).filter(F.col("score") >= cfg.min_score).withColumn("_bin", F.round(F.col("font_size") / cfg.bin_width).cast("long"))
-    # sizes rank by gaps between the bins a document has
+    is_header = F.col("_try").isNotNull() & ((F.col("_ratio") <= 1.8) | F.col("_known")) & (F.col("_score") >= cfg.min_score)
+    rows = rows.withColumn("_score", score).withColumn("_is", is_header)
+    rows = rows.withColumn("_bin", F.when(F.col("_is"), F.round(F.col("font_size") / cfg.bin_width).cast("long")))
+    # sizes rank by the gaps between the bins that a document's headers have
     merge = max(1, round(cfg.merge_gap / cfg.bin_width))
-    down = Window.partitionBy("doc_id").orderBy(F.desc("_bin"))
-    bins = rows.select("doc_id", "_bin").distinct()
-    bins = bins.withColumn("_step", F.coalesce((F.lag("_bin").over(down) - F.col("_bin") > merge).cast("int"), F.lit(0)))
-    bins = bins.withColumn("_rank", F.least(F.sum("_step").over(down.rowsBetween(Window.unboundedPreceding, 0)) + 1, F.lit(cfg.max_level))).select("doc_id", "_bin", "_rank")
+    down = Window.partitionBy("doc_id").orderBy(F.col("_bin").desc_nulls_last())
+    rows = rows.withColumn("_step", F.coalesce((F.lag("_bin").over(down) - F.col("_bin") > merge).cast("int"), F.lit(0)))
+    rank = F.least(F.sum("_step").over(down.rowsBetween(Window.unboundedPreceding, 0)) + 1, F.lit(cfg.max_level))
+    rows = rows.withColumn("_rank", rank)
     level = F.greatest(F.lit(1), F.least(F.coalesce(F.col("_key.depth"), F.col("_rank")), F.lit(cfg.max_level))).cast("int")
-    return rows.join(bins, ["doc_id", "_bin"]).select(
-        "doc_id",
-        F.col("global_index").alias("block_index"),
-        F.col("_t").alias("text"),
-        F.coalesce("_key.rest", "_t").alias("clean_text"),
-        level.alias("level"),
-        F.col("_key.prefix").alias("numbering"),
-        F.col("_key.components").alias("components"),
-        "score",
-        "page",
-        "left",
-        "top",
-        "right",
-        "bottom",
+    header = F.struct(
+        F.col("_t").alias("text"), F.coalesce("_key.rest", "_t").alias("clean_text"), level.alias("level"), F.col("_key.prefix").alias("numbering"), F.col("_key.components").alias("components"), F.col("_score").alias("score")
     )
+    return rows.withColumn("header", F.when(F.col("_is"), header)).drop("_t", "_try", "_ratio", "_known", "_key", "_score", "_is", "_bin", "_step", "_rank")
+
+
+def headers(marked: DataFrame) -> DataFrame:
+    """The headers among marked blocks, a row each."""
+    return marked.filter("header is not null").select("doc_id", F.col("global_index").alias("block_index"), "header.*", "page", "left", "top", "right", "bottom")
 
 
 def numbering_anomalies(header_rows: DataFrame) -> DataFrame:
@@ -115,35 +120,39 @@ def numbering_anomalies(header_rows: DataFrame) -> DataFrame:
     return found.unionByName(rows.filter("_again").select("doc_id", "block_index", "page", F.lit("Duplicate").alias("kind")))
 
 
-def split_sections(ordered: DataFrame, header_rows: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sections, section_blocks).  A section runs from a header to the next; a preamble counts only
-    with blocks; a document without blocks (``docs`` names all) has one empty section.
-    ``section_id`` is the flat, pre-order index; ``parent_id`` the latest earlier smaller level."""
-    h = header_rows.select("doc_id", F.col("block_index").alias("global_index"), F.col("text").alias("header_raw"), F.col("clean_text").alias("header"), "level", "numbering", F.col("page").alias("_hp"))
-    rows = ordered.join(h, ["doc_id", "global_index"], "left").withColumn("_is", F.col("level").isNotNull().cast("int"))
+def split_sections(ordered: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections, section_blocks) of marked blocks in reading order.  A section runs from a header to
+    the next; a preamble counts only with blocks; a document without blocks (``docs`` names all)
+    has one empty section.  ``section_id`` is the flat, pre-order index; ``parent_id`` the latest
+    earlier smaller level."""
+    is_header = F.col("header").isNotNull()
     run = Window.partitionBy("doc_id").orderBy("reading_seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_n", F.sum("_is").over(run))
+    rows = ordered.withColumn("_n", F.sum(is_header.cast("int")).over(run))
     lead = F.min("_n").over(Window.partitionBy("doc_id"))
     rows = rows.withColumn("section_id", (F.col("_n") - lead).cast("long"))
-    body = rows.filter("_is = 0")
-    ends = body.groupBy("doc_id", "section_id").agg(F.min_by("page", "reading_seq").alias("_first"), F.max_by("page", "reading_seq").alias("_last"), F.count(F.lit(1)).alias("n_blocks"))
-    heads = rows.filter("_is = 1").select("doc_id", "section_id", F.col("global_index").alias("header_index"), "header_raw", "header", "level", "numbering", "_hp")
-    s = heads.join(ends, ["doc_id", "section_id"], "full")
+    seq = lambda when: F.when(when, F.col("reading_seq"))
+    s = rows.groupBy("doc_id", "section_id").agg(
+        F.first("header", ignorenulls=True).alias("_h"),
+        F.first(F.when(is_header, F.struct("global_index", "page")), ignorenulls=True).alias("_at"),
+        F.min_by("page", seq(~is_header)).alias("_first"),
+        F.max_by("page", seq(~is_header)).alias("_last"),
+        F.count(seq(~is_header)).alias("n_blocks"),
+    )
     if docs is not None:
         s = s.join(docs.select("doc_id").distinct(), "doc_id", "full").withColumn("section_id", F.coalesce("section_id", F.lit(0).cast("long")))
     s = s.select(
         "doc_id",
         "section_id",
-        "header_index",
-        "header_raw",
-        "header",
-        "numbering",
-        F.coalesce("level", F.lit(1)).alias("level"),
-        F.coalesce("_first", "_hp", F.lit(0)).alias("page_start"),
-        F.coalesce("_last", "_first", "_hp", F.lit(0)).alias("page_end"),
-        F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"),
+        F.col("_at.global_index").alias("header_index"),
+        F.col("_h.text").alias("header_raw"),
+        F.col("_h.clean_text").alias("header"),
+        F.col("_h.numbering").alias("numbering"),
+        F.coalesce("_h.level", F.lit(1)).alias("level"),
+        F.coalesce("_first", "_at.page", F.lit(0)).alias("page_start"),
+        F.coalesce("_last", "_first", "_at.page", F.lit(0)).alias("page_end"),
+        F.coalesce("n_blocks", F.lit(0).cast("long")).alias("n_blocks"),
     )
-    return tree(s), body.drop("header_raw", "header", "level", "numbering", "_hp", "_is", "_n")
+    return tree(s), rows.filter(~is_header).drop("header", "_n")
 
 
 def tree(sections: DataFrame, max_level: int = 6) -> DataFrame:

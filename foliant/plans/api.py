@@ -35,6 +35,14 @@ class DocumentSet:
     config: Config = field(default_factory=Config)
     merge: bool = False  # join spans that continue each other
 
+    def persist(self) -> DocumentSet:
+        """Keep the blocks once computed: most outputs read them several times.  Lost parts are
+        computed again."""
+        from pyspark import StorageLevel
+
+        self.__dict__["blocks"] = self.blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
     # ---- layout
 
     @cached_property
@@ -62,16 +70,15 @@ class DocumentSet:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        """Blocks with their types."""
-        b, c = self.raw_blocks, self.config
-        typed = structure.classify(b, structure.body_font(b), c.caption_max_chars, c.running_header_max_chars)
-        if c.headers.detect_repeated_running:
-            return structure.repeated_running(typed)
-        return typed.withColumn("reclassified", F.lit(False))
+        """Blocks with their types, and ``header`` where they are one."""
+        c = self.config
+        typed = structure.classify(self.raw_blocks, c.caption_max_chars, c.running_header_max_chars)
+        typed = structure.repeated_running(typed) if c.headers.detect_repeated_running else typed.withColumn("reclassified", F.lit(False))
+        return structure.mark_headers(typed, c.headers)
 
     @cached_property
     def headers(self) -> DataFrame:
-        return structure.headers(self.blocks, self.config.headers)
+        return structure.headers(self.blocks)
 
     @cached_property
     def metadata(self) -> DataFrame:
@@ -104,8 +111,7 @@ class DocumentSet:
 
     @cached_property
     def _split(self) -> tuple[DataFrame, DataFrame]:
-        ordered = layout.reading_order(self.blocks, self.dims, self.config.reading_order)
-        return structure.split_sections(ordered, self.headers, self.papers)
+        return structure.split_sections(layout.reading_order(self.blocks, self.config.reading_order), self.papers)
 
     @property
     def sections(self) -> DataFrame:
@@ -227,4 +233,4 @@ def analyze(spark: SparkSession, path: str, config: Config = Config()) -> Docume
 def analyze_files(files: DataFrame, config: Config = Config()) -> DocumentSet:
     """``files``: path, length, content (bytes)."""
     t = pdf.tables(pdf.rows_of(files, config.limits), config.image_dir)
-    return DocumentSet(t["spans"], t["paths"], t["images"], t["media"], t["papers"], t["errors"], config, merge=True)
+    return DocumentSet(t["spans"], t["paths"], t["images"], t["media"], t["papers"], t["errors"], config, merge=True).persist()

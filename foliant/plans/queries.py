@@ -34,7 +34,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DocumentSet:
     d = synth.load(spark, sf_dir)
-    return DocumentSet(synth.spans(d), images=synth.images(d))
+    return DocumentSet(synth.spans(d), images=synth.images(d)).persist()
 
 
 # ------------------------------------------------------------------ text functions on documents
@@ -344,8 +344,7 @@ def synth_body_font(spark, sf_dir):
 
 @query(TYPED_SQL + " SELECT doc_id, CAST(global_index AS BIGINT) AS global_index, bt1 AS block_type FROM typed")
 def synth_classify(spark, sf_dir):
-    b = corpus(spark, sf_dir).raw_blocks
-    return structure.classify(b, structure.body_font(b)).select("doc_id", "global_index", "block_type")
+    return structure.classify(corpus(spark, sf_dir).raw_blocks).select("doc_id", "global_index", "block_type")
 
 
 @query(TYPED_SQL + " SELECT doc_id, CAST(global_index AS BIGINT) AS global_index, block_type, block_type <> bt1 AS reclassified FROM typed")
