@@ -5,23 +5,29 @@ the columns of ``documents``."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import store, without
+from foliant.llm.common import KEPT, store, stored, sweep, without
 from foliant.llm.jaccard import near_duplicates
 from foliant.llm.langid import UND, fit, predict
 from foliant.llm.mixing import mixed_documents
 from foliant.llm.packing import pack
 from foliant.llm.suffixes import remove_repeats
 
+def _begin(spark: SparkSession) -> int:
+    """A stage's input is written, so no table of the stages before it is read any more."""
+    sweep(spark)
+    return stored(spark)
+
+
 LEAST_SCORE = 0.3  # below it no language stands out, and the document is rejected
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those in which no language stands out.  Texts stay
     in place: the prediction runs beside them and only rejects leave."""
+    _begin(spark)
     names, net = fit(docs)
     plain = [F.col(c).alias(f"c{i}" if c != "text" else "text") for i, c in enumerate(docs.columns)]  # no name can clash
     out = predict(docs.select(*plain), names, net, with_text=True)
@@ -32,29 +38,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, and of each doc_id, one document stays: the smallest id,
     and of rows that share it the one whose text sorts first by hash.  Null ids stay."""
+    first = _begin(spark)
     groups = store(near_duplicates(docs).filter("doc_id is not null"), "pipe-groups")
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    again = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
+    gone = store(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "pipe-gone")
+    again = store(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "pipe-again")
+    sweep(spark, first, ("pipe-gone", "pipe-again"))
     kept = without(docs, gone, "doc_id")
+    if not again.limit(1).count():
+        return kept
     once = without(kept, again, "doc_id")
     twins = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi")
-    first = twins.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64("text")).alias("row"))
-    return once.unionByName(first.select("row.*").select(*docs.columns))
-
-
-@F.pandas_udf("string")
-def whole_letters(kept: pd.Series) -> pd.Series:
-    """Text of bytes; what is left of a letter that a cut went through goes too."""
-    return pd.Series([None if x is None else bytes(x).decode("utf-8", "ignore") for x in kept], dtype=object)
+    row = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64("text"))
+    return once.unionByName(twins.groupBy("doc_id").agg(row.alias("row")).select("row.*").select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; every document stays."""
+    _begin(spark)
     cols = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in cols]).alias("_rest"))
-    out = remove_repeats(rows, ["_rest"])
-    text = F.when(F.col("n_removed") > 0, whole_letters(F.when(F.col("n_removed") > 0, F.col("kept")))).otherwise(F.decode("kept", "UTF-8"))
-    out = out.withColumn("text", text).select("doc_id", "text", "n_removed", "_rest.*")
+    out = remove_repeats(rows, ["_rest"], as_text=True)
+    out = out.select("doc_id", F.col("kept").alias("text"), "n_removed", "_rest.*")
     if "n_chars" in cols:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
@@ -63,11 +67,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it."""
+    _begin(spark)
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids, one row a piece."""
+    _begin(spark)
     return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
@@ -84,5 +90,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"pipe-{name}")
+        docs = store(stage(spark, docs, sf_dir), f"{KEPT}{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,9 +33,31 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: dict[str, list[str]] = {}
+KEPT = "keep-"  # names of tables that ``sweep`` leaves alone begin so
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the tables that ``store`` wrote, from the ``since``-th on but for names in ``keep``:
+    for callers that know that no plan reads them any more."""
+    mine = _tables.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in mine[since:] if not p.rsplit("/", 1)[-1].startswith((KEPT, *keep))]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        mine.remove(path)
+    tidy(spark)
+
+
+def stored(spark: SparkSession) -> int:
+    """How many tables there are now, for ``sweep``."""
+    return len(_tables.get(spark.sparkContext.applicationId, []))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that go to Python; a batch holds whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

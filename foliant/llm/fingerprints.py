@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, shingle_hashes, small_batches, utf8
+from .common import mix, partitions, released, shingle_hashes, small_batches, utf8
 
 BINS, BITS = 256, 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -106,7 +106,7 @@ def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     ).otherwise(F.array(F.struct(F.col("at").alias("to"), F.lit(0).alias("peek"))))
     d = d.withColumn("p", F.explode(places)).select(F.col("p.to").alias("to"), F.col("p.peek").alias("peek"), "k", F.xxhash64("text").alias("h"), "doc_id", "text")
     d = d.repartitionById(len(cuts) + 1, F.col("to")).sortWithinPartitions("to", "peek", "k", "h")
-    return d.select("to", "peek", "doc_id", "text").mapInArrow(run, schema)
+    return d.select("to", "peek", "doc_id", "text").mapInArrow(released(run), schema)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

@@ -345,7 +345,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     heavy = heavy_shingles(docs)
-    table = store(signatures(docs, heavy), "jac-sets-of")
+    table = store(signatures(docs, heavy), "jac-sets-of")  # read until the result is
     named = table.filter("doc_id is not null and n > 0")
     # a doc_id may come with several sets; each (doc_id, set) stands for its set's smallest doc_id
     reps = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("common").alias("common"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import released, small_batches, utf8
 
 HIDDEN = 16
 LONGEST = 24
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> tuple[list[s
             out = [w[:LONGEST] for w in out]
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(out, pa.binary())], names=["lang", "word"])
 
-    sample = rows.select("lang", "text").mapInArrow(pick, "lang string, word binary").toPandas()
+    sample = rows.select("lang", "text").mapInArrow(released(pick), "lang string, word binary").toPandas()
     sample = sample.sort_values(["lang", "word"], kind="stable")
     if not len(sample):
         return [], None
@@ -240,7 +240,7 @@ def predict(docs: DataFrame, names: list[str], net: Network | None, with_text: b
             keep = [batch.column(order.index(c)) for c in extra]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(score)], names=[*extra, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

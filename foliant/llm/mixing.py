@@ -11,8 +11,9 @@ import re
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import running, store
 
@@ -26,7 +27,7 @@ def word_count(text="text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
     def cut(t, k):
         return None if t is None else t[: next(islice(re.finditer(WORD, t), k - 1, None)).end()]
@@ -58,13 +59,16 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("capped"), F.lit(MOST) * F.col("source_size")).otherwise(share).cast("double").alias("target"))
 
 
+def _key(seed: str):
+    return F.md5(F.concat(F.lit(f"mix-{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def mix(docs: DataFrame, seed: str = "42", keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, before, taken (words the
     mix takes of it, repeats counted) and the columns named in ``keep``, which must not clash
     with these.  Epochs are whole passes; the last, partial pass ends inside the document where
     the budget ends."""
-    key = F.md5(F.concat(F.lit(f"mix-{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", word_count().alias("size"), key.alias("key"), *[F.col(k) for k in keep or []])
+    rows = docs.select("doc_id", "source", word_count().alias("size"), _key(seed).alias("key"), *[F.col(k) for k in keep or []])
     rows = store(running(rows, ["source"], [F.col("key"), F.col("doc_id"), F.col("size")], "size", "mix-run"), "mix-before")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).select(F.col("source").alias("_s"), "source_size", "target")
     out = rows.join(aims, F.col("source").eqNullSafe(F.col("_s")))
@@ -74,28 +78,40 @@ def mix(docs: DataFrame, seed: str = "42", keep: list[str] | None = None) -> Dat
     return out.select("doc_id", "source", "size", "source_size", "target", "before", epochs.alias("epochs"), (epochs * F.col("size") + part).alias("taken"), *(keep or []))
 
 
+def cuts(plan: DataFrame) -> DataFrame:
+    """One row per source: whole epochs, the first row in order that the last pass does not take
+    whole, and the words it takes of it."""
+    rest = F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")
+    first = plan.filter(F.col("before") + F.col("size") > rest)
+    at = F.struct("key", _id(F.col("doc_id")).alias("id"), "size")
+    return first.groupBy("source").agg(F.first("epochs").alias("_epochs"), F.min_by(F.struct(at.alias("at"), (rest - F.col("before")).alias("part")), at).alias("_cut"))
+
+
+def _id(c):
+    return F.coalesce(c, F.lit(-(1 << 63)))
+
+
 def mixed_documents(docs: DataFrame, seed: str = "42") -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document once per whole epoch, and the
-    document in which a budget ends cut after its last word taken.  Only ids and sizes are
-    sorted; texts move once, to meet the decision on their document."""
+    document in which a budget ends cut after its last word taken.  What a source's budget ends at
+    is one row per source; with it each document decides for itself, so texts stay in place."""
     cols = docs.columns
-    d = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
-    plan = mix(d.select("doc_id", "text", "source", "_row"), seed, ["_row"]).filter("taken > 0")
-    # rows that are wholly alike share _row; numbering them apart pairs each with one decision
-    plan = plan.groupBy("_row", "size").agg(F.collect_list("taken").alias("_takes")).withColumnRenamed("_row", "_r").withColumnRenamed("size", "_size")
-    first = d.groupBy("_row").agg(F.count(F.lit(1)).alias("_same")).filter("_same > 1")
-    whole = d.join(plan, d._row == plan._r).join(first.withColumnRenamed("_row", "_q"), F.col("_row") == F.col("_q"), "left_anti")
-    twins = d.join(first.withColumnRenamed("_row", "_q"), F.col("_row") == F.col("_q"), "left_semi").dropDuplicates(["_row"]).join(plan, F.col("_row") == plan._r)
-    out = whole.unionByName(twins).withColumn("_take", F.explode("_takes"))
-    copies = F.expr("concat(array_repeat(_size, int(_take div _size)), if(_take % _size > 0, array(_take % _size), array()))")
-    out = out.withColumn("_n", F.explode(copies))
-    # the first _n words with the white space between them; only cut texts go to Python
-    cut = first_words(F.when(F.col("_n") < F.col("_size"), F.col("text")), F.col("_n"))
-    out = out.withColumn("text", F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(cut))
+    plan = store(mix(docs.select("doc_id", "text", "source"), seed), "mix-plan").withColumn("key", _key(seed))
+    ends = store(cuts(plan), "mix-cuts").withColumnRenamed("source", "_source")
+    at = F.struct(_key(seed).alias("key"), _id(F.col("doc_id")).alias("id"), word_count().alias("size"))
+    d = docs.withColumn("_at", at).join(ends, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    clear = d.filter(F.col("_at") != F.col("_cut.at"))
+    clear = clear.withColumn("_n", F.explode(F.sequence(F.lit(1), (F.col("_epochs") + (F.col("_at") < F.col("_cut.at")).cast("long")).cast("int") + 1))).filter(F.col("_n") > 1)
+    # rows at which a budget ends: one per source, unless rows repeat; then those before it in the
+    # count are whole, and those after it are left out of the last pass
+    edge = d.filter(F.col("_at") == F.col("_cut.at"))
+    edge = edge.withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("text"))))
+    whole = edge.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_epochs").cast("int") + 1))).filter(F.col("_n") > 1)
+    part = edge.filter((F.col("_k") == 1) & (F.col("_cut.part") > 0))
+    part = part.withColumn("text", first_words(F.col("text"), F.col("_cut.part")))
     if "n_chars" in cols:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_n") == F.col("_size"), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*cols)
+        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clear.select(*cols).unionByName(whole.select(*cols)).unionByName(part.select(*cols))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import released, small_batches, utf8
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -91,6 +91,11 @@ class Words:
         return [b"".join(map(get, ws)) for ws in split]
 
 
+    def tok_ids(self, text: str) -> bytes:
+        """Ids of one text, the end id after them, by the tokenizer alone."""
+        return np.array([*self.tok.encode(text, add_special_tokens=False).ids, END_ID], "<u4").tobytes()
+
+
 class Pool:
     """Pieces (doc_id, start, ids, doc_tokens) that wait, by length, and the windows made."""
 
@@ -207,7 +212,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         pool.flush(True)
         yield from pool.take()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(released(run), SCHEMA)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

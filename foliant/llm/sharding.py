@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running, store
+from .common import released, running, store
 
 BINS = 64
 LEAVES = 32  # leaves to a shard: a leaf's bytes bound how far shards differ
@@ -97,7 +97,7 @@ def grow(table: DataFrame, leaf_bytes: float) -> tuple[Tree, dict[int, float]]:
             some = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["cell", "w"])
 
-        cells = table.mapInArrow(tally, "cell long, w double").groupBy("cell").agg(F.sum("w").alias("w")).collect()
+        cells = table.mapInArrow(released(tally), "cell long, w double").groupBy("cell").agg(F.sum("w").alias("w")).collect()
         sums = np.zeros((len(active), 3, BINS))
         for c in cells:
             sums.reshape(-1)[c.cell] = c.w
@@ -166,7 +166,7 @@ def shard(docs: DataFrame, shards: int = 8, leaf_bytes: float | None = None) ->
 
     table = table.withColumn("turn", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     cols = table.columns
-    dealt = table.mapInArrow(place, "doc_id long, size long, text_crc32 long, shard int").withColumn("_one", F.lit(1).cast("long"))
+    dealt = table.mapInArrow(released(place), "doc_id long, size long, text_crc32 long, shard int").withColumn("_one", F.lit(1).cast("long"))
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     ranked = running(dealt, ["shard"], order, "_one", "shard-slot")
     return ranked.select("doc_id", "size", "text_crc32", "shard", F.col("before").alias("slot"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, SEGMENT, bit_table, held_in, in_table, mix, partitions, powers, small_batches, store, tidy, utf8
+from .common import BYTE_CODES, SEGMENT, bit_table, held_in, in_table, mix, partitions, powers, released, small_batches, store, tidy, utf8
 
 LENGTH = 400
 GRAM = 24
@@ -172,7 +172,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
                 h, n = np.unique(np.concatenate(held), return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(h), _long(n)], names=["lead", "n"])
 
-    counts = d.select("text").mapInArrow(leads, "lead long, n long").groupBy("lead").agg(F.sum("n").alias("n"))
+    counts = d.select("text").mapInArrow(released(leads), "lead long, n long").groupBy("lead").agg(F.sum("n").alias("n"))
     shared = store(counts.filter("n > 1").select("lead"), "suf-leads")
     table = bit_table(shared)
 
@@ -186,7 +186,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
                     cols = [ids.take(row), th.take(row), _long(at[k]), _long(c[k]), _long(lead[k]), _long(content[k]), _long(occurrence(dh[text[k]], at[k]))]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "s", "c", "lead", "content", "occ"])
 
-    places = d.mapInArrow(emit, "doc_id long, th long, s long, c long, lead long, content long, occ long")
+    places = d.mapInArrow(released(emit), "doc_id long, th long, s long, c long, lead long, content long, occ long")
     places = store(places, "suf-runs")
     kinds = store(places.groupBy("lead", "content").agg(F.count(F.lit(1)).alias("n"), F.min("occ").alias("occ")), "suf-kinds")
     tidy(spark)
@@ -230,7 +230,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
                     cols = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *[pa.array(x, pa.int64()) for x in cols[1:7]], pa.array(cols[7], pa.binary())], names=names)
 
-    rows = d.select("dh", "text").mapInArrow(suffixes, "front binary, lead long, content long, base long, starts long, core long, core_len long, bytes binary")
+    rows = d.select("dh", "text").mapInArrow(released(suffixes), "front binary, lead long, content long, base long, starts long, core long, core_len long, bytes binary")
     # a stretch is dealt by a hash of its core after its leading bytes, so that a common front spreads
     rows = rows.withColumn("core_hash", F.xxhash64(F.expr("substring(bytes, int(core) + 1, int(core_len))")))
     rows = rows.repartitionByRange(partitions(spark), "front", "core_hash").sortWithinPartitions("front", "core_hash")
@@ -256,7 +256,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
                 size += len(cols[7][i])
         yield from done()
 
-    sorted_ = rows.mapInArrow(sort, "lead long, content long, `from` long, `to` long")
+    sorted_ = rows.mapInArrow(released(sort), "lead long, content long, `from` long, `to` long")
     parts = store(sorted_, "suf-sorted")
     tidy(spark)
     whole = places.join(kinds.filter("n > 1").select("lead", "content"), ["lead", "content"]).select("doc_id", "th", F.col("s").alias("from"), (F.col("s") + F.col("c")).alias("to"))
@@ -266,11 +266,12 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     return store(whole.unionByName(part), "suf-starts")
 
 
-def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes left, joined) and the
-    columns named in ``keep``, which must not clash with these."""
+    columns named in ``keep``, which must not clash with these.  ``as_text``: ``kept`` as text, what is
+    left of a letter that a cut went through gone too."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 500)
     keep = keep or []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"), *keep)
@@ -283,7 +284,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     # documents that no range can touch stay where they are
     marked = d.withColumn("_hit", held_in(table)(F.xxhash64("doc_id", "th")))
     free = marked.filter(~F.col("_hit")).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "UTF-8").alias("kept"), *keep
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), (F.col("text") if as_text else F.encode("text", "UTF-8")).alias("kept"), *keep
     )
     hit = marked.filter("_hit").join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select(*order)
     schema = free.schema
@@ -308,11 +309,12 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 n.append(len(t))
                 removed.append(gone)
                 spans.append(k)
-                kept.append(b"".join(out))
-            cols = [batch.column(0), _long(n), _long(removed), _long(spans), pa.array(kept, pa.binary()), *[batch.column(order.index(c)) for c in keep]]
+                rest = b"".join(out)
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
+            cols = [batch.column(0), _long(n), _long(removed), _long(spans), pa.array(kept, pa.string() if as_text else pa.binary()), *[batch.column(order.index(c)) for c in keep]]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *keep])
 
-    return free.unionByName(hit.mapInArrow(cut, schema))
+    return free.unionByName(hit.mapInArrow(released(cut), schema))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

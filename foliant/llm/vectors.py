@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, small_batches, store
+from .common import components, partitions, released, small_batches, store
 
 THRESHOLD = 0.95
 RECALL = 0.999  # of pairs at the threshold
@@ -89,7 +89,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
             for t in range(hasher.tables):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(keys[:, t]), rep, weight, raw], names=["t", "key", "rep", "weight", "raw"])
 
-    rows = reps.select("e", "rep", "weight").mapInArrow(emit, "t int, key long, rep long, weight long, raw binary")
+    rows = reps.select("e", "rep", "weight").mapInArrow(released(emit), "t int, key long, rep long, weight long, raw binary")
     sizes = store(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "vec-sizes")
     sizes = sizes.select(F.col("t").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(sizes, (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_k")))
@@ -154,7 +154,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, counts, roots)], names=["rep", "links", "root"])
 
-    found = store(rows.mapInArrow(compare, "rep long, links long, root long"), "vec-links")
+    found = store(rows.mapInArrow(released(compare), "rep long, links long, root long"), "vec-links")
     groups_of = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "vec-cc")
     total = found.groupBy("rep").agg(F.sum("links").alias("links"))
     info = reps.join(total, "rep", "left").join(groups_of, F.col("rep") == F.col("id"), "left")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, small_batches, store
+from .common import partitions, released, scratch, small_batches, store
 
 REVISIT_BYTES = 1000  # smaller payloads are always stored
 FILE_BYTES = 256 << 20  # an archive file is closed beyond this
@@ -108,7 +108,7 @@ def write(pages: DataFrame) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return store(rows.mapInArrow(run, INDEX), "warc-index")
+    return store(rows.mapInArrow(released(run), INDEX), "warc-index")
 
 
 def parse(raw: bytes) -> dict:
@@ -168,7 +168,7 @@ def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in names.split(", ")])
 
-    return rows.mapInArrow(run, names)
+    return rows.mapInArrow(released(run), names)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
