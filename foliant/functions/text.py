@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 WS = r"(?U)\s"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it: keeps plans small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Unicode white space off both ends."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
@@ -43,10 +48,9 @@ def count_chars(text: Column, pattern: str) -> Column:
 
 def tokens(text: Column) -> Column:
     """Heuristic tokens: a quarter of ASCII, each CJK letter, half of the rest."""
-    ascii_ = count_chars(text, r"[\x00-\x7F]")
-    cjk = count_chars(text, CJK)
-    other = F.length(text) - ascii_ - cjk
-    return (F.floor(ascii_ / 4) + cjk + F.floor(other / 2)).cast("long")
+    ascii_, cjk = count_chars(text, r"[\x00-\x7F]"), count_chars(text, CJK)
+    counts = F.struct(ascii_.alias("a"), cjk.alias("c"), F.length(text).alias("n"))
+    return let(counts, lambda x: (F.floor(x.a / 4) + x.c + F.floor((x.n - x.a - x.c) / 2)).cast("long"))
 
 
 def toc_tokens(text: Column) -> Column:
@@ -98,30 +102,31 @@ ROMAN_DIGITS = "map('I', 1, 'V', 5, 'X', 10, 'L', 50, 'C', 100, 'D', 500, 'M', 1
 
 
 def numbering(text: Column) -> Column:
+    return let(F.regexp_replace(text, r"(?U)^\s+", ""), _numbering)
+
+
+def _numbering(text: Column) -> Column:
     """Struct (components array<struct<variant, ord>>, is_appendix, depth, prefix, rest) of the
     number that a header begins with; null if there is none.  Variants: 0 Arabic, 1 Roman, 2 letter."""
-    t = F.regexp_replace(text, r"(?U)^\s+", "")
     one = lambda v, o: F.array(F.struct(F.lit(v).alias("variant"), o.cast("long").alias("ord")))
-    letter = lambda p: F.ascii(_part(t, p)) - 64
-    parts = F.filter(F.transform(F.split(_part(t, ARABIC), r"\."), lambda x: F.try_to_number(x, F.lit("9" * 12)).cast("long")), lambda x: x.isNotNull() & (x <= MOST))
-    arabic = F.transform(parts, lambda x: F.struct(F.lit(0).alias("variant"), x.alias("ord")))
-
-    def key(components, appendix, pattern):
-        whole = _part(t, pattern, 0)
-        return F.struct(
-            components.alias("components"),
-            F.lit(appendix).alias("is_appendix"),
-            F.greatest(F.size(components), F.lit(1)).alias("depth"),
-            trim(whole).alias("prefix"),
-            trim(F.substring(t, F.length(whole) + 1, F.length(t))).alias("rest"),
+    numbers = lambda x: F.filter(F.transform(F.split(x, r"\."), lambda y: F.try_to_number(y, F.lit("9" * 12)).cast("long")), lambda y: y.isNotNull() & (y <= MOST))
+    # the first form that matches: which, its number, and all that it takes up
+    forms = F.array(*[F.struct(F.lit(k).alias("k"), _part(text, p).alias("n"), _part(text, p, 0).alias("whole")) for k, p in enumerate((APPENDIX, ARABIC, ROMAN, ALPHA))])
+
+    def components(f: Column) -> Column:
+        arabic = F.transform(numbers(f.n), lambda x: F.struct(F.lit(0).alias("variant"), x.alias("ord")))
+        return F.when(f.k == 1, arabic).when(f.k == 2, let(roman_value(f.n), lambda v: one(1, v))).otherwise(one(2, F.ascii(f.n) - 64))
+
+    def key(f: Column) -> Column:
+        return let(
+            components(f),
+            lambda c: F.struct(
+                c.alias("components"), (f.k == 0).alias("is_appendix"), F.greatest(F.size(c), F.lit(1)).alias("depth"), trim(f.whole).alias("prefix"), trim(F.substring(text, F.length(f.whole) + 1, F.length(text))).alias("rest")
+            ),
         )
 
-    return (
-        F.when(_part(t, APPENDIX, 0) != "", key(one(2, letter(APPENDIX)), True, APPENDIX))
-        .when((_part(t, ARABIC) != "") & (F.size(parts) > 0), key(arabic, False, ARABIC))
-        .when(roman_value(_part(t, ROMAN)).isNotNull(), key(one(1, roman_value(_part(t, ROMAN))), False, ROMAN))
-        .when(_part(t, ALPHA) != "", key(one(2, letter(ALPHA)), False, ALPHA))
-    )
+    good = F.filter(forms, lambda f: (f.n != "") & ((f.k != 1) | (F.size(numbers(f.n)) > 0)) & ((f.k != 2) | roman_value(f.n).isNotNull()))
+    return F.get(F.transform(F.slice(good, F.lit(1), F.lit(1)), key), F.lit(0))
 
 
 # ------------------------------------------------------------------ captions
@@ -132,19 +137,11 @@ TABLE_CAPTION = r"(?iU)^(Table|Tab\.)\s*(\d+)\s*[:.]?\s*(.*)"
 
 def caption(text: Column) -> Column:
     """Struct (caption_type, prefix, number, description, full_text), or null."""
-    t = trim(text)
+    def parts(t, kind, pattern):
+        number = let(F.try_to_number(_part(t, pattern, 2), F.lit("9" * 12)).cast("long"), lambda n: F.when(n <= MOST, n))
+        return F.struct(F.lit(kind).alias("caption_type"), _part(t, pattern, 1).alias("prefix"), number.alias("number"), trim(_part(t, pattern, 3)).alias("description"), t.alias("full_text"))
 
-    def parts(kind, pattern):
-        n = F.try_to_number(_part(t, pattern, 2), F.lit("9" * 12)).cast("long")
-        return F.struct(
-            F.lit(kind).alias("caption_type"),
-            _part(t, pattern, 1).alias("prefix"),
-            F.when(n <= MOST, n).alias("number"),
-            trim(_part(t, pattern, 3)).alias("description"),
-            t.alias("full_text"),
-        )
-
-    return F.when(t.rlike(FIGURE_CAPTION), parts("Figure", FIGURE_CAPTION)).when(t.rlike(TABLE_CAPTION), parts("Table", TABLE_CAPTION))
+    return let(trim(text), lambda t: F.when(t.rlike(FIGURE_CAPTION), parts(t, "Figure", FIGURE_CAPTION)).when(t.rlike(TABLE_CAPTION), parts(t, "Table", TABLE_CAPTION)))
 
 
 def is_caption(text: Column, max_chars: int = 240) -> Column:
@@ -185,11 +182,8 @@ def fold_upper(text: Column) -> Column:
 
 def is_known_name(text: Column, names: tuple[str, ...], margin: int = 8) -> Column:
     """Equal to a section name, or not much longer and containing one."""
-    norm = fold_upper(text)
-    out = F.lit(False)
-    for n in names:
-        out = out | (norm == n) | ((F.length(norm) <= len(n) + margin) & norm.contains(n))
-    return out
+    known = F.lit(list(names))
+    return let(fold_upper(text), lambda norm: F.exists(known, lambda n: (F.length(norm) <= F.length(n) + margin) & F.contains(norm, n)))
 
 
 HEADING_CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7A3}]"

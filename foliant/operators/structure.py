@@ -29,12 +29,10 @@ def with_body_font(block_rows: DataFrame, bin_width: float = 0.5) -> DataFrame:
 
 
 def classify(block_rows: DataFrame, caption_max_chars: int = 240, running_max_chars: int = 60) -> DataFrame:
-    t = T.trim(F.col("text"))
-    rows = with_body_font(block_rows)
+    rows = with_body_font(block_rows).withColumn("_t", T.trim(F.col("text")))
+    t = F.col("_t")
     ratio = F.when(F.col("body_size") > 0, F.col("font_size") / F.col("body_size")).otherwise(1.0)
-    known = F.lit(False)
-    for name in ENGLISH_SECTION_NAMES:
-        known = known | F.upper(t).contains(name)
+    known = F.upper(t).rlike("|".join(ENGLISH_SECTION_NAMES))
     header = (F.octet_length(t) <= 120) & (F.col("n_lines") <= 3) & (F.col("is_bold") | (ratio > 1.05)) & (t != "")
     kind = (
         F.when(T.is_caption(t, caption_max_chars), "Caption")
@@ -46,7 +44,7 @@ def classify(block_rows: DataFrame, caption_max_chars: int = 240, running_max_ch
         .when(header, "SubsectionHeader")
         .otherwise("BodyText")
     )
-    return rows.withColumn("block_type", kind)
+    return rows.withColumn("block_type", kind).drop("_t")
 
 
 def repeated_running(typed: DataFrame, zone: float = 0.1, pages: int = 3) -> DataFrame:

@@ -36,11 +36,12 @@ class DocumentSet:
     merge: bool = False  # join spans that continue each other
 
     def persist(self) -> DocumentSet:
-        """Keep the blocks once computed: most outputs read them several times.  Lost parts are
+        """Keep blocks, figures and tables once computed: most outputs read them several times.  Lost parts are
         computed again."""
         from pyspark import StorageLevel
 
-        self.__dict__["blocks"] = self.blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        for name in ("blocks", "raw_figures", "raw_tables"):
+            self.__dict__[name] = getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     # ---- layout
