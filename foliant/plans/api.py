@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,16 +35,22 @@ class DocumentSet:
     errors: DataFrame | None = None
     config: Config = field(default_factory=Config)
     merge: bool = False  # join spans that continue each other
+    cut: bool = False  # see persist
 
     def persist(self) -> DocumentSet:
-        """Keep blocks, figures and tables once computed: most outputs read them several times.  Lost parts are
-        computed again."""
-        from pyspark import StorageLevel
-
-        for name in ("blocks", "raw_figures", "raw_tables"):
-            self.__dict__[name] = getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK)
+        """Compute blocks, figures and tables once, when first asked for: most outputs read them
+        several times.  With a checkpoint folder they are written there, which also keeps later plans
+        short and outlives executors; without one they are cached."""
+        self.cut = True
         return self
 
+    def _once(self, df: DataFrame) -> DataFrame:
+        if not self.cut:
+            return df
+        if df.sparkSession.sparkContext.getCheckpointDir():
+            return df.checkpoint()
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
     # ---- layout
 
     @cached_property
@@ -75,7 +82,7 @@ class DocumentSet:
         c = self.config
         typed = structure.classify(self.raw_blocks, c.caption_max_chars, c.running_header_max_chars)
         typed = structure.repeated_running(typed) if c.headers.detect_repeated_running else typed.withColumn("reclassified", F.lit(False))
-        return structure.mark_headers(typed, c.headers)
+        return self._once(structure.mark_headers(typed, c.headers))
 
     @cached_property
     def headers(self) -> DataFrame:
@@ -100,7 +107,7 @@ class DocumentSet:
     @cached_property
     def raw_figures(self) -> DataFrame:
         images = figures.normalize_images(self._images, self.scales)
-        return figures.match_figures(self.captions, images, self.blocks, self.config.caption_max_gap)
+        return self._once(figures.match_figures(self.captions, images, self.blocks, self.config.caption_max_gap))
 
     @cached_property
     def raw_tables(self) -> DataFrame:
@@ -108,7 +115,8 @@ class DocumentSet:
         caps = self.captions if self.config.detect_tables else self.captions.limit(0)
         blocks = self.blocks if self.config.detect_tables else self.blocks.limit(0)
         found = tables.detect(blocks, paths if self.config.detect_tables else paths.limit(0), caps, self.config.tables)
-        return tables.table_infos(found, tables.grids(found, self.blocks))
+        found = self._once(found)
+        return self._once(tables.table_infos(found, tables.grids(found, self.blocks)))
 
     @cached_property
     def _split(self) -> tuple[DataFrame, DataFrame]:

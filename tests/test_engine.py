@@ -28,7 +28,7 @@ def paper(spark):
     ]
     images = [(1, 1, 0, "images/p000_img001.png", 72.0, 585.0, 272.0, 565.0, 10, 10, "png")]
     i = spark.createDataFrame(images, "doc_id long, image_seq long, page int, path string, left double, top double, right double, bottom double, width_px int, height_px int, format string")
-    return DocumentSet(spark.createDataFrame(rows, SPANS), images=i)
+    return DocumentSet(spark.createDataFrame(rows, SPANS), images=i).persist()
 
 
 def test_structure(paper):
