@@ -21,8 +21,8 @@ from .common import released, small_batches, utf8
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 POOL_TOKENS = 1 << 20  # ids that wait in a task for a window
-CACHE_WORDS = 400_000  # words whose ids a worker keeps
-WINDOW = 1 << 20  # bytes of text read at a time
+CACHE_WORDS = 1_400_000  # words whose ids a worker keeps
+WINDOW = 1 << 22  # bytes of text read at a time
 STEP = 8  # sequences to a step group
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
@@ -32,7 +32,7 @@ class Words:
     white space, so ids of white-space-separated words joined are the ids of the text; most
     words recur, and a bounded cache spares their encoding."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, cache: int = CACHE_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,7 +44,9 @@ class Words:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.cache = cache
         self.known: dict[bytes, bytes] = {}
+        self.past: dict[bytes, bytes] = {}  # the generation before: what is met again moves over
 
     def _learn(self, new: set[bytes]) -> None:
         known, plain, other = self.known, {}, []
@@ -83,10 +85,13 @@ class Words:
         new = {w for ws in split for w in ws}
         new.difference_update(self.known)
         if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
+            if len(self.known) + len(new) > self.cache // 2:
+                self.past, self.known = self.known, {}
                 new = {w for ws in split for w in ws}
-            self._learn(new)
+            again = new & self.past.keys()
+            self.known.update((w, self.past[w]) for w in again)
+            if new := new - again:
+                self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
@@ -177,16 +182,17 @@ class Pool:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, cache: int = CACHE_WORDS, window: int = WINDOW) -> DataFrame:
     """Pieces of all documents with their ids (little-endian unsigned 32-bit), place, context
-    size and step group.  ``path``: a tokenizer file that all executors can open."""
-    small_batches(docs.sparkSession, 500)
+    size and step group.  ``path``: a tokenizer file that all executors can open; ``cache`` words and
+    ``window`` bytes bound a worker's memory."""
+    small_batches(docs.sparkSession)
     top = TIERS[0]
 
     def run(batches):
         from pyspark import TaskContext
 
-        words, pool = Words(path), Pool(TaskContext.get().partitionId() << 40)
+        words, pool = Words(path, cache), Pool(TaskContext.get().partitionId() << 40)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -194,7 +200,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             i = 0
             while i < len(texts):
                 j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= WINDOW):
+                while j < len(texts) and (j == i or size + len(texts[j]) <= window):
                     size += len(texts[j])
                     j += 1
                 for d, raw in zip(ids[i:j], words.encode(texts[i:j]), strict=True):
