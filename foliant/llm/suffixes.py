@@ -261,7 +261,8 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     tidy(spark)
     whole = places.join(kinds.filter("n > 1").select("lead", "content"), ["lead", "content"]).select("doc_id", "th", F.col("s").alias("from"), (F.col("s") + F.col("c")).alias("to"))
     single = kinds.filter("n = 1").select("lead", "content")
-    parts = parts.join(single, ["lead", "content"]).withColumnRenamed("lead", "_l").withColumnRenamed("content", "_c").withColumnRenamed("from", "_f").withColumnRenamed("to", "_t")
+    # written first: then the join with the places, where copies crowd, stands alone and can be split
+    parts = store(parts.join(single, ["lead", "content"]), "suf-parts").withColumnRenamed("lead", "_l").withColumnRenamed("content", "_c").withColumnRenamed("from", "_f").withColumnRenamed("to", "_t")
     part = places.join(parts, (F.col("lead") == F.col("_l")) & (F.col("content") == F.col("_c"))).select("doc_id", "th", (F.col("s") + F.col("_f")).alias("from"), (F.col("s") + F.col("_t")).alias("to"))
     return store(whole.unionByName(part), "suf-starts")
 
