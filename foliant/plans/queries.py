@@ -37,6 +37,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DocumentSet:
     return DocumentSet(synth.spans(d), images=synth.images(d)).persist()
 
 
+def whole(spark: SparkSession, sf_dir: str) -> DocumentSet:
+    """As ``corpus``, with every letter of the documents; for queries that no SQL states."""
+    d = synth.load(spark, sf_dir)
+    return DocumentSet(synth.spans(d, whole=True), images=synth.images(d)).persist()
+
+
 # ------------------------------------------------------------------ text functions on documents
 
 TOKENS_SQL = r"""(len(regexp_extract_all({t}, '[\x00-\x7F]')) // 4 + len(regexp_extract_all({t}, '[\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7AF}}\x{{FF00}}-\x{{FFEF}}]'))
@@ -482,18 +488,18 @@ def synth_captions(spark, sf_dir):
 
 @query()
 def synth_figures(spark, sf_dir):
-    return corpus(spark, sf_dir).figures.select("doc_id", "section_id", "figure_seq", "figure_id", "caption_text", "context_text", "image_path", "page", "after_block_index", "y_position")
+    return whole(spark, sf_dir).figures.select("doc_id", "section_id", "figure_seq", "figure_id", "caption_text", "context_text", "image_path", "page", "after_block_index", "y_position")
 
 
 @query()
 def synth_unmatched_captions(spark, sf_dir):
-    d = corpus(spark, sf_dir)
+    d = whole(spark, sf_dir)
     return figures.unmatched_captions(d.captions, d.raw_figures).select("doc_id", "block_index", "full_text")
 
 
 @query()
 def synth_unmatched_images(spark, sf_dir):
-    d = corpus(spark, sf_dir)
+    d = whole(spark, sf_dir)
     return diagnostics.unmatched_images(d._images, d.raw_figures).select("doc_id", "image_seq", "path")
 
 
@@ -509,69 +515,69 @@ def synth_image_scale(spark, sf_dir):
 
 @query()
 def synth_tables(spark, sf_dir):
-    return corpus(spark, sf_dir).raw_tables.select("doc_id", "table_seq", "table_id", "caption", "text", "page", "after_block_index", "y_position")
+    return whole(spark, sf_dir).raw_tables.select("doc_id", "table_seq", "table_id", "caption", "text", "page", "after_block_index", "y_position")
 
 
 @query()
 def synth_metadata(spark, sf_dir):
-    return corpus(spark, sf_dir).metadata.withColumn("authors", F.array_join("authors", "|"))
+    return whole(spark, sf_dir).metadata.withColumn("authors", F.array_join("authors", "|"))
 
 
 @query()
 def synth_coverage(spark, sf_dir):
-    return corpus(spark, sf_dir).coverage.withColumn("ratio", F.round("ratio", 6))
+    return whole(spark, sf_dir).coverage.withColumn("ratio", F.round("ratio", 6))
 
 
 @query()
 def synth_warnings(spark, sf_dir):
-    return corpus(spark, sf_dir).warnings
+    return whole(spark, sf_dir).warnings
 
 
 @query()
 def synth_span_merge(spark, sf_dir):
-    return boxed(layout.merge_spans(layout.clean_spans(synth.spans(synth.load(spark, sf_dir)))), "doc_id", "page", "text")
+    return boxed(layout.merge_spans(layout.clean_spans(synth.spans(synth.load(spark, sf_dir), whole=True))), "doc_id", "page", "text")
 
 
 @query()
 def synth_markdown(spark, sf_dir):
-    return corpus(spark, sf_dir).to_markdown(MarkdownConfig(page_numbers=True, front_matter=True))
+    return whole(spark, sf_dir).to_markdown(MarkdownConfig(page_numbers=True, front_matter=True))
 
 
 @query()
 def synth_markdown_math(spark, sf_dir):
-    return corpus(spark, sf_dir).to_markdown(MarkdownConfig(math=MathConfig(), caption_style="bold"))
+    return whole(spark, sf_dir).to_markdown(MarkdownConfig(math=MathConfig(), caption_style="bold"))
 
 
 @query()
 def synth_llm_text(spark, sf_dir):
-    return corpus(spark, sf_dir).to_llm_text(LlmTextConfig(math="plain"))
+    return whole(spark, sf_dir).to_llm_text(LlmTextConfig(math="plain"))
 
 
 @query()
 def synth_selected_markdown(spark, sf_dir):
-    return corpus(spark, sf_dir).select_sections_by_level(1).to_markdown()
+    return whole(spark, sf_dir).select_sections_by_level(1).to_markdown()
 
 
 @query()
 def synth_json(spark, sf_dir):
-    return corpus(spark, sf_dir).to_json()
+    return whole(spark, sf_dir).to_json()
 
 
 @query()
 def synth_content_json(spark, sf_dir):
-    return corpus(spark, sf_dir).to_content_json()
+    return whole(spark, sf_dir).to_content_json()
 
 
 @query()
 def synth_column_order(spark, sf_dir):
     """Sections when columns are read one after another."""
     d = synth.load(spark, sf_dir)
-    return DocumentSet(synth.spans(d), images=synth.images(d), config=Config(reading_order="column", keep_orphan_assets=True)).toc()
+    return DocumentSet(synth.spans(d, whole=True), images=synth.images(d), config=Config(reading_order="column", keep_orphan_assets=True)).toc()
 
 
 def _paragraphs(spark, sf_dir) -> DocumentSet:
     """Each line of a document a paragraph of one section: for the chunkers."""
-    return corpus(spark, sf_dir)
+    return whole(spark, sf_dir)
 
 
 @query()
@@ -591,10 +597,10 @@ def synth_chunk_paragraph(spark, sf_dir):
 
 @query()
 def synth_selected_chunks(spark, sf_dir):
-    return corpus(spark, sf_dir).select_sections_by_level(1).to_chunks(ChunkConfig(max_tokens=200))
+    return whole(spark, sf_dir).select_sections_by_level(1).to_chunks(ChunkConfig(max_tokens=200))
 
 
 @query()
 def synth_chunk_lines(spark, sf_dir):
-    d = corpus(spark, sf_dir)
+    d = whole(spark, sf_dir)
     return d.chunk_lines(d.to_chunks(ChunkConfig(max_tokens=200, overlap_tokens=20)))

@@ -4,7 +4,12 @@ Not an engine source; it lets layout queries run where no page files exist.
 Line i of a document (of its non-empty lines) is on page i div 8, row i mod 8.  Odd documents have
 two columns of four rows.  Every fourth line is special, by (i div 4) mod 5: three kinds of
 numbered bold headers, a figure caption, a table caption.  Each page has a running head and a
-page number; each figure caption has an image above it."""
+page number; each figure caption has an image above it.
+
+A special line gives its first 40 letters to the header or caption.  With ``whole`` the rest of the
+line is a body span of its own, one row below, so every letter of a document but the white space
+around a cut is in a span.  Without, the rest is left out: that is what SPANS_SQL states, and only
+queries that are held against it run so."""
 
 from __future__ import annotations
 
@@ -12,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS = 8
+HEAD = 40  # letters of a special line that make its header or caption
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     parts = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     d = docs.filter("text is not null").select("doc_id", F.posexplode(parts).alias("i", "t"))
     k, n = F.col("i") % 4 == 0, F.floor(F.col("i") / 20) + 1
     kind = F.when(k, F.floor(F.col("i") / 4) % 5).otherwise(-1).cast("int")
-    head = F.trim(F.substring("t", 1, 40))
+    head = F.trim(F.substring("t", 1, HEAD))
     num = n.cast("string")
     text = (
         F.when(kind == 0, F.concat(num, F.lit(" "), head))
@@ -32,19 +38,26 @@ def _lines(docs: DataFrame) -> DataFrame:
     big = kind.isin(0, 1, 2)
     row = F.col("i") % ROWS
     two = F.col("doc_id") % 2 == 1
-    d = d.select("doc_id", "i", kind.alias("kind"), text.alias("text"), F.floor(F.col("i") / ROWS).cast("int").alias("page"), row.alias("row"), two.alias("two"), big.alias("big"))
+    rest = F.when(kind >= 0, F.trim(F.expr(f"substring(t, {HEAD + 1})"))).otherwise("")
+    d = d.select("doc_id", "i", kind.alias("kind"), text.alias("text"), rest.alias("rest"), F.floor(F.col("i") / ROWS).cast("int").alias("page"), row.alias("row"), two.alias("two"), big.alias("big"))
     size = F.when(F.col("big"), 14.0).otherwise(10.0)
     left = F.when(F.col("two") & (F.col("row") >= 4), 320.0).otherwise(72.0)
     top = F.lit(720.0) - 14.0 * F.when(F.col("two"), F.col("row") % 4).otherwise(F.col("row")) - F.when(F.col("two"), 0.0).otherwise(F.when(F.col("row") >= 4, 60.0).otherwise(0.0))
+    if whole:  # the row below a special line is its rest's
+        top = top - F.when(F.col("row") % 4 == 0, 0.0).otherwise(14.0)
     reach = F.when(F.col("two"), 220.0).otherwise(450.0)
-    return d.select("doc_id", "i", "kind", "text", "page", "row", size.alias("font_size"), F.col("big").alias("is_bold"), left.alias("left"), top.alias("top"), reach.alias("reach"))
+    return d.select("doc_id", "i", "kind", "text", "rest", "page", "row", size.alias("font_size"), F.col("big").alias("is_bold"), left.alias("left"), top.alias("top"), reach.alias("reach"))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    d = _lines(docs)
-    body = d.select(
+def spans(docs: DataFrame, whole: bool = False) -> DataFrame:
+    d = _lines(docs, whole)
+    n, b = F.col("row") + 1, d
+    if whole:
+        rest = d.filter("rest <> ''").withColumns({"text": F.col("rest"), "top": F.col("top") - 14.0, "font_size": F.lit(10.0), "is_bold": F.lit(False), "below": F.lit(1)})
+        n, b = 2 * F.col("row") + 1 + F.col("below"), d.withColumn("below", F.lit(0)).unionByName(rest)
+    body = b.select(
         "doc_id",
-        (F.col("page").cast("long") * 100 + F.col("row") + 1).alias("span_seq"),
+        (F.col("page").cast("long") * 100 + n).alias("span_seq"),
         "page",
         "text",
         F.when(F.col("is_bold"), "Times-Bold").otherwise("Times-Roman").alias("font_name"),
