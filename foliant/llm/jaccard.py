@@ -384,7 +384,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = store(same.select("doc_id", "rep").distinct(), "jac-same")
     copies = same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = early.union(late)
-    several = copies.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("a").alias("_d"))
+    # of a doc_id's sets one may have the doc_id itself as representative: that one counts too
+    several = same.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("doc_id").alias("_d"))
     links = links.union(copies.join(several, F.col("a") == F.col("_d"), "left_semi"))
     final = components(links, "jac-cc2")
     of_rep = same.groupBy("doc_id").agg(F.min("rep").alias("rep"))

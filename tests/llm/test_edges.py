@@ -179,6 +179,13 @@ def test_jaccard_join_against_all_pairs(spark, docs, none):
     assert sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=repr) == brute_components(data)
 
 
+def test_jaccard_join_ties_an_id_to_its_own_set_and_another(spark):
+    a, b = text(21, 60), text(22, 60)
+    data = [(1, b), (5, a), (5, b), (9, a + " and one tail"), (20, text(23, 60)), (20, text(24, 60))]
+    got = sorted(map(tuple, jaccard.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute_components(data) and {c for i, _, c in got if i in (1, 5, 9)} == {1}
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 16))
