@@ -36,20 +36,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, and of each doc_id, one document stays: the smallest id,
-    and of rows that share it the one whose text sorts first by hash.  Null ids stay."""
+    """Of each group of near duplicates one row stays: that of the smallest doc_id (null last), and
+    of its texts the one that sorts first by hash.  Rows are told apart by doc_id and text, so unlike
+    texts of one doc_id, or of none, all stay.  Rows without a word are like nothing and stay."""
     first = _begin(spark)
-    groups = store(near_duplicates(docs).filter("doc_id is not null"), "pipe-groups")
-    gone = store(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "pipe-gone")
-    again = store(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")), "pipe-again")
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    keyed = docs.withColumn("_key", key)
+    groups = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).filter("n_shingles > 0")
+    groups = store(groups.groupBy("doc_id").agg(F.first("component_id").alias("g"), F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("_k"), "g", "n"), "pipe-groups")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("_key"))
+    named = store(keyed.select("doc_id", "_key").join(groups, F.col("_key") == F.col("_k")).select("g", "_key", rank.alias("rank")), "pipe-named")
+    stays = named.groupBy("g").agg(F.min("rank").alias("least")).select(F.col("least._key").alias("_s"))
+    gone = store(named.select("_key").join(stays, F.col("_key") == F.col("_s"), "left_anti").distinct(), "pipe-gone")
+    again = store(groups.filter("n > 1").select(F.col("_k").alias("_again")), "pipe-again")
     sweep(spark, first, ("pipe-gone", "pipe-again"))
-    kept = without(docs, gone, "doc_id")
+    kept = without(keyed, gone, "_key")
     if not again.limit(1).count():
-        return kept
-    once = without(kept, again, "doc_id")
-    twins = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi")
-    row = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64("text"))
-    return once.unionByName(twins.groupBy("doc_id").agg(row.alias("row")).select("row.*").select(*docs.columns))
+        return kept.drop("_key")
+    once = without(kept, again, "_key").select(*docs.columns)
+    twins = kept.join(again, F.col("_key") == F.col("_again"), "left_semi")
+    row = F.first(F.struct(*[F.col(c) for c in docs.columns]))
+    return once.unionByName(twins.groupBy("_key").agg(row.alias("row")).select("row.*").select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,13 @@ def test_stages_keep_their_contracts(spark, tmp_path):
     w = Words()
     assert sum(r.length for r in pieces) == sum(len(w.tok_ids(r.text)) // 4 for r in seen["mixing"])
     assert P.run(spark, str(tmp_path)).count() > 0
+
+
+def test_near_copies_takes_rows_whatever_their_id(spark):
+    from .test_edges import text
+
+    a, b, c, d = (text(400 + i, 60) for i in range(4))
+    data = [(1, a), (1, b), (1, b), (2, a + " and one tail"), (None, c), (None, c), (None, d), (3, d), (4, ""), (4, None), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in data], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in P.near_copies(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (None, c), (3, d), (4, ""), (4, None), (None, None), (None, None)], key=repr)
