@@ -26,9 +26,12 @@ LEAST_SCORE = 0.3  # below it no language stands out, and the document is reject
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those in which no language stands out.  Texts stay
-    in place: the prediction runs beside them and only rejects leave."""
+    in place: the prediction runs beside them and only rejects leave.  Where no labelled row is there
+    to learn from, no language is told and only documents without a letter are rejected."""
     _begin(spark)
     names, net = fit(docs)
+    if net is None:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     plain = [F.col(c).alias(f"c{i}" if c != "text" else "text") for i, c in enumerate(docs.columns)]  # no name can clash
     out = predict(docs.select(*plain), names, net, with_text=True)
     out = out.filter((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE))

@@ -40,3 +40,10 @@ def test_near_copies_takes_rows_whatever_their_id(spark):
     docs = spark.createDataFrame([(*r, "en", "a", 1) for r in data], SCHEMA)
     got = sorted(((r.doc_id, r.text) for r in P.near_copies(spark, docs, "").collect()), key=repr)
     assert got == sorted([(1, a), (1, b), (None, c), (3, d), (4, ""), (4, None), (None, None), (None, None)], key=repr)
+
+
+def test_language_stage_without_labels_keeps_texts(spark):
+    data = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "漢字", None), (5, "", None)]
+    docs = spark.createDataFrame([(*r, "a", 1) for r in data], SCHEMA)
+    out = P.language(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 4]
