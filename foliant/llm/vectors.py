@@ -8,8 +8,8 @@ are found more surely).  Equal vectors are one, with a weight.  A bucket of more
 vectors is compared block against block, each pair of blocks in a group of its own; a pair that
 shares buckets of several tables counts in the first only.  Groups give link counts and a
 spanning star, never pairs.
-Null, zero and non-finite vectors, vectors of another length than most, and rows of null vec_id
-link with nothing (null vec_id: null component, not kept).  Repeated rows are vectors that link
+Vectors of one length are compared with each other; each length has tables of its own.
+Null, zero and non-finite vectors and rows of null vec_id link with nothing (null vec_id: null component, not kept).  Repeated rows are vectors that link
 with each other.  Empty table: empty result."""
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,36 +69,43 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     small_batches(spark, 4000)
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    usual = v.filter("e is not null and size(e) > 0").groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dims = usual.n if usual else 1
-    ok = F.coalesce((F.size("e") == dims) & finite, F.lit(False)) & F.col("vec_id").isNotNull()
+    ok = F.coalesce((F.size("e") > 0) & finite, F.lit(False)) & F.col("vec_id").isNotNull()
     good, bad = v.filter(ok), v.filter(~ok)
     reps = store(good.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "vec-reps")
-    k, n_tables = plan(reps.count(), threshold, recall)
-    hasher = Tables(dims, k, n_tables)
+    plans = {r.dims: plan(r["count"], threshold, recall) for r in reps.groupBy(F.size("e").alias("dims")).count().collect()}
+    made = {}
+
+    def hasher_of(dims):
+        """Tables of a length; a task keeps those of a few lengths."""
+        if dims not in made:
+            if len(made) > 8:
+                made.clear()
+            made[dims] = Tables(dims, *plans[dims])
+        return made[dims]
 
     def emit(batches):
         for batch in batches:
-            x = np.stack(batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)) if batch.num_rows else np.zeros((0, dims))
-            if not len(x):
-                continue
-            unit = x / np.sqrt((x * x).sum(1))[:, None]
-            keys = hasher.keys(unit)
-            n = len(x)
-            raw = pa.array([r.tobytes() for r in x], pa.binary())
-            rep, weight = batch.column(1), batch.column(2)
-            for t in range(hasher.tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(keys[:, t]), rep, weight, raw], names=["t", "key", "rep", "weight", "raw"])
-
-    rows = reps.select("e", "rep", "weight").mapInArrow(released(emit), "t int, key long, rep long, weight long, raw binary")
-    sizes = store(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "vec-sizes")
-    sizes = sizes.select(F.col("t").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_k")))
+            sizes = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            for dims in np.unique(sizes).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == dims)))
+                hasher, n = hasher_of(dims), part.num_rows
+                x = part.column(0).flatten().to_numpy().reshape(n, dims)
+                unit = x / np.sqrt((x * x).sum(1))[:, None]
+                keys = hasher.keys(unit)
+                raw = pa.array([r.tobytes() for r in x], pa.binary())
+                rep, weight = part.column(1), part.column(2)
+                for t in range(hasher.tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dims, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(keys[:, t]), rep, weight, raw], names=["dims", "t", "key", "rep", "weight", "raw"])
+
+    rows = reps.select("e", "rep", "weight").mapInArrow(released(emit), "dims int, t int, key long, rep long, weight long, raw binary")
+    sizes = store(rows.groupBy("dims", "t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "vec-sizes")
+    sizes = sizes.select(F.col("dims").alias("_n"), F.col("t").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, (F.col("dims") == F.col("_n")) & (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_k")))
     own = F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "weight", "raw")
+    rows = rows.select("dims", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "weight", "raw")
     # a block against another is one group; blocks against themselves come once, as (i, i)
-    rows = rows.repartition(partitions(spark), "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "own", "rep")
+    rows = rows.repartition(partitions(spark), "dims", "t", "key", "i", "j").sortWithinPartitions("dims", "t", "key", "i", "j", "own", "rep")
 
     def groups(batches):
         now, rows = None, []
@@ -113,7 +121,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
 
     def compare(batches):
         ids, counts, roots = [], [], []
-        for (t, _, i, j), rows in groups(batches):
+        for (dims, t, _, i, j), rows in groups(batches):
+            hasher = hasher_of(dims)
             unit = unit_rows([r[3] for r in rows])
             own = np.array([r[0] for r in rows])
             for a in range(0, len(rows), 4 * BLOCK):  # a block may be somewhat over BLOCK

@@ -210,6 +210,15 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(5)
+    x, y, z = rng.normal(size=(30, 16)), rng.normal(size=8), rng.normal(size=3)
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, y.tolist()), (101, y.tolist()), (102, (y + 0.01).tolist()), (200, z.tolist()), (201, (2 * z).tolist())]
+    got = {r.vec_id: tuple(r)[1:] for r in vectors.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in (100, 101, 102, 200, 201)] == [(2, 100, True), (2, 100, False), (2, 100, False), (1, 200, True), (1, 200, False)]
+    assert all(got[i] == (0, i, True) for i in range(30))
+
+
 def test_language_is_learned(spark, docs, none):
     rng = np.random.default_rng(2)
     parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "ung", "ei", "th"]}
