@@ -23,9 +23,9 @@ HIDDEN = 16
 LONGEST = 24
 DOCS_A_LANGUAGE = 400  # training documents of each language, at most about
 WORDS_A_DOC = 120  # training words of each, spread over the whole text
-LANGUAGES = 200  # languages told apart, the most frequent first
 STEPS, BATCH, RATE = 300, 1024, 0.02
 CACHE_WORDS = 250_000  # words whose sums a worker keeps
+CACHE_SUMS = 200 * CACHE_WORDS  # sums: with more languages than 200, fewer words are kept
 WINDOW = 1 << 20  # bytes of text read at a time
 UND = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> tuple[list[s
     a hash of doc_id at a rate that gives about ``docs_a_language`` of each language; of each,
     WORDS_A_DOC words at even distances."""
     rows = docs.select("doc_id", "lang", "text").filter(~held_out(4, 2) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return [], None
     names = sorted(c["lang"] for c in counts)
@@ -196,7 +196,7 @@ class Reader:
     def read(self, texts: list[bytes]) -> np.ndarray:
         split = [t.split() for t in texts]
         new = {w for ws in split for w in ws}
-        if len(self.at) + len(new) > CACHE_WORDS:
+        if len(self.at) + len(new) > min(CACHE_WORDS, CACHE_SUMS // (self.sums.shape[1] - 1)):
             self.at, self.used = {}, 0
         new = sorted(new.difference(self.at))
         if new:

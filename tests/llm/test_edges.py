@@ -233,6 +233,12 @@ def test_language_is_learned(spark, docs, none):
     assert langid.identify(none).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    data = [(i, f"word{i % 210} other", f"l{i % 210:03d}") for i in range(1680)]
+    names, net = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert len(names) == 210 == net.p["o"].shape[1]
+
+
 def test_language_gradients():
     rng = np.random.default_rng(0)
     net = langid.Network(3)
