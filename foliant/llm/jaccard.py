@@ -2,8 +2,8 @@
 
 Sets are the distinct five-word shingles of whole texts, as 64-bit hashes.  Equal sets are one.
 The index holds, per shingle, the list of sets that have it in their prefix (rare shingles
-first), in blocks by size: sizes too far apart are skipped as blocks.  What a set is linked with
-is derived from sets already known to be like it: sets of frequent shingles that share a
+first), sorted by size: sizes too far apart are cut off.  No blocks by position are skipped and no
+set's answers are derived from another's; links are not counted.  Instead, sets of frequent shingles that share a
 min-hash are compared in groups of bounded blocks first, and in the lists a pair whose sets are connected already, or
 were compared, is passed over, so a list of copies costs nothing.  The pairs left are counted over all lists; counts that
 cannot reach the threshold are dropped, and the rest is verified on whole sets.
