@@ -1,99 +1,125 @@
 """Exact repeated-substring removal over a sparse, range-partitioned suffix array.
 
-Every byte covered by a LENGTH-byte string that starts anywhere else is removed.  Each window of
-LENGTH bytes is represented by an anchor, the smallest hashed k-gram among its first REACH
-starts, so equal windows have equal anchors at equal offsets, and only suffixes that begin at
-anchors are sorted.  Runs of windows with one anchor travel as one row.
+Every byte covered by a string of ``length`` bytes that starts anywhere else too is removed; with
+``first_stays`` one occurrence of each string, that of the document whose hash is smallest, stays.
+A window (such a string) is represented by an anchor, the smallest hashed k-gram among the first
+half of its starts, so equal windows have equal anchors at equal offsets and only suffixes that
+begin at anchors are sorted.  Consecutive windows of one anchor travel as one run.
 
 1. Suffix leads (the bytes after an anchor that all its windows share) are counted over all
    documents; windows whose lead is unique are unique, and drop out.
-2. Runs with equal bytes are repeated as a whole, counted without sorting.
-3. Runs that share a lead and differ are suffixes to sort: sampled splitters range-partition
-   them by leading bytes, each bucket sorts locally by multikey quicksort on 8-byte tokens,
-   neighbours are compared, and within a stretch of equal leads the windows that occur twice
-   are found.  Leads of very many differing runs are cut finer, into stretches of starts that
-   must share nearly all of their LENGTH bytes; a lead never straddles a bucket's boundary.
-4. Repeated starts meet their documents, and the bytes they cover go.
-
-Null text: empty.  Texts shorter than LENGTH: kept.  Null doc_id and repeated rows: documents of
-their own (repeated rows of LENGTH bytes or more remove each other whole).  Very long texts: in
-overlapping segments, so windows are never lost.  Empty table: empty result."""
+2. Runs with equal bytes are one kind: they are added up before anything is sorted.
+3. A kind goes once to the sort, with its bytes.  Sampled splitters range-partition the suffixes by
+   leading bytes; each bucket sorts them by multikey quicksort on 8-byte tokens, forwards from the
+   anchor and backwards from it, and takes the common prefix of every two sorted neighbours.  A
+   window that begins o bytes before its anchor is repeated if and only if some other run shares
+   the o bytes before and length - o after the anchor, that is, lies in the same stretch of both
+   orders without a neighbour's common prefix below o or length - o.
+4. Leads of more than CROWD differing runs (a passage that very many documents hold) are cut into
+   windows: these are range-sorted so that equal windows may span several tasks, compared with
+   their sorted neighbours, and across the boundaries by the first and last window of each task.
+5. Repeated windows meet their documents, and the bytes they cover go.
+
+Null text: empty.  Texts shorter than a window: kept.  Null doc_id and repeated rows: documents of
+their own (repeated rows of a window or more remove each other whole; with ``first_stays`` rows
+alike in doc_id and text are one occurrence).  Very long texts: in overlapping segments, so windows
+are never lost.  Ties: none, an occurrence is (document, start).  Empty table: empty result."""
 
 from __future__ import annotations
 
-import hashlib
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, SEGMENT, bit_table, held_in, in_table, mix, partitions, powers, released, small_batches, store, tidy, utf8
 
-LENGTH = 400
+LENGTH = 400  # op8's contract
+PASSAGE, PASSAGE_WORDS = 200, 50  # a passage: repeated strings of so many bytes that make up so many words
 GRAM = 24
-REACH = 200
-LEAD = LENGTH - REACH + 1
-CROWD = 256  # differing runs of one lead that are still compared in one stretch
-FINE = 32  # starts to a stretch beyond that
+CROWD = 512  # differing runs of one lead that are sorted in one task
+PART = 1 << 22  # bytes of runs sorted at a time
 SLOTS = 1 << 20
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Windows of ``base`` bytes have the anchors; runs carry what windows of ``top`` need."""
+
+    base: int
+    top: int
+
+    @property
+    def reach(self) -> int:
+        return self.base // 2
+
+    @property
+    def lead(self) -> int:
+        return self.base - self.reach + 1
+
+
 def _hash(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((total[b] - total[a]) * powers()[SEGMENT - a])
 
 
-def segments(texts: list[bytes]):
-    """(buffer, [(text number, offset in text, offset in buffer, length)]): whole texts together,
-    long ones in pieces that overlap by LENGTH - 1."""
+def _sums(data: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_CODES[data] * powers()[: len(data)], out=total[1:])
+    return total
+
+
+def segments(texts: list[bytes], shape: Shape):
+    """(buffer, [(text number, offset in text, offset in buffer, length, starts)]): whole texts
+    together, long ones in pieces that overlap, so that each start has all its bytes."""
     held, size = [], 0
     for i, t in enumerate(texts):
-        for a in range(0, max(len(t) - LENGTH + 1, 0), SEGMENT - LENGTH + 1):
+        for a in range(0, max(len(t) - shape.base + 1, 0), SEGMENT - shape.top + 1):
             n = min(SEGMENT, len(t) - a)
+            last = a + n == len(t)
             if size + n > SEGMENT:
-                yield _joined(texts, held)
+                yield np.frombuffer(b"".join(texts[k][b : b + m] for k, b, _, m, _ in held), np.uint8), held
                 held, size = [], 0
-            held.append((i, a, size, n))
+            held.append((i, a, size, n, n - (shape.base if last else shape.top) + 1))
             size += n
+            if last:
+                break
     if held:
-        yield _joined(texts, held)
-
-
-def _joined(texts, held):
-    return np.frombuffer(b"".join(texts[i][a : a + n] for i, a, _, n in held), np.uint8), held
+        yield np.frombuffer(b"".join(texts[k][b : b + m] for k, b, _, m, _ in held), np.uint8), held
 
 
-def runs(texts: list[bytes], with_bytes: bool = False):
-    """Per segment: arrays (text number, start, starts, anchor - start, lead hash, content hash)
-    and, asked for, the segment's buffer with the runs' places in it."""
-    for data, held in segments(texts):
-        n = len(data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data] * powers()[:n], out=total[1:])
+def runs(texts: list[bytes], shape: Shape):
+    """Per segment: arrays (text number, start, starts, bytes, anchor - start, lead hash, content
+    hash), the segment's buffer and the runs' places in it."""
+    for data, held in segments(texts, shape):
+        n, reach = len(data), shape.reach
+        total = _sums(data)
         grams = n - GRAM + 1
         p = np.arange(grams)
         g = (_hash(total, p, p + GRAM) & ~np.uint64(SEGMENT - 1)) | p.astype(np.uint64)
-        room = -(-grams // REACH) * REACH + REACH
-        g = np.concatenate([g, np.full(room - grams, np.uint64(2**64 - 1))]).reshape(-1, REACH)
+        room = -(-grams // reach) * reach + reach
+        g = np.concatenate([g, np.full(room - grams, np.uint64(2**64 - 1))]).reshape(-1, reach)
         ahead = np.minimum.accumulate(g, 1).ravel()
         behind = np.minimum.accumulate(g[:, ::-1], 1)[:, ::-1].ravel()
-        starts = np.concatenate([np.arange(o, o + m - LENGTH + 1) for _, _, o, m in held])
-        anchor = (np.minimum(behind[starts], ahead[starts + REACH - 1]) & np.uint64(SEGMENT - 1)).astype(np.int64)
+        starts = np.concatenate([np.arange(o, o + k) for _, _, o, _, k in held])
+        anchor = (np.minimum(behind[starts], ahead[starts + reach - 1]) & np.uint64(SEGMENT - 1)).astype(np.int64)
         new = np.ones(len(starts), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
-        # adjacent texts in the buffer never give consecutive starts: LENGTH - 1 lie between
+        # adjacent texts in the buffer never give consecutive starts: base - 1 lie between
         first = np.flatnonzero(new)
         s, a, c = starts[first], anchor[first], np.diff(np.append(first, len(starts)))
-        which = np.searchsorted(np.array([o for _, _, o, _ in held]), s, side="right") - 1
-        text = np.array([h[0] for h in held])[which]
-        at = s + np.array([h[1] - h[2] for h in held])[which]
-        lead = _hash(total, a, a + LEAD)
-        content = mix(_hash(total, s, s + c - 1 + LENGTH) + c.astype(np.uint64))
-        yield text, at, c, a - s, lead, content, (data, s) if with_bytes else None
+        which = np.searchsorted(np.array([o for _, _, o, _, _ in held]), s, side="right") - 1
+        place = np.array([(h[0], h[1] - h[2], h[2] + h[3]) for h in held])[which]
+        size = np.minimum(c - 1 + shape.top, place[:, 2] - s)
+        lead = _hash(total, a, a + shape.lead)
+        content = mix(_hash(total, s, s + size) + (c + (size << 20)).astype(np.uint64))
+        yield place[:, 0], s + place[:, 1], c, size, a - s, lead, content, data, s
 
 
 def occurrence(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return mix(doc + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(doc.astype(np.int64).view(np.uint64) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _long(x) -> pa.Array:
@@ -120,204 +146,319 @@ def multikey_order(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def bucket_repeats(rows: list[tuple]) -> list[tuple]:
-    """(lead, content, from, to): starts of windows that occur in two differing runs.  Rows are
-    (lead, content, base, starts, core offset, core length, bytes)."""
-    found = []
-    if len(rows) < 2:
-        return found
-    width = -(-max(r[5] for r in rows) // 8)
-    raw = b"".join(r[6][r[4] : r[4] + r[5]].ljust(width * 8, b"\0") for r in rows)
-    tokens = np.frombuffer(raw, ">u8").reshape(len(rows), width).astype(np.uint64)
+_BYTES = np.array([1 << k for k in range(56, -8, -8)], np.uint64)
+
+
+def sorted_neighbours(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings' order, and how many bytes each has in common with the one before it (0 for
+    the first).  A string sorts before those that it begins."""
+    lens = np.array([len(x) for x in strings])
+    width = max(1, -(-int(lens.max()) // 8))
+    raw = np.frombuffer(b"".join(x.ljust(width * 8, b"\0") for x in strings), ">u8").reshape(len(strings), width)
+    tokens = np.concatenate([raw.astype(np.uint64), lens[:, None].astype(np.uint64)], 1)
     order = multikey_order(tokens)
-    lens = np.array([r[5] for r in rows])[order]
-    same = (tokens[order[1:]] == tokens[order[:-1]]).all(1) & (lens[1:] == lens[:-1])
-    edges = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(rows)]])
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if b - a < 2:
+    x = tokens[order[1:], :-1] ^ tokens[order[:-1], :-1]
+    at = (x != 0).argmax(1)
+    x = x[np.arange(len(x)), at]
+    same = np.where(x == 0, 8 * width, 8 * at + (x[:, None] < _BYTES).sum(1))
+    return order, np.concatenate([[0], np.minimum(same, np.minimum(lens[order[1:]], lens[order[:-1]]))])
+
+
+def bucket_repeats(raw: list[bytes], off: np.ndarray, starts: np.ndarray, rank: np.ndarray, length: int):
+    """(run, window from, to, first): stretches of windows that occur in two runs of the bucket.
+    Runs are bytes with the anchor's offset and how many windows begin in them; ``first`` tells those
+    windows whose run has the smallest rank of all that hold them."""
+    ahead, forwards = sorted_neighbours([r[o:] for r, o in zip(raw, off.tolist(), strict=True)])
+    back, backwards = sorted_neighbours([r[:o][::-1] for r, o in zip(raw, off.tolist(), strict=True)])
+    n, after = len(raw), np.array([len(r) for r in raw]) - off
+    low, found = off - starts + 1, []
+    right, left = np.empty(n, np.int64), np.empty(n, np.int64)
+    for o in range(int(low.min()), int(off.max()) + 1):
+        rows = np.flatnonzero((low <= o) & (o <= off) & (after >= length - o))
+        if len(rows) < 2:
             continue
-        once = {rows[k][1:3]: k for k in order[a:b].tolist()}  # a run may have come twice
-        group = sorted(once.values())
-        hashes, owner, start = [], [], []
-        for k in group:
-            data = np.frombuffer(rows[k][6], np.uint8)
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(BYTE_CODES[data] * powers()[: len(data)], out=total[1:])
-            i = np.arange(rows[k][3])
-            hashes.append(_hash(total, i, i + LENGTH))
-            owner.append(np.full(len(i), k))
-            start.append(i)
-        h, owner, start = np.concatenate(hashes), np.concatenate(owner), np.concatenate(start)
-        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        twice = n[back] > 1
-        owner, start = owner[twice], start[twice]
-        if len(owner):
-            cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)]))
-            for x, y in zip(cut.tolist(), np.append(cut[1:], len(owner)).tolist(), strict=True):
-                k = int(owner[x])
-                found.append((rows[k][0], rows[k][1], rows[k][2] + int(start[x]), rows[k][2] + int(start[y - 1]) + 1))
-    return found
-
-
-def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, from, to): ranges of starts of repeated windows of the rows of ``docs``
-    (doc_id, th, text), th a hash of the text."""
-    spark = docs.sparkSession
-    d = docs.filter(F.octet_length("text") >= LENGTH).select("doc_id", "th", F.xxhash64("doc_id", "th").alias("dh"), "text")
+        right[ahead] = np.cumsum(forwards < length - o)
+        left[back] = np.cumsum(backwards < o)
+        key = right[rows] * (n + 1) + left[rows]
+        order = np.lexsort((rank[rows], key))
+        rows, key = rows[order], key[order]
+        same = key[1:] == key[:-1]
+        later = np.concatenate([[False], same])
+        twice = later | np.concatenate([same, [False]])
+        if twice.any():
+            found.append(np.stack([rows[twice], off[rows[twice]] - o, ~later[twice]], 1))
+    if not found:
+        return np.zeros((0, 4), np.int64)
+    found = np.concatenate(found)
+    return stretches(found[:, 0], found[:, 1], found[:, 2])
+
+
+def stretches(owner: np.ndarray, at: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """(owner, from, to, flag) of maximal consecutive ``at`` with equal owner and flag."""
+    order = np.lexsort((at, flag, owner))
+    owner, at, flag = owner[order], at[order], flag[order]
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (flag[1:] != flag[:-1]) | (at[1:] != at[:-1] + 1)])
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(at)) - 1
+    return np.stack([owner[a], at[a], at[b] + 1, flag[a]], 1)
+
+
+ROW = "front binary, lead long, dh long, th long, s long, starts long, off long, hot boolean, bytes binary"
+FOUND = "dh long, th long, w int, `from` long, `to` long"
+
+
+def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool = False) -> DataFrame:
+    """(dh, th, w, from, to): ranges of starts of repeated windows of w bytes, for each of ``lengths``,
+    in the rows of ``docs`` (dh, th, text), dh a hash of the document and th of its text."""
+    spark, shape = docs.sparkSession, Shape(min(lengths), max(lengths))
+    d = docs.filter(F.octet_length("text") >= shape.base).select("dh", "th", "text")
 
     def leads(batches):
         for batch in batches:
-            held = [r[4] for r in runs(utf8(batch.column(0)))]
-            if held:
-                h, n = np.unique(np.concatenate(held), return_counts=True)
+            for *_, lead, _, _, _ in runs(utf8(batch.column(0)), shape):
+                h, n = np.unique(lead, return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(h), _long(n)], names=["lead", "n"])
 
     counts = d.select("text").mapInArrow(released(leads), "lead long, n long").groupBy("lead").agg(F.sum("n").alias("n"))
-    shared = store(counts.filter("n > 1").select("lead"), "suf-leads")
-    table = bit_table(shared)
+    table = bit_table(counts.filter("n > 1").select("lead"))
 
     def emit(batches):
         for batch in batches:
-            ids, th, dh = batch.column(0), batch.column(1), batch.column(2).to_numpy().view(np.uint64)
-            for text, at, c, off, lead, content, _ in runs(utf8(batch.column(3))):
+            dh, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for text, at, c, size, _, lead, content, _, _ in runs(utf8(batch.column(2)), shape):
                 k = np.flatnonzero(in_table(table, lead.view(np.int64)))
                 if len(k):
-                    row = pa.array(text[k])
-                    cols = [ids.take(row), th.take(row), _long(at[k]), _long(c[k]), _long(lead[k]), _long(content[k]), _long(occurrence(dh[text[k]], at[k]))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "s", "c", "lead", "content", "occ"])
+                    t = text[k]
+                    cols = [_long(x) for x in (dh[t], th[t], at[k], c[k], size[k], lead[k], content[k])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["dh", "th", "s", "c", "size", "lead", "content"])
 
-    places = d.mapInArrow(released(emit), "doc_id long, th long, s long, c long, lead long, content long, occ long")
-    places = store(places, "suf-runs")
-    kinds = store(places.groupBy("lead", "content").agg(F.count(F.lit(1)).alias("n"), F.min("occ").alias("occ")), "suf-kinds")
+    places = store(d.mapInArrow(released(emit), "dh long, th long, s long, c long, size long, lead long, content long"), "suf-runs")
+    kinds = places.groupBy("lead", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("dh", "s")).alias("first"))
+    kinds = store(kinds, "suf-kinds")
     tidy(spark)
-    crowd = kinds.groupBy("lead").agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("least")).filter("v > 1 and least = 1")
+    crowd = kinds.groupBy("lead").agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("least")).filter("v > 1" if first_stays else "v > 1 and least = 1")
     crowd = store(crowd.select("lead", "v"), "suf-crowds")
-    to_sort = kinds.join(crowd, "lead")
-    wanted = bit_table(to_sort.select("occ"))
+
+    @F.pandas_udf("long")
+    def place_hash(dh: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series(occurrence(dh.to_numpy(), s.to_numpy()).view(np.int64))
+
+    wanted = bit_table(kinds.join(crowd, "lead").select(place_hash("first.dh", "first.s").alias("occ")))
+    crowds = bit_table(crowd.select("lead"))
     split = np.zeros(SLOTS, bool)
     big = crowd.filter(F.col("v") > CROWD).select(F.pmod("lead", F.lit(SLOTS)).alias("slot")).distinct().toPandas()
     split[big["slot"].to_numpy(np.int64)] = True
-    crowds = bit_table(crowd.select("lead"))
 
     def suffixes(batches):
-        names = ["front", "lead", "content", "base", "starts", "core", "core_len", "bytes"]
+        names = [f.split()[0] for f in ROW.split(", ")]
         for batch in batches:
-            dh = batch.column(0).to_numpy().view(np.uint64)
-            for text, at, c, off, lead, content, (data, s) in runs(utf8(batch.column(1)), True):
+            dh, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for text, at, c, size, off, lead, _, data, s in runs(utf8(batch.column(2)), shape):
                 k = np.flatnonzero(in_table(crowds, lead.view(np.int64)))
                 k = k[in_table(wanted, occurrence(dh[text[k]], at[k]).view(np.int64))]
-                out = []
-                many = split[(lead[k] & np.uint64(SLOTS - 1)).astype(np.int64)].tolist()
-                for i, m in zip(k.tolist(), many, strict=True):
-                    ld, ct, a, n, o = int(lead[i].view(np.int64)), int(content[i].view(np.int64)), int(s[i]), int(c[i]), int(off[i])
-                    if not m:
-                        raw = data[a : a + n - 1 + LENGTH].tobytes()
-                        out.append((raw[o : o + 16], ld, ct, 0, n, o, LEAD, raw))
-                        continue
-                    # start j lies o - j bytes before the anchor; stretches are cut by that distance
-                    j = 0
-                    while j < n:
-                        stop = min(n, o - (o - j) // FINE * FINE + 1) if o >= j else n
-                        stop = max(stop, j + 1)
-                        low = (o - j) // FINE * FINE
-                        # the core is what all starts of the whole stretch would share
-                        core_from = max(0, o - low - j)
-                        core = core_from, LENGTH - FINE + 1
-                        raw = data[a + j : a + stop - 1 + LENGTH].tobytes()
-                        out.append((raw[core[0] : core[0] + 16], ld, ct, j, stop - j, core[0], core[1], raw))
-                        j = stop
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *[pa.array(x, pa.int64()) for x in cols[1:7]], pa.array(cols[7], pa.binary())], names=names)
-
-    rows = d.select("dh", "text").mapInArrow(released(suffixes), "front binary, lead long, content long, base long, starts long, core long, core_len long, bytes binary")
-    # a stretch is dealt by a hash of its core after its leading bytes, so that a common front spreads
-    rows = rows.withColumn("core_hash", F.xxhash64(F.expr("substring(bytes, int(core) + 1, int(core_len))")))
-    rows = rows.repartitionByRange(partitions(spark), "front", "core_hash").sortWithinPartitions("front", "core_hash")
+                if not len(k):
+                    continue
+                raw = [data[a : a + n].tobytes() for a, n in zip(s[k].tolist(), size[k].tolist(), strict=True)]
+                front = [r[o : o + 16] for r, o in zip(raw, off[k].tolist(), strict=True)]
+                t, hot = text[k], split[(lead[k] & np.uint64(SLOTS - 1)).astype(np.int64)]
+                cols = [pa.array(front, pa.binary()), *[_long(x) for x in (lead[k], dh[t], th[t], at[k], c[k], off[k])], pa.array(hot), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    # written first: sampling the splitters would run the texts through Python once more
+    rows = store(d.mapInArrow(released(suffixes), ROW), "suf-suffixes")
+    tidy(spark)
+    calm = rows.filter("not hot").drop("hot").repartitionByRange(partitions(spark), "front", "lead").sortWithinPartitions("front", "lead")
+
+    def found_batch(rows_: list[np.ndarray]):
+        cols = np.concatenate(rows_).T
+        kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(x).cast(k) for x, k in zip(cols, kinds_, strict=True)], names=["dh", "th", "w", "from", "to"])
 
     def sort(batches):
         now, held, size = None, [], 0
 
         def done():
-            found = bucket_repeats(held)
-            if found:
-                cols = list(zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["lead", "content", "from", "to"])
+            part = list({(r[1], r[3]): r for r in held}.values())  # rows of one place are one
+            if len(part) < 2:
+                return
+            dh, th, s, starts, off = (np.array([r[j] for r in part], np.int64) for j in range(1, 6))
+            rank = np.empty(len(part), np.int64)
+            rank[np.lexsort((s, dh))] = np.arange(len(part))
+            for w in lengths:
+                got = bucket_repeats([r[6] for r in part], off, starts, rank, w)
+                got = got[got[:, 3] == 0] if first_stays else got
+                if len(got):
+                    k = got[:, 0]
+                    yield found_batch([np.stack([dh[k], th[k], np.full(len(k), w), s[k] + got[:, 1], s[k] + got[:, 2]], 1)])
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             for i in range(batch.num_rows):
-                key = cols[0][i], cols[8][i]
-                if key != now and size > 1 << 22:  # a bucket is sorted in parts that end between leads
+                key = cols[0][i], cols[1][i]
+                if key != now and size > PART:  # a bucket is sorted in parts that end between leads
                     yield from done()
                     held, size = [], 0
                 now = key
-                held.append(tuple(c[i] for c in cols[1:8]))
+                held.append(tuple(c[i] for c in cols[1:]))
                 size += len(cols[7][i])
         yield from done()
 
-    sorted_ = rows.mapInArrow(released(sort), "lead long, content long, `from` long, `to` long")
-    parts = store(sorted_, "suf-sorted")
-    tidy(spark)
-    whole = places.join(kinds.filter("n > 1").select("lead", "content"), ["lead", "content"]).select("doc_id", "th", F.col("s").alias("from"), (F.col("s") + F.col("c")).alias("to"))
-    single = kinds.filter("n = 1").select("lead", "content")
-    # written first: then the join with the places, where copies crowd, stands alone and can be split
-    parts = store(parts.join(single, ["lead", "content"]), "suf-parts").withColumnRenamed("lead", "_l").withColumnRenamed("content", "_c").withColumnRenamed("from", "_f").withColumnRenamed("to", "_t")
-    part = places.join(parts, (F.col("lead") == F.col("_l")) & (F.col("content") == F.col("_c"))).select("doc_id", "th", (F.col("s") + F.col("_f")).alias("from"), (F.col("s") + F.col("_t")).alias("to"))
-    return store(whole.unionByName(part), "suf-starts")
-
-
-def remove_repeats(docs: DataFrame, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes left, joined) and the
-    columns named in ``keep``, which must not clash with these.  ``as_text``: ``kept`` as text, what is
-    left of a letter that a cut went through gone too."""
+    parts = [calm.mapInArrow(released(sort), FOUND)]
+    if len(big):
+        parts.append(crowded_windows(rows.filter("hot"), lengths, first_stays))
+    # all occurrences of a kind that comes again are repeats, but for the first if that one stays
+    again = kinds.filter("n > 1").select(F.col("lead").alias("_l"), F.col("content").alias("_c"), "first")
+    whole = places.join(again, (F.col("lead") == F.col("_l")) & (F.col("content") == F.col("_c")))
+    if first_stays:
+        whole = whole.filter(~((F.col("dh") == F.col("first.dh")) & (F.col("s") == F.col("first.s"))))
+    for w in lengths:
+        until = F.col("s") + F.least("c", F.col("size") - (w - 1))
+        parts.append(whole.select("dh", "th", F.lit(w).alias("w"), F.col("s").alias("from"), until.alias("to")).filter("`from` < `to`"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return store(out, "suf-starts")
+
+
+def crowded_windows(rows: DataFrame, lengths: tuple[int, ...], first_stays: bool) -> DataFrame:
+    """Repeated windows of the runs in ``rows`` one by one: range-sorted by (lead, length, hash) and
+    then by occurrence, so that a window of many documents spans tasks; compared with the
+    neighbours in the order, and with the window before and after at a task's boundaries, of which
+    two a task reach the driver."""
+    spark = rows.sparkSession
+    order = ["lead", "w", "h", "dh", "at", "th"]
+    wide = "lead long, w int, h long, dh long, at long, th long"
+
+    def windows(batches):
+        for batch in batches:
+            lead, dh, th, s, starts = (batch.column(j).to_numpy() for j in (1, 2, 3, 4, 5))
+            out = []
+            for i, raw in enumerate(batch.column(8).to_pylist()):
+                total = _sums(np.frombuffer(raw, np.uint8))
+                for w in lengths:
+                    a = np.arange(min(int(starts[i]), len(raw) - w + 1))
+                    if len(a):
+                        one = np.ones(len(a), np.int64)
+                        out.append(np.stack([lead[i] * one, w * one, _hash(total, a, a + w).view(np.int64), dh[i] * one, s[i] + a, th[i] * one]))
+            if out:
+                cols = np.concatenate(out, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(pa.int32()) if n == "w" else pa.array(c) for c, n in zip(cols, order, strict=True)], names=order)
+
+    dealt = rows.mapInArrow(released(windows), wide)
+    dealt = store(dealt, "suf-windows").repartitionByRange(partitions(spark), *order[:5]).sortWithinPartitions(*order[:5])
+
+    def compare(batches):
+        from pyspark import TaskContext
+
+        pid, before, held = TaskContext.get().partitionId(), None, None
+
+        def tell(cols, before, after, edge):
+            """Rows between ``before`` and ``after``: same key as the row before, as the row after."""
+            all_ = np.concatenate([x for x in (before, cols, after) if x is not None], 1)
+            same = (all_[:3, 1:] == all_[:3, :-1]).all(0)
+            lo, n = int(before is not None), cols.shape[1]
+            prev = np.concatenate([[False], same])[lo : lo + n]
+            next_ = np.concatenate([same, [False]])[lo : lo + n]
+            names = [*order, "prev", "next", "edge", "pid"]
+            arrays = [pa.array(c).cast(pa.int32()) if k == "w" else pa.array(c) for c, k in zip(cols, order, strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(prev), pa.array(next_), pa.array(edge), pa.array(np.full(n, pid, np.int32))], names=names)
+
+        # one batch waits for the next, so that each row sees its neighbours
+        for batch in batches:
+            cols = np.stack([batch.column(j).to_numpy().astype(np.int64) for j in range(6)])
+            tail = held[:, -1:] if held is not None else None
+            ends = np.concatenate([tail, cols], 1) if tail is not None else cols
+            keep = np.concatenate([[True], (ends[:5, 1:] != ends[:5, :-1]).any(0)])[int(tail is not None) :]  # a place twice is one
+            cols = cols[:, keep]
+            if not cols.shape[1]:
+                continue
+            if held is not None:
+                edge = np.zeros(held.shape[1], np.int32)
+                edge[0] += before is None
+                yield tell(held, before, cols[:, :1], edge)
+                before = held[:, -1:]
+            held = cols
+        if held is not None:
+            edge = np.zeros(held.shape[1], np.int32)
+            edge[0] += before is None
+            edge[-1] += 2
+            yield tell(held, before, None, edge)
+
+    told = store(dealt.mapInArrow(released(compare), wide + ", prev boolean, next boolean, edge int, pid int"), "suf-told")
+    ends = sorted((r for r in told.filter("edge > 0").collect()), key=lambda r: (r.pid, r.edge != 1))
+    settled, key = [], lambda r: (r.lead, r.w, r.h)
+    for i, r in enumerate(ends):
+        prev = r.prev or (r.edge in (1, 3) and i > 0 and key(ends[i - 1]) == key(r))
+        next_ = r.next or (r.edge in (2, 3) and i + 1 < len(ends) and key(ends[i + 1]) == key(r))
+        settled.append((r.dh, r.th, r.w, r.at, prev, next_))
+    rest = told.filter("edge = 0").select("dh", "th", "w", "at", "prev", "next")
+    all_ = rest.unionByName(spark.createDataFrame(settled, "dh long, th long, w int, at long, prev boolean, next boolean"))
+    return all_.filter("prev" if first_stays else "prev or next").select("dh", "th", "w", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
+
+
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None, as_text: bool = False, length: int = LENGTH, least_words: int = 0, first_stays: bool = False, passages: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, passage_bytes, kept (bytes left, joined)
+    and the columns named in ``keep``, which must not clash with these.  ``as_text``: ``kept`` as text, what
+    is left of a letter that a cut went through gone too.  ``least_words``: runs of repeated strings
+    with fewer words stay.  ``passages``: passage_bytes counts the bytes of repeated passages (strings of
+    PASSAGE bytes, in runs of PASSAGE_WORDS words or more), which this does not remove; else null."""
     spark = docs.sparkSession
     small_batches(spark, 500)
     keep = keep or []
+    lengths = tuple(dict.fromkeys((length, PASSAGE) if passages else (length,)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"), *keep)
-    found = repeated_starts(d.select("doc_id", "th", "text"))
-    per = found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("ranges"))
-    per = store(per.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "ranges"), "suf-ranges")
+    d = d.withColumn("dh", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "th"))
+    found = repeated_starts(d.select("dh", "th", "text"), lengths, first_stays)
+    per = found.groupBy("dh", "th").agg(F.sort_array(F.collect_set(F.struct("w", "from", "to"))).alias("ranges"))
+    per = store(per.select(F.col("dh").alias("_d"), F.col("th").alias("_t"), "ranges"), "suf-ranges")
     table = bit_table(per.select(F.xxhash64("_d", "_t").alias("h")))
     order = ["doc_id", "text", "ranges", *keep]
+    nothing = F.lit(0).cast("long")
 
     # documents that no range can touch stay where they are
-    marked = d.withColumn("_hit", held_in(table)(F.xxhash64("doc_id", "th")))
+    marked = d.withColumn("_hit", held_in(table)(F.xxhash64("dh", "th")))
     free = marked.filter(~F.col("_hit")).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), (F.col("text") if as_text else F.encode("text", "UTF-8")).alias("kept"), *keep
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), (nothing if passages else F.lit(None).cast("long")).alias("passage_bytes"), (F.col("text") if as_text else F.encode("text", "UTF-8")).alias("kept"), *keep
     )
-    hit = marked.filter("_hit").join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select(*order)
+    hit = marked.filter("_hit").join(per, (F.col("dh") == F.col("_d")) & (F.col("th") == F.col("_t")), "left").select(*order)
     schema = free.schema
 
+    def merged(t: bytes, ranges: list, w: int, words: int) -> list[tuple[int, int]]:
+        """Bytes that the windows of w bytes cover, runs of fewer words left out."""
+        out: list[list[int]] = []
+        for r in ranges:
+            if r["w"] != w:
+                continue
+            a, b = r["from"], r["to"] - 1 + w
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        return [(a, b) for a, b in out if not words or len(t[a:b].split()) >= words]
+
     def cut(batches):
         for batch in batches:
-            n, removed, spans, kept = [], [], [], []
+            n, removed, spans, passage, kept = [], [], [], [], []
             for t, ranges in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                out, at, gone, k = [], 0, 0, 0
-                end = -1
-                for r in ranges or []:
-                    a, b = r["from"], r["to"] - 1 + LENGTH
-                    if a > end:
-                        out.append(t[at:a])
-                        k += 1
-                        gone += b - a
-                        end = at = b
-                    elif b > end:
-                        gone += b - end
-                        end = at = b
+                out, at = [], 0
+                gone = merged(t, ranges or [], length, least_words)
+                for a, b in gone:
+                    out.append(t[at:a])
+                    at = b
                 out.append(t[at:])
                 n.append(len(t))
-                removed.append(gone)
-                spans.append(k)
+                removed.append(sum(b - a for a, b in gone))
+                spans.append(len(gone))
+                passage.append(sum(b - a for a, b in merged(t, ranges or [], PASSAGE, PASSAGE_WORDS)) if passages else None)
                 rest = b"".join(out)
                 kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
-            cols = [batch.column(0), _long(n), _long(removed), _long(spans), pa.array(kept, pa.string() if as_text else pa.binary()), *[batch.column(order.index(c)) for c in keep]]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *keep])
+            cols = [batch.column(0), _long(n), _long(removed), _long(spans), pa.array(passage, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), *[batch.column(order.index(c)) for c in keep]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "passage_bytes", "kept", *keep])
 
     return free.unionByName(hit.mapInArrow(released(cut), schema))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), passages=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "passage_bytes")

@@ -4,30 +4,65 @@ from collections import Counter
 
 import numpy as np
 from foliant.llm import suffixes
-from foliant.llm.suffixes import LENGTH, multikey_order, remove_repeats
+from foliant.llm.suffixes import LENGTH, PASSAGE, PASSAGE_WORDS, multikey_order, remove_repeats, sorted_neighbours
 
 SCHEMA = "doc_id long, text string, kept string, _t int"
 
 
+def covered(texts, length, words=0, first=None):
+    """A mask per text, by a table of all windows.  ``first``: order of the texts, of which the first
+    occurrence of each window stays."""
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    taken, out = set(), [None] * len(texts)
+    for k in first or range(len(texts)):
+        t = texts[k]
+        gone = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - length + 1):
+            w = t[i : i + length]
+            if seen[w] > 1 and (first is None or w in taken):
+                gone[i : i + length] = True
+            taken.add(w)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone]).astype(int)))
+        for a, b in zip(edge[::2], edge[1::2], strict=True):
+            gone[a:b] = len(t[a:b].split()) >= words
+        out[k] = gone
+    return out
+
+
+def spans(gone):
+    return int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+
+
+def left(t, gone):
+    return hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=False) if not g)).hexdigest()
+
+
 def brute(rows):
-    """(doc_id, n_bytes, n_removed, n_spans, sha) of every row, by a table of all windows."""
+    """(doc_id, n_bytes, n_removed, n_spans, sha, passage_bytes) of every row."""
     texts = [(r[1] or "").encode() for r in rows]
-    seen = Counter(t[i : i + LENGTH] for t in texts for i in range(len(t) - LENGTH + 1))
-    out = []
-    for r, t in zip(rows, texts, strict=True):
-        gone = np.zeros(len(t) + 1, bool)
-        for i in range(len(t) - LENGTH + 1):
-            if seen[t[i : i + LENGTH]] > 1:
-                gone[i : i + LENGTH] = True
-        spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
-        kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
-        out.append((r[0], len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(out, key=repr)
+    both = zip(covered(texts, LENGTH), covered(texts, PASSAGE, PASSAGE_WORDS), strict=True)
+    return sorted([(r[0], len(t), int(g.sum()), spans(g), left(t, g), int(p.sum())) for r, t, (g, p) in zip(rows, texts, both, strict=True)], key=repr)
 
 
 def run(spark, rows):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
-    got = remove_repeats(df).collect()
+    got = remove_repeats(df, passages=True).collect()
+    return sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest(), r.passage_bytes) for r in got], key=repr)
+
+
+def brute_first(spark, rows, length, words=0):
+    """As ``brute`` with the first occurrence left, in the operator's order of documents."""
+    from pyspark.sql import functions as F
+
+    texts = [(r[1] or "").encode() for r in rows]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    order = [r.i for r in df.orderBy(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))).collect()]
+    return sorted([(r[0], len(t), int(g.sum()), spans(g), left(t, g)) for r, t, g in zip(rows, texts, covered(texts, length, words, order), strict=True)], key=repr)
+
+
+def run_first(spark, rows, length, words=0):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = remove_repeats(df, length=length, least_words=words, first_stays=True).collect()
     return sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got], key=repr)
 
 
@@ -57,6 +92,16 @@ def test_against_all_windows(spark):
         assert run(spark, rows) == brute(rows)
 
 
+def test_the_first_occurrence_stays(spark, monkeypatch):
+    rows = [r for r in corpus(5) if r[0] is not None and r[0] != 310]  # no rows alike
+    for crowd in (512, 2):
+        monkeypatch.setattr(suffixes, "CROWD", crowd)
+        for length, least in ((400, 0), (PASSAGE, PASSAGE_WORDS)):
+            assert run_first(spark, rows, length, least) == brute_first(spark, rows, length, least)
+    alike = [(1, words(random.Random(8), 100))] * 2 + [(2, words(random.Random(9), 100))]
+    assert all(r[2] == 0 for r in run_first(spark, alike, PASSAGE))  # one occurrence, come twice
+
+
 def test_crowded_leads_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "CROWD", 2)
     rows = corpus(3)
@@ -67,6 +112,26 @@ def test_crowded_leads_and_long_texts(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_a_wrong_order_breaks_the_result(monkeypatch):
+    raw = [(f"{i:04d}" * 50 + "passage " * 60 + f"{i:04d}" * 50).encode()[100:700] for i in range(40)]
+    off, starts, rank = np.full(40, 99), np.full(40, 100), np.arange(40)
+    same = [r[60:] for r in raw]
+    good = suffixes.bucket_repeats(same, off, starts, rank, 200)
+    assert {tuple(x) for x in good[:, :1]} == {(k,) for k in range(40)}
+    monkeypatch.setattr(suffixes, "multikey_order", lambda tokens: np.random.default_rng(0).permutation(len(tokens)))
+    assert suffixes.bucket_repeats(same, off, starts, rank, 200).tolist() != good.tolist()
+
+
+def test_sorted_neighbours():
+    rng = random.Random(6)
+    data = [bytes(rng.choices(b"\0\1a", k=rng.randint(0, 30))) for _ in range(400)]
+    order, same = sorted_neighbours(data)
+    got = [data[i] for i in order]
+    assert [x.ljust(32, b"\0") for x in got] == sorted(x.ljust(32, b"\0") for x in got)
+    for x, y, n in zip(got, got[1:], same[1:].tolist(), strict=False):
+        assert x[:n] == y[:n] and (n == min(len(x), len(y)) or x[n] != y[n])
+
+
 def test_no_rows_and_one(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, "x")]) == brute([(1, "x")])
