@@ -13,7 +13,8 @@ from foliant.llm.jaccard import near_duplicates
 from foliant.llm.langid import UND, fit, predict
 from foliant.llm.mixing import mixed_documents
 from foliant.llm.packing import pack
-from foliant.llm.suffixes import remove_repeats
+from foliant.llm.suffixes import PASSAGE, PASSAGE_WORDS, remove_repeats
+
 
 def _begin(spark: SparkSession) -> int:
     """A stage's input is written, so no table of the stages before it is read any more."""
@@ -63,16 +64,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages out of the texts; every document stays."""
+    """Takes repeated passages out of the texts: strings of PASSAGE bytes that occur elsewhere too, in
+    runs of PASSAGE_WORDS words or more.  One occurrence of each stays, and every document stays.
+    n_chars follows the text.  Null and empty texts, short ones and null doc_ids stay as they are; rows
+    alike in doc_id and text are one occurrence; an empty table stays empty; other columns are carried
+    in one struct, so no name clashes."""
     _begin(spark)
-    cols = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in cols]).alias("_rest"))
-    out = remove_repeats(rows, ["_rest"], as_text=True)
-    out = out.select("doc_id", F.col("kept").alias("text"), "n_removed", "_rest.*")
-    if "n_chars" in cols:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_rest"))
+    out = remove_repeats(rows, ["_rest"], as_text=True, length=PASSAGE, least_words=PASSAGE_WORDS, first_stays=True)
+    cut = F.col("n_removed") > 0
+    made = {"text": F.when(cut, F.col("kept"))}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.coalesce(made[c], F.col(f"_rest.c{i}")).alias(c) if c in made else F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
