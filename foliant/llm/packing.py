@@ -13,6 +13,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from .common import released, small_batches, utf8
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 POOL_TOKENS = 1 << 20  # ids that wait in a task for a window
-CACHE_WORDS = 1_400_000  # words whose ids a worker keeps
+CACHE_WORDS = 1 << 20  # words whose ids a worker keeps
 WINDOW = 1 << 22  # bytes of text read at a time
 STEP = 8  # sequences to a step group
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
@@ -29,8 +30,9 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 class Words:
     """Ids of texts by an installed tokenizer of lower-case word BPE.  Its pre-tokens never span
-    white space, so ids of white-space-separated words joined are the ids of the text; most
-    words recur, and a bounded cache spares their encoding."""
+    white space, so ids of white-space-separated words joined are the ids of the text.  Texts are
+    split and their words numbered in Arrow; only distinct words reach the tokenizer, and the ids
+    of up to ``cache`` of them, those used last, are kept in flat arrays."""
 
     def __init__(self, path: str | None = None, cache: int = CACHE_WORDS):
         import os
@@ -44,63 +46,106 @@ class Words:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.cache = cache
-        self.known: dict[bytes, bytes] = {}
-        self.past: dict[bytes, bytes] = {}  # the generation before: what is met again moves over
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, plain, other = self.known, {}, []
+        self.cache, self.round = cache, 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.ids, self.n_ids = np.zeros(1 << 12, "<u4"), 0
+        self.start, self.size, self.used = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = len(self.index), len(words)
+        while at + n > len(self.start):
+            self.start, self.size, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.used))
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.start[at : at + n] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[at : at + n], self.used[at : at + n] = sizes, self.round
+        self.n_ids += len(ids)
+        self.index.update(zip(words, range(at, at + n), strict=True))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, joined, and how many each has."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(total)], sizes
+
+    def _forget(self) -> None:
+        """Keep the half of the words that were used last."""
+        words = list(self.index)
+        stay = np.sort(np.argsort(-self.used[: len(words)], kind="stable")[: self.cache // 2])
+        ids, sizes = self._gather(stay)
+        used = self.used[stay]
+        self._clear()
+        self._add([words[i] for i in stay.tolist()], ids, sizes)
+        self.used[: len(stay)] = used
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, dotted, other = [], [], []
         for w in new:
             core = w[:-1] if w[-1:] in (b".", b",") else w
-            text = core.decode()
-            if text.isalpha():
-                plain.setdefault(core, text)
+            if core.decode().isalpha():
+                (plain if core is w else dotted).append(w)
             else:
                 other.append(w)
-        dots = {c: np.array(self.tok.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes() for c in (b".", b",")}
-        cores = [c for c in plain if c not in known]
-        for i in range(0, len(cores), 512):
-            part = cores[i : i + 512]
-            enc = self.tok.encode(" ".join(plain[c] for c in part), add_special_tokens=False)
-            ids, words = np.array(enc.ids, "<u4"), np.array(enc.word_ids, np.int64)
-            ends = np.searchsorted(words, np.arange(len(part)), side="right") * 4
-            if words[-1] != len(part) - 1:  # a letter that the pre-tokenizer splits or drops
+        index = self.index
+        have = set(plain)
+        plain += {w[:-1] for w in dotted if w[:-1] not in index and w[:-1] not in have}
+        other += [w for w in (b".", b",") if w not in index and w not in other]
+        for i in range(0, len(plain), 1024):
+            part = plain[i : i + 1024]
+            enc = self.tok.encode(b" ".join(part).decode(), add_special_tokens=False)
+            word = np.array(enc.word_ids, np.int64)
+            if word[-1] != len(part) - 1:  # a letter that the pre-tokenizer splits or drops
                 other += part
-                continue
-            raw, a = ids.tobytes(), 0
-            for c, b in zip(part, ends.tolist(), strict=True):
-                known[c] = raw[a:b]
-                a = b
-        late = set(other)
-        if late:
-            order = list(late)
-            for w, e in zip(order, self.tok.encode_batch_fast([w.decode() for w in order], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        for w in new:
-            if w not in known:
-                known[w] = known[w[:-1]] + dots[w[-1:]]
+            else:
+                self._add(part, np.array(enc.ids, "<u4"), np.bincount(word, minlength=len(part)))
+        for i in range(0, len(other), 1024):
+            part = other[i : i + 1024]
+            ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            self._add(part, np.array([x for e in ids for x in e], "<u4"), np.array([len(e) for e in ids], np.int64))
+        if dotted:
+            pairs = np.array([(index[w[:-1]], index[w[-1:]]) for w in dotted], np.int64)
+            ids, sizes = self._gather(pairs.ravel())
+            self._add(dotted, ids, sizes.reshape(-1, 2).sum(1))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]  # bytes: A-Z and ASCII white space only
-        new = {w for ws in split for w in ws}
-        new.difference_update(self.known)
-        if new:
-            if len(self.known) + len(new) > self.cache // 2:
-                self.past, self.known = self.known, {}
-                new = {w for ws in split for w in ws}
-            again = new & self.past.keys()
-            self.known.update((w, self.past[w]) for w in again)
-            if new := new - again:
-                self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
-
+        self.round += 1
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        if len(self.index) + len(words) > self.cache:
+            self._forget()
+        get = self.index.get
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        late = np.flatnonzero(at < 0)
+        if len(late):
+            self._learn([words[i] for i in late.tolist()])
+            at[late] = [self.index[words[i]] for i in late.tolist()]
+        self.used[at] = self.round
+        ids, sizes = self._gather(at[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
     def tok_ids(self, text: str) -> bytes:
         """Ids of one text, the end id after them, by the tokenizer alone."""
         return np.array([*self.tok.encode(text, add_special_tokens=False).ids, END_ID], "<u4").tobytes()
 
 
+_words: dict[tuple, Words] = {}
+
+
+def words_of(path: str | None, cache: int) -> Words:
+    """The worker's words: a worker is used for task after task, and what it knows stays with it."""
+    if (path, cache) not in _words:
+        _words.clear()
+        _words[path, cache] = Words(path, cache)
+    return _words[path, cache]
+
+
 class Pool:
     """Pieces (doc_id, start, ids, doc_tokens) that wait, by length, and the windows made."""
 
@@ -192,7 +237,7 @@ def pack(docs: DataFrame, path: str | None = None, cache: int = CACHE_WORDS, win
     def run(batches):
         from pyspark import TaskContext
 
-        words, pool = Words(path, cache), Pool(TaskContext.get().partitionId() << 40)
+        words, pool = words_of(path, cache), Pool(TaskContext.get().partitionId() << 40)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()

@@ -4,7 +4,8 @@ Normalised vectors fall into buckets of quantised random projections, in several
 that share a bucket are compared by cosine in double precision, and linked from THRESHOLD up.
 Two unit vectors of cosine c are sqrt(2-2c) apart, so projections and tables follow from the
 threshold, the number of vectors and the recall asked for at the threshold itself (closer pairs
-are found more surely).  Equal vectors are one, with a weight.  A bucket of more than BLOCK
+are found more surely).  Bucket keys travel without vectors; only vectors that share a bucket with
+another follow, and buckets are so fine that strangers seldom do.  Equal vectors are one, with a weight.  A bucket of more than BLOCK
 vectors is compared block against block, each pair of blocks in a group of its own; a pair that
 shares buckets of several tables counts in the first only.  Groups give link counts and a
 spanning star, never pairs.
@@ -29,6 +30,7 @@ RECALL = 0.999  # of pairs at the threshold
 WIDTH = 1.6  # of a projection's cells
 BLOCK = 256  # vectors of a bucket compared at a time
 FAR = 1.38  # distance of vectors that have nothing in common, for choosing the projections
+STRANGERS = 1 / 8  # of them to a bucket: fewer cost more tables of keys, more cost vectors sent
 
 
 def collide(distance: float, width: float = WIDTH) -> float:
@@ -38,8 +40,8 @@ def collide(distance: float, width: float = WIDTH) -> float:
 
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """Projections a table, and tables: about 4 strangers to a bucket, whatever n is."""
-    k = max(4, math.ceil(math.log(max(n, 8) / 4) / -math.log(collide(FAR))))
+    """Projections a table, and tables: about STRANGERS to a bucket, whatever n is."""
+    k = max(4, math.ceil(math.log(max(n, 8) / STRANGERS) / -math.log(collide(FAR))))
     near = collide(math.sqrt(2 - 2 * threshold)) ** k
     return k, math.ceil(math.log(1 - recall) / math.log(1 - near))
 
@@ -58,8 +60,10 @@ class Tables:
         return (cells * self.fold).sum(2)
 
 
-def unit_rows(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; scaled first, so that no square under- or overflows."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -67,7 +71,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     small_batches(spark, 4000)
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    # floats stay four bytes wide until they are compared
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    v = vectors.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     ok = F.coalesce((F.size("e") > 0) & finite, F.lit(False)) & F.col("vec_id").isNotNull()
     good, bad = v.filter(ok), v.filter(~ok)
@@ -89,18 +95,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
             for dims in np.unique(sizes).tolist():
                 part = batch.take(pa.array(np.flatnonzero(sizes == dims)))
                 hasher, n = hasher_of(dims), part.num_rows
-                x = part.column(0).flatten().to_numpy().reshape(n, dims)
-                unit = x / np.sqrt((x * x).sum(1))[:, None]
-                keys = hasher.keys(unit)
-                raw = pa.array([r.tobytes() for r in x], pa.binary())
-                rep, weight = part.column(1), part.column(2)
+                keys = hasher.keys(unit(part.column(0).flatten().to_numpy().reshape(n, dims)))
                 for t in range(hasher.tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dims, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(keys[:, t]), rep, weight, raw], names=["dims", "t", "key", "rep", "weight", "raw"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dims, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(keys[:, t]), part.column(1)], names=["dims", "t", "key", "rep"])
 
-    rows = reps.select("e", "rep", "weight").mapInArrow(released(emit), "dims int, t int, key long, rep long, weight long, raw binary")
-    sizes = store(rows.groupBy("dims", "t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "vec-sizes")
+    keyed = store(reps.select("e", "rep").mapInArrow(released(emit), "dims int, t int, key long, rep long"), "vec-keys")
+    sizes = keyed.groupBy("dims", "t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = sizes.select(F.col("dims").alias("_n"), F.col("t").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, (F.col("dims") == F.col("_n")) & (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_k")))
+    rows = keyed.join(sizes, (F.col("dims") == F.col("_n")) & (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_k"))).drop("_n", "_t", "_k")
+    rows = store(rows, "vec-shared").join(reps.select(F.col("rep").alias("_r"), "weight", F.col("e").alias("raw")), F.col("rep") == F.col("_r"))
     own = F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("dims", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "weight", "raw")
@@ -110,7 +113,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     def groups(batches):
         now, rows = None, []
         for batch in batches:
-            for *key, own, rep, weight, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            lists = batch.column(8)
+            flat, at = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            cols = [c.to_pylist() for c in batch.columns[:8]]
+            for *key, own, rep, weight, raw in zip(*cols, (flat[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True):
                 if key != now:
                     if len(rows) > 1:
                         yield now, rows
@@ -123,18 +129,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         ids, counts, roots = [], [], []
         for (dims, t, _, i, j), rows in groups(batches):
             hasher = hasher_of(dims)
-            unit = unit_rows([r[3] for r in rows])
+            x_ = unit(np.stack([r[3] for r in rows]))
             own = np.array([r[0] for r in rows])
             for a in range(0, len(rows), 4 * BLOCK):  # a block may be somewhat over BLOCK
-                part = unit[a : a + 4 * BLOCK]
-                x, y = np.nonzero(part @ unit.T >= threshold - 1e-12)
+                part = x_[a : a + 4 * BLOCK]
+                x, y = np.nonzero(part @ x_.T >= threshold - 1e-12)
                 x += a
                 keep = (x < y) & ((own[x] != own[y]) if i != j else True)
                 x, y = x[keep], y[keep]
                 if len(x):  # by the same formula wherever a pair is met, and in its first table only
-                    exact = np.einsum("nd,nd->n", unit[x], unit[y]) >= threshold
+                    exact = np.einsum("nd,nd->n", x_[x], x_[y]) >= threshold
                     some = np.unique(np.concatenate([x, y]))
-                    keys = hasher.keys(unit[some])
+                    keys = hasher.keys(x_[some])
                     kx, ky = keys[np.searchsorted(some, x)], keys[np.searchsorted(some, y)]
                     exact &= ~(kx[:, :t] == ky[:, :t]).any(1)
                     x, y = x[exact], y[exact]

@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, clashing columns, no rows."""
 
 import hashlib
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -219,6 +220,34 @@ def test_vectors_of_every_length_link(spark):
     assert all(got[i] == (0, i, True) for i in range(30))
 
 
+def test_vectors_of_any_scale_link(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12, 16))
+    data = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(np.repeat(x[:3], 4, 0), [1.0, 1e-200, 1e200, 1e-308] * 3, strict=True))]
+    got = {r.vec_id: tuple(r)[1:] for r in vectors.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (3, i // 4 * 4, i % 4 == 0) for i in range(12)}
+
+
+def test_vector_recall_against_all_pairs(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    rows_ = [(r.vec_id, r.embedding) for r in spark.read.parquet(path).collect()]
+    good = [v for _, v in rows_ if v and None not in v and np.isfinite(v).all() and any(v)]
+    x = np.array(good, np.float64)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    rng = np.random.default_rng(8)  # the table has few near pairs: add some about the threshold
+    noise = rng.normal(size=x.shape) / np.sqrt(x.shape[1])
+    x = np.concatenate([x, x + noise * rng.uniform(0.2, 0.4, len(x))[:, None]]).astype(np.float32)
+    u = x.astype(np.float64)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    want = np.concatenate([(u[a : a + 500] @ u.T >= 0.95).sum(1) - 1 for a in range(0, len(u), 500)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum() > 1000
+
+
 def test_language_is_learned(spark, docs, none):
     rng = np.random.default_rng(2)
     parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["sch", "ung", "ei", "th"]}
