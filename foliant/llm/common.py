@@ -319,9 +319,9 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
     in it may be more than was put in, never less, so users only save work by it."""
     h = F.col(hashes.columns[0])
     words = hashes.select(F.pmod(h, F.lit(BITS_WORDS)).cast("int").alias("i"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{hashes.columns[0]}`, 20) & 63 as int))").alias("b"))
-    got = words.groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
+    got = words.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(BITS_WORDS, np.uint64)
-    out[got["i"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    out[got["i"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return out
 
 

@@ -30,7 +30,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import BYTE_CODES, SEGMENT, bit_table, held_in, in_table, mix, partitions, powers, released, small_batches, store, tidy, utf8
 
 LENGTH = 400  # op8's contract
-PASSAGE, PASSAGE_WORDS = 200, 50  # a passage: repeated strings of so many bytes that make up so many words
+PASSAGE, PASSAGE_WORDS = 240, 50  # a passage: repeated strings of so many bytes that make up so many words
 GRAM = 24
 CROWD = 512  # differing runs of one lead that are sorted in one task
 PART = 1 << 22  # bytes of runs sorted at a time
@@ -118,10 +117,6 @@ def runs(texts: list[bytes], shape: Shape):
         yield place[:, 0], s + place[:, 1], c, size, a - s, lead, content, data, s
 
 
-def occurrence(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return mix(doc.astype(np.int64).view(np.uint64) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def _long(x) -> pa.Array:
     return pa.array(np.asarray(x).view(np.int64) if np.asarray(x).dtype == np.uint64 else np.asarray(x, np.int64))
 
@@ -203,13 +198,14 @@ def stretches(owner: np.ndarray, at: np.ndarray, flag: np.ndarray) -> np.ndarray
     return np.stack([owner[a], at[a], at[b] + 1, flag[a]], 1)
 
 
-ROW = "front binary, lead long, dh long, th long, s long, starts long, off long, hot boolean, bytes binary"
+ROW = "front binary, lead long, dh long, th long, k long, starts long, off long, hot boolean, bytes binary"
 FOUND = "dh long, th long, w int, `from` long, `to` long"
 
 
 def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool = False) -> DataFrame:
     """(dh, th, w, from, to): ranges of starts of repeated windows of w bytes, for each of ``lengths``,
-    in the rows of ``docs`` (dh, th, text), dh a hash of the document and th of its text."""
+    in the rows of ``docs`` (dh, th, text), dh a hash of the document below 2^62 and th of its text.  An
+    occurrence is k = dh + start: documents in order of dh, and starts in order within one."""
     spark, shape = docs.sparkSession, Shape(min(lengths), max(lengths))
     d = docs.filter(F.octet_length("text") >= shape.base).select("dh", "th", "text")
 
@@ -229,22 +225,18 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
                 k = np.flatnonzero(in_table(table, lead.view(np.int64)))
                 if len(k):
                     t = text[k]
-                    cols = [_long(x) for x in (dh[t], th[t], at[k], c[k], size[k], lead[k], content[k])]
-                    yield pa.RecordBatch.from_arrays(cols, names=["dh", "th", "s", "c", "size", "lead", "content"])
+                    cols = [_long(x) for x in (dh[t], th[t], dh[t] + at[k], c[k], size[k], lead[k], content[k])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["dh", "th", "k", "c", "size", "lead", "content"])
 
-    places = store(d.mapInArrow(released(emit), "dh long, th long, s long, c long, size long, lead long, content long"), "suf-runs")
-    kinds = places.groupBy("lead", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("dh", "s")).alias("first"))
+    places = store(d.mapInArrow(released(emit), "dh long, th long, k long, c long, size long, lead long, content long"), "suf-runs")
+    kinds = places.groupBy("lead", "content").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
     kinds = store(kinds, "suf-kinds")
     tidy(spark)
     crowd = kinds.groupBy("lead").agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("least")).filter("v > 1" if first_stays else "v > 1 and least = 1")
     crowd = store(crowd.select("lead", "v"), "suf-crowds")
 
-    @F.pandas_udf("long")
-    def place_hash(dh: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series(occurrence(dh.to_numpy(), s.to_numpy()).view(np.int64))
-
-    wanted = bit_table(kinds.join(crowd, "lead").select(place_hash("first.dh", "first.s").alias("occ")))
     crowds = bit_table(crowd.select("lead"))
+    wanted = bit_table(kinds.filter(held_in(crowds)("lead")).select("first"))
     split = np.zeros(SLOTS, bool)
     big = crowd.filter(F.col("v") > CROWD).select(F.pmod("lead", F.lit(SLOTS)).alias("slot")).distinct().toPandas()
     split[big["slot"].to_numpy(np.int64)] = True
@@ -255,13 +247,13 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
             dh, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for text, at, c, size, off, lead, _, data, s in runs(utf8(batch.column(2)), shape):
                 k = np.flatnonzero(in_table(crowds, lead.view(np.int64)))
-                k = k[in_table(wanted, occurrence(dh[text[k]], at[k]).view(np.int64))]
+                k = k[in_table(wanted, dh[text[k]] + at[k])]
                 if not len(k):
                     continue
                 raw = [data[a : a + n].tobytes() for a, n in zip(s[k].tolist(), size[k].tolist(), strict=True)]
                 front = [r[o : o + 16] for r, o in zip(raw, off[k].tolist(), strict=True)]
                 t, hot = text[k], split[(lead[k] & np.uint64(SLOTS - 1)).astype(np.int64)]
-                cols = [pa.array(front, pa.binary()), *[_long(x) for x in (lead[k], dh[t], th[t], at[k], c[k], off[k])], pa.array(hot), pa.array(raw, pa.binary())]
+                cols = [pa.array(front, pa.binary()), *[_long(x) for x in (lead[k], dh[t], th[t], dh[t] + at[k], c[k], off[k])], pa.array(hot), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     # written first: sampling the splitters would run the texts through Python once more
@@ -278,12 +270,11 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
         now, held, size = None, [], 0
 
         def done():
-            part = list({(r[1], r[3]): r for r in held}.values())  # rows of one place are one
+            part = list({(r[0], r[3]): r for r in held}.values())  # rows of one place are one
             if len(part) < 2:
                 return
             dh, th, s, starts, off = (np.array([r[j] for r in part], np.int64) for j in range(1, 6))
-            rank = np.empty(len(part), np.int64)
-            rank[np.lexsort((s, dh))] = np.arange(len(part))
+            rank, s = s, s - dh
             for w in lengths:
                 got = bucket_repeats([r[6] for r in part], off, starts, rank, w)
                 got = got[got[:, 3] == 0] if first_stays else got
@@ -308,9 +299,11 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
         parts.append(crowded_windows(rows.filter("hot"), lengths, first_stays))
     # all occurrences of a kind that comes again are repeats, but for the first if that one stays
     again = kinds.filter("n > 1").select(F.col("lead").alias("_l"), F.col("content").alias("_c"), "first")
-    whole = places.join(again, (F.col("lead") == F.col("_l")) & (F.col("content") == F.col("_c")))
+    some = held_in(bit_table(again.select("_c")))
+    whole = places.filter(some("content")).join(again, (F.col("lead") == F.col("_l")) & (F.col("content") == F.col("_c")))
     if first_stays:
-        whole = whole.filter(~((F.col("dh") == F.col("first.dh")) & (F.col("s") == F.col("first.s"))))
+        whole = whole.filter("k <> first")
+    whole = whole.withColumn("s", F.col("k") - F.col("dh"))
     for w in lengths:
         until = F.col("s") + F.least("c", F.col("size") - (w - 1))
         parts.append(whole.select("dh", "th", F.lit(w).alias("w"), F.col("s").alias("from"), until.alias("to")).filter("`from` < `to`"))
@@ -331,7 +324,8 @@ def crowded_windows(rows: DataFrame, lengths: tuple[int, ...], first_stays: bool
 
     def windows(batches):
         for batch in batches:
-            lead, dh, th, s, starts = (batch.column(j).to_numpy() for j in (1, 2, 3, 4, 5))
+            lead, dh, th, k, starts = (batch.column(j).to_numpy() for j in (1, 2, 3, 4, 5))
+            s = k - dh
             out = []
             for i, raw in enumerate(batch.column(8).to_pylist()):
                 total = _sums(np.frombuffer(raw, np.uint8))
@@ -408,7 +402,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, as_text: bool
     lengths = tuple(dict.fromkeys((length, PASSAGE) if passages else (length,)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"), *keep)
-    d = d.withColumn("dh", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "th"))
+    d = d.withColumn("dh", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "th"), 2))
     found = repeated_starts(d.select("dh", "th", "text"), lengths, first_stays)
     per = found.groupBy("dh", "th").agg(F.sort_array(F.collect_set(F.struct("w", "from", "to"))).alias("ranges"))
     per = store(per.select(F.col("dh").alias("_d"), F.col("th").alias("_t"), "ranges"), "suf-ranges")

@@ -137,13 +137,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
                 x += a
                 keep = (x < y) & ((own[x] != own[y]) if i != j else True)
                 x, y = x[keep], y[keep]
-                if len(x):  # by the same formula wherever a pair is met, and in its first table only
-                    exact = np.einsum("nd,nd->n", x_[x], x_[y]) >= threshold
-                    some = np.unique(np.concatenate([x, y]))
-                    keys = hasher.keys(x_[some])
-                    kx, ky = keys[np.searchsorted(some, x)], keys[np.searchsorted(some, y)]
-                    exact &= ~(kx[:, :t] == ky[:, :t]).any(1)
-                    x, y = x[exact], y[exact]
+                real = [np.zeros(0, bool)]
+                for k in range(0, len(x), 1 << 14):
+                    p, q = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+                    # by the same formula wherever a pair is met, and in its first table only
+                    exact = np.einsum("nd,nd->n", x_[p], x_[q]) >= threshold
+                    if exact.any() and t:
+                        some = np.unique(np.concatenate([p, q]))
+                        keys = hasher.keys(x_[some])[:, :t]
+                        exact &= ~(keys[np.searchsorted(some, p)] == keys[np.searchsorted(some, q)]).any(1)
+                    real.append(exact)
+                real = np.concatenate(real)
+                x, y = x[real], y[real]
                 if not len(x):
                     continue
                 weight = np.array([r[2] for r in rows])

@@ -56,7 +56,7 @@ def brute_first(spark, rows, length, words=0):
 
     texts = [(r[1] or "").encode() for r in rows]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
-    order = [r.i for r in df.orderBy(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))).collect()]
+    order = [r.i for r in df.orderBy(F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text")), 2)).collect()]
     return sorted([(r[0], len(t), int(g.sum()), spans(g), left(t, g)) for r, t, g in zip(rows, texts, covered(texts, length, words, order), strict=True)], key=repr)
 
 
