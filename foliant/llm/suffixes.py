@@ -16,7 +16,7 @@ begin at anchors are sorted.  Consecutive windows of one anchor travel as one ru
    the o bytes before and length - o after the anchor, that is, lies in the same stretch of both
    orders without a neighbour's common prefix below o or length - o.
 4. Leads of more than CROWD differing runs (a passage that very many documents hold) are cut into
-   windows: these are range-sorted so that equal windows may span several tasks, compared with
+   windows, of which those stay that share all but FINE - 1 bytes with another run; they are range-sorted so that equal windows may span several tasks, compared with
    their sorted neighbours, and across the boundaries by the first and last window of each task.
 5. Repeated windows meet their documents, and the bytes they cover go.
 
@@ -40,6 +40,7 @@ LENGTH = 400  # op8's contract
 PASSAGE, PASSAGE_WORDS = 240, 50  # a passage: repeated strings of so many bytes that make up so many words
 GRAM = 24
 CROWD = 512  # differing runs of one lead that are sorted in one task
+FINE = 16  # starts to a stretch of a crowded lead
 PART = 1 << 22  # bytes of runs sorted at a time
 SLOTS = 1 << 20
 
@@ -198,7 +199,7 @@ def stretches(owner: np.ndarray, at: np.ndarray, flag: np.ndarray) -> np.ndarray
     return np.stack([owner[a], at[a], at[b] + 1, flag[a]], 1)
 
 
-ROW = "front binary, lead long, dh long, th long, k long, starts long, off long, hot boolean, bytes binary"
+ROW = "front binary, lead long, dh long, th long, k long, starts long, off long, parts int, bytes binary"
 FOUND = "dh long, th long, w int, `from` long, `to` long"
 
 
@@ -237,9 +238,9 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
 
     crowds = bit_table(crowd.select("lead"))
     wanted = bit_table(kinds.filter(held_in(crowds)("lead")).select("first"))
-    split = np.zeros(SLOTS, bool)
-    big = crowd.filter(F.col("v") > CROWD).select(F.pmod("lead", F.lit(SLOTS)).alias("slot")).distinct().toPandas()
-    split[big["slot"].to_numpy(np.int64)] = True
+    split = np.zeros(SLOTS, np.int32)  # parts of about CROWD runs that a crowded lead is cut into
+    big = crowd.filter(F.col("v") > CROWD).groupBy(F.pmod("lead", F.lit(SLOTS)).alias("slot")).agg(F.max(F.ceil(F.col("v") / CROWD)).alias("parts")).toArrow()
+    split[big["slot"].to_numpy()] = big["parts"].to_numpy()
 
     def suffixes(batches):
         names = [f.split()[0] for f in ROW.split(", ")]
@@ -252,14 +253,14 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
                     continue
                 raw = [data[a : a + n].tobytes() for a, n in zip(s[k].tolist(), size[k].tolist(), strict=True)]
                 front = [r[o : o + 16] for r, o in zip(raw, off[k].tolist(), strict=True)]
-                t, hot = text[k], split[(lead[k] & np.uint64(SLOTS - 1)).astype(np.int64)]
-                cols = [pa.array(front, pa.binary()), *[_long(x) for x in (lead[k], dh[t], th[t], dh[t] + at[k], c[k], off[k])], pa.array(hot), pa.array(raw, pa.binary())]
+                t, parts = text[k], split[(lead[k] & np.uint64(SLOTS - 1)).astype(np.int64)]
+                cols = [pa.array(front, pa.binary()), *[_long(x) for x in (lead[k], dh[t], th[t], dh[t] + at[k], c[k], off[k])], pa.array(parts), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     # written first: sampling the splitters would run the texts through Python once more
     rows = store(d.mapInArrow(released(suffixes), ROW), "suf-suffixes")
     tidy(spark)
-    calm = rows.filter("not hot").drop("hot").repartitionByRange(partitions(spark), "front", "lead").sortWithinPartitions("front", "lead")
+    calm = rows.filter("parts = 0").drop("parts").repartitionByRange(partitions(spark), "front", "lead").sortWithinPartitions("front", "lead")
 
     def found_batch(rows_: list[np.ndarray]):
         cols = np.concatenate(rows_).T
@@ -295,8 +296,8 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
         yield from done()
 
     parts = [calm.mapInArrow(released(sort), FOUND)]
-    if len(big):
-        parts.append(crowded_windows(rows.filter("hot"), lengths, first_stays))
+    if big.num_rows:
+        parts.append(crowded_windows(rows.filter("parts > 0"), lengths, first_stays))
     # all occurrences of a kind that comes again are repeats, but for the first if that one stays
     again = kinds.filter("n > 1").select(F.col("lead").alias("_l"), F.col("content").alias("_c"), "first")
     some = held_in(bit_table(again.select("_c")))
@@ -322,24 +323,63 @@ def crowded_windows(rows: DataFrame, lengths: tuple[int, ...], first_stays: bool
     order = ["lead", "w", "h", "dh", "at", "th"]
     wide = "lead long, w int, h long, dh long, at long, th long"
 
+    def stretches_of(raw: bytes, off: int, starts: int):
+        """Per length: the run's hash sums, windows and, for each, the hash of what all windows that
+        begin within the same FINE bytes before the anchor have in common."""
+        total = _sums(np.frombuffer(raw, np.uint8))
+        for w in lengths:
+            a = np.arange(min(starts, len(raw) - w + 1))
+            if len(a):
+                near = (off - a) // FINE * FINE
+                core = _hash(total, off - near, off - near + w - FINE + 1) + (near + w).astype(np.uint64)
+                yield w, total, a, core.view(np.int64)
+
+    def cores(batches):
+        for batch in batches:
+            off, starts = batch.column(6).to_pylist(), batch.column(5).to_pylist()
+            out = [np.unique(x[3]) for r in zip(batch.column(8).to_pylist(), off, starts, strict=True) for x in stretches_of(*r)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["core"])
+
+    # windows of a stretch that no other run shares are unique: they are left out before the sort
+    shared = rows.mapInArrow(released(cores), "core long").groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = bit_table(shared.select("core"))
+
     def windows(batches):
+        """Of equal windows of a batch only the first goes on; the others are repeats, told as ranges."""
         for batch in batches:
-            lead, dh, th, k, starts = (batch.column(j).to_numpy() for j in (1, 2, 3, 4, 5))
-            s = k - dh
+            lead, dh, th, k, starts, off = (batch.column(j).to_numpy() for j in (1, 2, 3, 4, 5, 6))
             out = []
             for i, raw in enumerate(batch.column(8).to_pylist()):
-                total = _sums(np.frombuffer(raw, np.uint8))
-                for w in lengths:
-                    a = np.arange(min(int(starts[i]), len(raw) - w + 1))
+                for w, total, a, core in stretches_of(raw, int(off[i]), int(starts[i])):
+                    a = a[in_table(shared, core)]
                     if len(a):
                         one = np.ones(len(a), np.int64)
-                        out.append(np.stack([lead[i] * one, w * one, _hash(total, a, a + w).view(np.int64), dh[i] * one, s[i] + a, th[i] * one]))
-            if out:
-                cols = np.concatenate(out, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(pa.int32()) if n == "w" else pa.array(c) for c, n in zip(cols, order, strict=True)], names=order)
-
-    dealt = rows.mapInArrow(released(windows), wide)
-    dealt = store(dealt, "suf-windows").repartitionByRange(partitions(spark), *order[:5]).sortWithinPartitions(*order[:5])
+                        out.append(np.stack([i * one, w * one, _hash(total, a, a + w).view(np.int64), a]))
+            if not out:
+                continue
+            row, w, h, a = np.concatenate(out, 1)
+            order = np.lexsort((k[row] + a, h, w, lead[row]))
+            row, w, h, a = row[order], w[order], h[order], a[order]
+            same = (lead[row[1:]] == lead[row[:-1]]) & (w[1:] == w[:-1]) & (h[1:] == h[:-1])
+            again, many = np.concatenate([[False], same]), np.concatenate([same, [False]])
+            one = np.flatnonzero(~again)
+            more = stretches(row[again] * len(lengths) + np.searchsorted(up, w[again]), a[again], w[again]) if again.any() else np.zeros((0, 4), np.int64)
+            r = more[:, 0] // len(lengths)
+            i = np.concatenate([row[one], r])
+            start = k[i] - dh[i]
+            cols = [lead[i], np.concatenate([w[one], more[:, 3]]), None, dh[i], start + np.concatenate([a[one], more[:, 1]]), th[i], None, start + np.concatenate([a[one] + 1, more[:, 2]])]
+            cols[2] = pa.array(np.concatenate([h[one], np.zeros(len(r), np.int64)]), mask=np.arange(len(i)) >= len(one))
+            cols[6] = np.concatenate([many[one], np.ones(len(r), bool)])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(t) for c, t in zip(cols, kinds, strict=True)], names=[*order_, "many", "to"])
+
+    up, order_ = np.sort(lengths), order
+    # the runs of a part of a lead come one after the other
+    dealt = rows.repartition(partitions(spark), "lead", F.pmod("k", "parts")).sortWithinPartitions("lead")
+    dealt = store(dealt.mapInArrow(released(windows), wide + ", many boolean, to long"), "suf-windows")
+    local = dealt.filter("h is null").select("dh", "th", "w", F.col("at").alias("from"), "to")
+    dealt = dealt.filter("h is not null").drop("to").repartitionByRange(partitions(spark), *order[:5]).sortWithinPartitions(*order[:5])
 
     def compare(batches):
         from pyspark import TaskContext
@@ -347,19 +387,20 @@ def crowded_windows(rows: DataFrame, lengths: tuple[int, ...], first_stays: bool
         pid, before, held = TaskContext.get().partitionId(), None, None
 
         def tell(cols, before, after, edge):
-            """Rows between ``before`` and ``after``: same key as the row before, as the row after."""
+            """Rows between ``before`` and ``after``: same key as the row before; as the row after, or as one
+            that its batch left out."""
             all_ = np.concatenate([x for x in (before, cols, after) if x is not None], 1)
             same = (all_[:3, 1:] == all_[:3, :-1]).all(0)
             lo, n = int(before is not None), cols.shape[1]
             prev = np.concatenate([[False], same])[lo : lo + n]
             next_ = np.concatenate([same, [False]])[lo : lo + n]
             names = [*order, "prev", "next", "edge", "pid"]
-            arrays = [pa.array(c).cast(pa.int32()) if k == "w" else pa.array(c) for c, k in zip(cols, order, strict=True)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(prev), pa.array(next_), pa.array(edge), pa.array(np.full(n, pid, np.int32))], names=names)
+            arrays = [pa.array(c).cast(pa.int32()) if k == "w" else pa.array(c) for c, k in zip(cols[:6], order, strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(prev), pa.array(next_ | (cols[6] > 0)), pa.array(edge), pa.array(np.full(n, pid, np.int32))], names=names)
 
         # one batch waits for the next, so that each row sees its neighbours
         for batch in batches:
-            cols = np.stack([batch.column(j).to_numpy().astype(np.int64) for j in range(6)])
+            cols = np.stack([batch.column(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in range(7)])
             tail = held[:, -1:] if held is not None else None
             ends = np.concatenate([tail, cols], 1) if tail is not None else cols
             keep = np.concatenate([[True], (ends[:5, 1:] != ends[:5, :-1]).any(0)])[int(tail is not None) :]  # a place twice is one
@@ -387,7 +428,8 @@ def crowded_windows(rows: DataFrame, lengths: tuple[int, ...], first_stays: bool
         settled.append((r.dh, r.th, r.w, r.at, prev, next_))
     rest = told.filter("edge = 0").select("dh", "th", "w", "at", "prev", "next")
     all_ = rest.unionByName(spark.createDataFrame(settled, "dh long, th long, w int, at long, prev boolean, next boolean"))
-    return all_.filter("prev" if first_stays else "prev or next").select("dh", "th", "w", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
+    all_ = all_.filter("prev" if first_stays else "prev or next").select("dh", "th", "w", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
+    return local.unionByName(all_)
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, as_text: bool = False, length: int = LENGTH, least_words: int = 0, first_stays: bool = False, passages: bool = False) -> DataFrame:
