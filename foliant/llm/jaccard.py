@@ -1,13 +1,20 @@
 """N-gram Jaccard join by set-relation skipping.
 
 Sets are the distinct five-word shingles of whole texts, as 64-bit hashes.  Equal sets are one.
-The index holds, per shingle, the list of sets that have it in their prefix (rare shingles
-first), sorted by size: sizes too far apart are cut off.  No blocks by position are skipped and no
-set's answers are derived from another's; links are not counted.  Instead, sets of frequent shingles that share a
-min-hash are compared in groups of bounded blocks first, and in the lists a pair whose sets are connected already, or
-were compared, is passed over, so a list of copies costs nothing.  The pairs left are counted over all lists; counts that
-cannot reach the threshold are dropped, and the rest is verified on whole sets.
-The first step only saves work: links it misses are found in the lists, so components are exact.
+The index holds, per shingle, the list of sets that have it in their prefix (rare shingles first)
+with its position there, in order of size and position.  Two linked sets have a shared shingle at
+positions that differ by little: at i and j they share at most min(i, j) before it and the shorter
+rest from it on.  So blocks of a list whose sizes or positions are too far apart are skipped whole,
+and of the others only pairs within reach are counted.
+
+Sets of frequent shingles that share a min-hash meet in bounded blocks first.  There one set's
+overlaps with all others are computed, and those of every set highly similar to it are derived from
+them: what the two differ in is looked up, nothing else.  In the lists a pair that is connected
+already, or was compared so, is passed over.  Lists of more than about LONG sets are dropped where
+all their sets are connected, else cut into parts that are compared pairwise in tasks of their own.
+The pairs left are counted over all lists; counts that cannot reach the threshold are dropped, and
+the rest is verified on whole sets.  The min-hash step only saves work: links it misses are found
+in the lists, so components are exact.
 
 Null text or no words: empty set, linked with nothing.  Null doc_id: linked with nothing, null
 component.  Repeated rows: equal sets.  A doc_id with several texts: one vertex, linked by any
@@ -30,6 +37,11 @@ WINDOW = 1 << 22  # shingles to a window
 KEYS = 5  # min-hashes by which like sets meet early
 GROUP = 192  # sets of a block compared at once, about
 SALTS = 1 << 20  # slots of the table of group splits; slots are low bits of min-hashes
+LIKE = 0.2  # a set differs from a highly similar one by at most this share of its size
+LONG = 9  # lists of shingles that 2^LONG documents hold, as reported, are cut
+PART = 512  # sets to a part of a long list, about
+BLOCK = 64  # entries of a list that are skipped together
+ROWS = 1 << 16  # entries of lists looked at together
 
 
 def sets(texts: list[bytes]):
@@ -79,14 +91,14 @@ def ranks(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.where(heavy[0][at] == s, heavy[1][at], 0)
 
 
-def prefix(s: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first shingles of a sorted set in the order (rank class, hash), and how many of them
-    are frequent."""
+def prefix(s: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The first shingles of a sorted set in the order (rank class, hash), how many of them are
+    frequent, and how many do not have a long list."""
     p = reach(len(s))
     if not rank.any():
-        return s[:p], 0
+        return s[:p], 0, p
     first = np.argsort(rank, kind="stable")[:p]
-    return s[first], int((rank[first] > 0).sum())
+    return s[first], int((rank[first] > 0).sum()), int((rank[first] < LONG).sum())
 
 
 def minima(s: np.ndarray, rank: np.ndarray) -> list[int]:
@@ -100,14 +112,15 @@ def minima(s: np.ndarray, rank: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, heavy) -> DataFrame:
-    """doc_id, n, a 128-bit digest of the set, frequent shingles of the prefix, min-hashes, prefix."""
-    names = ["doc_id", "n", "s1", "s2", "common", "keys", "prefix"]
+    """doc_id, n, a 128-bit digest of the set, frequent shingles of the prefix and those without long
+    lists, min-hashes, prefix."""
+    names = ["doc_id", "n", "s1", "s2", "common", "calm", "keys", "prefix"]
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            ids, out = batch.column(0), [[], [], [], [], [], []]
+            ids, out = batch.column(0), [[], [], [], [], [], [], []]
             for _, s in sets(utf8(batch.column(1))):
                 d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 out[0].append(len(s))
@@ -115,15 +128,16 @@ def signatures(docs: DataFrame, heavy) -> DataFrame:
                 out[2].append(int(d[1]))
                 rank = ranks(s, heavy)
                 out[3].append(minima(s, rank))
-                first, common = prefix(s, rank)
+                first, common, calm = prefix(s, rank)
                 out[4].append(first.view(np.int64))
                 out[5].append(common)
+                out[6].append(calm)
             flat = pa.array(np.concatenate(out[4]) if out[4] else np.zeros(0, np.int64), pa.int64())
             ends = pa.array(np.cumsum([0] + [len(x) for x in out[4]]), pa.int32())
-            cols = [ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[5], pa.int64()), pa.array(out[3], pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, flat)]
+            cols = [ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.int32()), pa.array(out[3], pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, flat)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n long, s1 long, s2 long, common long, keys array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n long, s1 long, s2 long, common long, calm int, keys array<long>, prefix array<long>")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -138,23 +152,42 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def overlaps(sets_: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of 0/1 matrices over slices of the shared shingles."""
-    flat = np.concatenate(sets_)
-    row = np.repeat(np.arange(len(sets_)), [len(s) for s in sets_])
-    _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[col]
-    row, col = row[keep], number[col[keep]]
-    out = np.zeros((len(sets_), len(sets_)), np.float32)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for low in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
-        a, b = np.searchsorted(col, [low, low + 4096])
-        m = np.zeros((len(sets_), 4096), np.float32)
-        m[row[a:b], col[a:b] - low] = 1
-        out += m @ m.T
-    return out.astype(np.int64)
+    """Sizes of all intersections.  A leader's are counted through an index of the sets; those of a
+    set that differs little from it are the leader's, less what it lacks, plus what it has more."""
+    n, sizes = len(sets_), np.array([len(s) for s in sets_])
+    owner = np.repeat(np.arange(n), sizes)
+    _, token, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    holders = owner[np.argsort(token, kind="stable")]
+    first = np.cumsum(times) - times
+    of = np.split(token, np.cumsum(sizes)[:-1])
+
+    def held(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets that hold these shingles, joined, and how many hold each."""
+        k = times[tokens]
+        ends = np.cumsum(k)
+        return holders[np.repeat(first[tokens] - ends + k, k) + np.arange(int(ends[-1]) if len(ends) else 0)], k
+
+    out, left = np.zeros((n, n), np.int64), np.ones(n, bool)
+    for x in range(n):
+        if not left[x]:
+            continue
+        out[x] = np.bincount(held(of[x])[0], minlength=n)
+        left[x] = False
+        like = np.flatnonzero(left & (sizes + sizes[x] - 2 * out[x] <= LIKE * sizes[x]))
+        if not len(like):
+            continue
+        left[like] = False
+        inside = np.zeros(len(times), bool)
+        inside[of[x]] = True
+        lacks = [np.setdiff1d(of[x], of[y], assume_unique=True) for y in like.tolist()]
+        more = [of[y][~inside[of[y]]] for y in like.tolist()]
+        derived = np.repeat(out[x][None], len(like), 0)
+        for parts, sign in ((lacks, -1), (more, 1)):
+            who, k = held(np.concatenate(parts))
+            which = np.repeat(np.repeat(np.arange(len(like)), [len(p) for p in parts]), k)
+            derived += sign * np.bincount(which * n + who, minlength=len(like) * n).reshape(len(like), n)
+        out[like] = derived
+    return out
 
 
 def crowds_of(reps: DataFrame) -> DataFrame:
@@ -252,65 +285,128 @@ def early_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame, heavy) -> Da
     return store(rows.mapInArrow(released(compare), "a long, b long").distinct(), "jac-early")
 
 
-def list_pairs(postings: DataFrame) -> DataFrame:
-    """(a, b, na, nb) once for every list that holds both, unless their sizes rule a link out,
+def within(n, m, i, j):
+    """May sets of n and m shingles that share one at positions i and j be linked?"""
+    least = -(-PERCENT * (n + m) // (100 + PERCENT))
+    return (100 * m <= most_of(n)) & (i - j <= n - least) & (j - i <= m - least)
+
+
+def most_of(n):
+    """Hundred times the size of the largest set that one of n shingles can be linked with."""
+    return n * 10000 // PERCENT
+
+
+def block_pairs(n: np.ndarray, pos: np.ndarray):
+    """Pairs (x, y), x before y, of a list in order of size and position that size and position
+    allow, block against block; blocks that are too far apart are skipped whole."""
+    starts = np.arange(0, len(n), BLOCK)
+    low_n, high_n = n[starts], n[np.minimum(starts + BLOCK, len(n)) - 1]
+    low_p, high_p = np.minimum.reduceat(pos, starts), np.maximum.reduceat(pos, starts)
+    for p in range(len(starts)):
+        q = np.arange(p, len(starts))
+        least = -(-PERCENT * (low_n[p] + low_n[q]) // (100 + PERCENT))
+        q = q[(100 * low_n[q] <= most_of(high_n[p])) & (low_p[q] <= high_p[p] + high_n[q] - least) & (low_p[p] <= high_p[q] + high_n[p] - least)]
+        if not len(q):
+            continue
+        x = np.arange(starts[p], min(starts[p] + BLOCK, len(n)))
+        for part in np.array_split(q, -(-len(q) // 16)):
+            y = np.concatenate([np.arange(a, min(a + BLOCK, len(n))) for a in starts[part].tolist()])
+            ok = (x[:, None] < y) & within(n[x][:, None], n[y], pos[x][:, None], pos[y])
+            a, b = np.nonzero(ok)
+            if len(a):
+                yield x[a], y[b]
+
+
+def list_pairs(postings: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b, na, nb) once for every list that holds both, unless sizes and positions rule a link out,
     they are connected already, or a group has compared them.  ``known`` holds component and
-    min-hashes, eight bytes each, of sets that have company."""
+    min-hashes, eight bytes each, of sets that have company.  ``keys``: the list, and of a long one the
+    two parts that are compared and the entry's own."""
     spark = postings.sparkSession
-    rows = postings.repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "doc")
+    list_keys = [k for k in keys if k != "own"]
+    cols_ = [*keys, "n", "pos", "doc", "known"]
+    rows = postings.select(*cols_).repartition(partitions(spark), *list_keys).sortWithinPartitions(*list_keys, "n", "pos", "doc")
+    k = len(keys)
 
     def run(batches):
-        carry = None
+        held, size = [], 0
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(k + 3)]
             known = np.zeros((batch.num_rows, 1 + KEYS), np.int64)
-            known[:, 0] = cols[2]
-            has = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            known[:, 0] = cols[k + 2]
+            has = batch.column(k + 3).is_valid().to_numpy(zero_copy_only=False)
             if has.any():
-                known[has] = np.frombuffer(b"".join(batch.column(3).drop_null().to_pylist()), ">i8").reshape(-1, 1 + KEYS)
-            cols.append(known)
-            if carry is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(carry, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            carry = [c[last:] for c in cols]
-            yield from lists([c[:last] for c in cols])
-        if carry is not None:
-            yield from lists(carry)
+                known[has] = np.frombuffer(b"".join(batch.column(k + 3).drop_null().to_pylist()), ">i8").reshape(-1, 1 + KEYS)
+            held.append([*cols, known])
+            size += batch.num_rows
+            if size > ROWS:
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[: len(list_keys)]], 0))
+                last = int(new[-1]) + 1 if len(new) else 0
+                held, size = [[c[last:] for c in cols]], len(cols[0]) - last
+                yield from lists([c[:last] for c in cols])
+        if held:
+            yield from lists([np.concatenate(c) for c in zip(*held, strict=True)])
 
     def lists(cols):
-        token, n, doc, known = cols
-        if not len(token):
+        n, pos, doc, known = (cols[k], cols[k + 1].astype(np.int64), cols[k + 2], cols[k + 3])
+        if not len(n):
             return
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        ends = np.append(starts[1:], len(token))
-        a, b, na, nb, held = [], [], [], [], 0
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            k = known[s:e]
-            if (k[:, 0] == k[0, 0]).all():
-                continue
-            size, ids = n[s:e], doc[s:e]
-            far = np.searchsorted(size, size * 100 // PERCENT, side="right")  # later ones are too large
-            for i in range(e - s - 1):
-                rest = k[i + 1 : far[i]]
-                other = np.flatnonzero(~((rest == k[i]) & (k[i] != 0)).any(1) if k[i, 1:].any() else rest[:, 0] != k[i, 0]) + i + 1
-                if len(other):
-                    a.append(np.full(len(other), ids[i]))
-                    b.append(ids[other])
-                    na.append(np.full(len(other), size[i]))
-                    nb.append(size[other])
-                    held += len(other)
-                if held > 50_000:
-                    yield batch_of(a, b, na, nb)
-                    a, b, na, nb, held = [], [], [], [], 0
-        if held:
-            yield batch_of(a, b, na, nb)
-
-    def batch_of(*cols):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["a", "b", "na", "nb"])
+        own = cols[k - 1] if keys[-1] == "own" else None
+        both = (cols[1] != cols[2]) if own is not None else None
+        starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[: len(list_keys)]], 0)]))
+        ends = np.append(starts[1:], len(n))
+        until = np.repeat(ends, ends - starts)
+        short = np.repeat(ends - starts <= BLOCK // 2, ends - starts)
+        out, size = [], 0
+
+        def pairs():
+            """Short lists all together, by the distance of the two in the list; long ones in blocks."""
+            at = np.flatnonzero(short)
+            for step in range(1, BLOCK // 2):
+                at = at[at + step < until[at]]
+                if not len(at):
+                    break
+                ok = within(n[at], n[at + step], pos[at], pos[at + step])
+                yield at[ok], at[ok] + step
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if e - s > BLOCK // 2 and (known[s:e, 0] != known[s, 0]).any():
+                    for x, y in block_pairs(n[s:e], pos[s:e]):
+                        yield s + x, s + y
+
+        for x, y in pairs():
+            new = ~((known[x] == known[y]) & (known[x] != 0)).any(1) & (doc[x] != doc[y])
+            if own is not None:
+                new &= (own[x] != own[y]) | ~both[x]
+            x, y = x[new], y[new]
+            if len(x):
+                out.append((doc[x], doc[y], n[x], n[y]))
+                size += len(x)
+            if size > 50_000:
+                yield batch_of(out)
+                out, size = [], 0
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "na", "nb"])
 
     return rows.mapInArrow(released(run), "a long, b long, na long, nb long")
 
 
+def long_lists(postings: DataFrame) -> DataFrame:
+    """Pairs of the long lists: of shingles in a table of at most HEAVY, so what is sent to every task
+    of their lengths has a fixed bound.  A list of one component is settled."""
+    postings = store(postings, "jac-long")
+    lengths = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+    lengths = F.broadcast(lengths.select("token", F.ceil(F.col("c") / PART).cast("int").alias("parts")))
+    rows = postings.join(lengths, "token").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    return list_pairs(rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}), ["token", "low", "high", "own"])
+
+
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: doc ids) that are links, by their whole sets."""
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
@@ -363,15 +459,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     byte8 = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
     keys = [F.when((F.col("common") > 0) & crowds(F.coalesce(F.get("keys", F.lit(j)), F.lit(0).cast("long"))), F.get("keys", F.lit(j))).otherwise(F.lit(0).cast("long")) for j in range(KEYS)]
     chosen = reps.join(known, F.col("rep") == F.col("id"), "left")
-    chosen = chosen.select(F.col("s1").alias("_a"), F.col("s2").alias("_b"), "rep", F.concat(byte8(F.coalesce("component", "rep")), *[byte8(k) for k in keys]).alias("known"))
+    chosen = chosen.select(F.col("s1").alias("_a"), F.col("s2").alias("_b"), "rep", F.coalesce("component", "rep").alias("comp"), F.concat(byte8(F.coalesce("component", "rep")), *[byte8(k) for k in keys]).alias("known"))
     social = reps.select(F.xxhash64("s1", "s2").alias("h"), "copies", "common")
     social = social.filter("copies > 1 or common > 0").select("h")
-    marked = named.select("doc_id", "n", "s1", "s2", "prefix").withColumn("_met", held_in(bit_table(social))(F.xxhash64("s1", "s2")))
-    alone = marked.filter(~F.col("_met")).select(F.explode("prefix").alias("token"), "n", F.col("doc_id").alias("doc"), F.lit(None).cast("binary").alias("known"))
+    marked = named.select("doc_id", "n", "s1", "s2", "calm", "prefix").withColumn("_met", held_in(bit_table(social))(F.xxhash64("s1", "s2")))
+    alone = marked.filter(~F.col("_met")).select(F.posexplode("prefix").alias("pos", "token"), "n", F.col("doc_id").alias("doc"), F.lit(None).cast("binary").alias("known"))
     met = marked.filter("_met").join(chosen, (F.col("s1") == F.col("_a")) & (F.col("s2") == F.col("_b")) & (F.col("doc_id") == F.col("rep")))
-    met = met.select(F.explode("prefix").alias("token"), "n", F.col("doc_id").alias("doc"), "known")
-    postings = alone.unionByName(met)
-    pairs = list_pairs(postings).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    met = met.select("calm", F.posexplode("prefix").alias("pos", "token"), "n", F.col("doc_id").alias("doc"), "known", "comp")
+    brief = alone.unionByName(met.filter("pos < calm").drop("calm", "comp"))
+    pairs = list_pairs(brief, ["token"]).unionByName(long_lists(met.filter("pos >= calm")))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
     # of two sets, the one whose prefix ends first has all common shingles up to there in both
     # prefixes: the overlap is at most those counted and what is left behind its prefix
     least = F.ceil(F.lit(PERCENT) * (F.col("na") + F.col("nb")) / F.lit(100 + PERCENT))

@@ -180,6 +180,41 @@ def test_jaccard_join_against_all_pairs(spark, docs, none):
     assert sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=repr) == brute_components(data)
 
 
+def test_jaccard_join_of_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG", 5)
+    monkeypatch.setattr(jaccard, "PART", 16)
+    monkeypatch.setattr(jaccard, "KEYS", 1)
+    rng = np.random.default_rng(4)
+    lines = [" ".join(str(x) for x in rng.integers(0, 10**6, 12)) for _ in range(6)]  # lines that many share
+    data = []
+    for i in range(240):
+        w = [lines[k] for k in rng.permutation(6)[: rng.integers(3, 7)]] + [" ".join(map(str, rng.integers(0, 10**6, rng.integers(0, 16))))]
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_components(data)
+    assert 1 < len({c for _, _, c in want}) < 240
+    assert sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=repr) == want
+
+
+def test_jaccard_overlaps_and_skips():
+    rng = np.random.default_rng(5)
+    base = rng.permutation(3000)
+    sets_ = []
+    for k in range(60):  # families of highly similar sets, and strangers
+        s = set(base[(k % 4) * 300 : (k % 4) * 300 + 250].tolist()) if k % 5 else set(rng.integers(0, 3000, 80).tolist())
+        s -= set(rng.choice(sorted(s), rng.integers(0, 20)).tolist())
+        sets_.append(np.array(sorted(s | set(rng.integers(0, 3000, rng.integers(0, 20)).tolist())), np.uint64))
+    want = [[len(np.intersect1d(a, b)) for b in sets_] for a in sets_]
+    assert jaccard.overlaps(sets_).tolist() == want
+    n = np.sort(rng.integers(20, 120, 700))
+    pos = rng.integers(0, 30, 700)
+    order = np.lexsort((pos, n))
+    n, pos = n[order], pos[order]
+    got = sorted((int(x), int(y)) for xs, ys in jaccard.block_pairs(n, pos) for x, y in zip(xs, ys, strict=True))
+    ok = [(x, y) for x in range(700) for y in range(x + 1, 700) if 100 * n[x] >= 75 * n[y] and min(pos[x], pos[y]) + min(n[x] - pos[x], n[y] - pos[y]) >= -(-75 * (n[x] + n[y]) // 175)]
+    assert got == ok and 0 < len(ok) < 700 * 699 // 2
+
+
 def test_jaccard_join_ties_an_id_to_its_own_set_and_another(spark):
     a, b = text(21, 60), text(22, 60)
     data = [(1, b), (5, a), (5, b), (9, a + " and one tail"), (20, text(23, 60)), (20, text(24, 60))]
