@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -333,9 +332,9 @@ def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 def held_in(table: np.ndarray):
     """A column function: may the hashed long be in the bit table?"""
 
-    @F.pandas_udf("boolean")
-    def held(h: pd.Series) -> pd.Series:
-        return pd.Series(in_table(table, h.to_numpy()))
+    @F.arrow_udf("boolean")
+    def held(h: pa.Array) -> pa.Array:
+        return pa.array(in_table(table, h.to_numpy(zero_copy_only=False)))
 
     return held
 

@@ -24,6 +24,7 @@ END_ID = 1
 POOL_TOKENS = 1 << 20  # ids that wait in a task for a window
 CACHE_WORDS = 1 << 20  # words whose ids a worker keeps
 WINDOW = 1 << 22  # bytes of text read at a time
+OUT_ROWS = 1000  # pieces, of up to 8 KB, that a task hands on at a time
 STEP = 8  # sequences to a step group
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
@@ -221,8 +222,8 @@ class Pool:
 
     def take(self):
         rows, self.out = self.out, []
-        for i in range(0, len(rows), 20_000):
-            part = list(zip(*rows[i : i + 20_000], strict=True))
+        for i in range(0, len(rows), OUT_ROWS):
+            part = list(zip(*rows[i : i + OUT_ROWS], strict=True))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
@@ -257,7 +258,7 @@ def pack(docs: DataFrame, path: str | None = None, cache: int = CACHE_WORDS, win
                         pool.add((d, full, raw[4 * full :], n))
                     if pool.tokens > POOL_TOKENS:
                         pool.flush(False)
-                    if len(pool.out) > 5000:
+                    if len(pool.out) > OUT_ROWS:
                         yield from pool.take()
                 i = j
         pool.flush(True)
