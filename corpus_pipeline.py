@@ -88,7 +88,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids, one row a piece."""
     _begin(spark)
-    return pack(docs, cache=300_000, window=1 << 20).withColumn("ids_crc32", F.crc32("ids"))
+    return pack(docs, cache=120_000, window=1 << 20).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
