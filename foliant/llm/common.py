@@ -74,6 +74,7 @@ def released(run):
         import ctypes
         import gc
 
+        pa.set_memory_pool(pa.system_memory_pool())  # one allocator, so that what is freed can go back
         try:
             yield from run(batches)
         finally:
@@ -89,7 +90,7 @@ def released(run):
 
 # ---------------------------------------------------------------- words as hashes
 
-SEGMENT = 1 << 18  # bytes hashed at a time: 2 MB numpy columns, whatever the length of a text
+SEGMENT = 1 << 16  # bytes hashed at a time: numpy columns of half a MB, whatever the length of a text
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -41,7 +41,7 @@ PASSAGE, PASSAGE_WORDS = 240, 50  # a passage: repeated strings of so many bytes
 GRAM = 24
 CROWD = 512  # differing runs of one lead that are sorted in one task
 FINE = 16  # starts to a stretch of a crowded lead
-PART = 1 << 22  # bytes of runs sorted at a time
+PART = 1 << 21  # bytes of runs sorted at a time
 SLOTS = 1 << 20
 
 
