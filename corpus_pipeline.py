@@ -17,8 +17,10 @@ from foliant.llm.suffixes import PASSAGE, PASSAGE_WORDS, remove_repeats
 
 
 def _begin(spark: SparkSession) -> int:
-    """A stage's input is written, so no table of the stages before it is read any more."""
+    """A stage's input is written, so no table of the stages before it is read any more.  Executors
+    hold the workers of several stages, so a task reads less of a shuffle at a time."""
     sweep(spark)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
     return stored(spark)
 
 
