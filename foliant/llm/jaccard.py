@@ -197,7 +197,8 @@ def crowds_of(reps: DataFrame) -> DataFrame:
 
 
 def early_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame, heavy) -> DataFrame:
-    """All links inside the groups of sets that share a min-hash, as a spanning tree a group:
+    """All links inside the groups of sets that share a min-hash, as a spanning tree a group (of two
+    blocks: what joins the trees of each):
     afterwards a pair of one group needs no second look.  A group of many sets is compared block
     against block, each pair of blocks a group of its own; only links leave it."""
     split = np.zeros(SALTS, np.uint8)
@@ -250,7 +251,10 @@ def early_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame, heavy) -> Da
         n = np.array([len(s) for s in sets_])
         both = overlaps(sets_)
         x, y = np.nonzero(100 * both >= PERCENT * (n[:, None] + n[None, :] - both))
-        keep = (x < y) & (docs_[x] != docs_[y]) & ((own[x] != own[y]) if low != high else True)
+        keep = (x < y) & (docs_[x] != docs_[y])
+        x, y = x[keep], y[keep]
+        inner = own[x] == own[y]
+        order = np.argsort(~inner, kind="stable")  # links inside a block first: its own group tells those
         root = list(range(len(rows)))
 
         def top(p):
@@ -259,11 +263,12 @@ def early_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame, heavy) -> Da
             return p
 
         out = []
-        for p, q in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+        for p, q, told in zip(x[order].tolist(), y[order].tolist(), (inner[order] & (low != high)).tolist(), strict=True):
             a, b = top(p), top(q)
             if a != b:
                 root[b] = a
-                out.append((int(docs_[p]), int(docs_[q])))
+                if not told:
+                    out.append((int(docs_[p]), int(docs_[q])))
         return out
 
     def compare(batches):

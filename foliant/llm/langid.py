@@ -4,13 +4,15 @@ The network reads each white-space-separated word from both ends, labels every b
 language probabilities, and a document's probabilities are the mean over all its positions.
 Words are the sequences (longer ones are cut every LONGEST bytes), so equal words have equal
 labels: a worker runs the network on words it has not met and remembers the sums.  Trained in
-numpy by backpropagation through time on a bounded sample of labelled rows.
+numpy by backpropagation through time on a bounded sample of labelled rows, of which all words with
+a letter are drawn from.
 Null text, or one without a letter: ``und``, score 0.  Null doc_id: never a training row.
 Repeated rows: predicted alike.  Very long texts: read whole.  No labelled row: all ``und``."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,7 @@ from .common import released, small_batches, utf8
 
 HIDDEN = 16
 LONGEST = 24
-DOCS_A_LANGUAGE = 400  # training documents of each language, at most about
-WORDS_A_DOC = 120  # training words of each, spread over the whole text
+DOCS_A_LANGUAGE = 400  # training documents of each language, at most about; read whole
 STEPS, BATCH, RATE = 300, 1024, 0.02
 CACHE_WORDS = 250_000  # words whose sums a worker keeps
 CACHE_SUMS = 200 * CACHE_WORDS  # sums: with more languages than 200, fewer words are kept
@@ -133,14 +134,15 @@ class Network:
         return loss, g
 
 
-def train(words: list[bytes], labels: np.ndarray, n_labels: int, steps: int = STEPS, seed: int = 7) -> Network:
+def train(words: list[bytes], labels: np.ndarray, n_labels: int, times: np.ndarray | None = None, steps: int = STEPS, seed: int = 7) -> Network:
+    """``times``: how often each word occurs; it is drawn as often."""
     net, rng = Network(n_labels, seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    words = [w[:LONGEST] for w in words]
-    by_label = [np.flatnonzero(labels == c) for c in range(n_labels)]
+    times = np.ones(len(words)) if times is None else times
+    by_label = [(b, np.cumsum(times[b])) for b in (np.flatnonzero(labels == c) for c in range(n_labels)) if len(b)]
     for s in range(steps):
-        pick = np.concatenate([rng.choice(b, max(1, BATCH // n_labels)) for b in by_label if len(b)])
+        pick = np.concatenate([b[np.searchsorted(t, rng.random(max(1, BATCH // n_labels)) * t[-1], side="right")] for b, t in by_label])
         x, lens = matrix([words[i] for i in pick])
         _, g = net.gradients(x, lens, labels[pick])
         rate = RATE * min(1, (s + 1) / 20) * (1 - 0.9 * s / steps)
@@ -157,34 +159,31 @@ def held_out(parts: int, part: int):
 
 def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> tuple[list[str], Network | None]:
     """Labels and network from the labelled rows outside the held-out fold.  Rows are picked by
-    a hash of doc_id at a rate that gives about ``docs_a_language`` of each language; of each,
-    WORDS_A_DOC words at even distances."""
+    a hash of doc_id and text at a rate that gives about ``docs_a_language`` of each language."""
     rows = docs.select("doc_id", "lang", "text").filter(~held_out(4, 2) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return [], None
     names = sorted(c["lang"] for c in counts)
     rate = F.create_map(*[F.lit(v) for c in counts for v in (c["lang"], min(1.0, docs_a_language / c["count"]))])
-    luck = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    luck = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.filter(luck < F.try_element_at(rate, F.col("lang")))
 
     def pick(batches):
         for batch in batches:
-            lang, out = [], []
+            got = Counter()
             for name, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 words = [w for w in text.split() if has_letter(w)]
-                step = max(1, -(-len(words) // WORDS_A_DOC))
-                lang += [name] * len(words[::step])
-                out += words[::step]
-            out = [w[:LONGEST] for w in out]
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(out, pa.binary())], names=["lang", "word"])
-
-    sample = rows.select("lang", "text").mapInArrow(released(pick), "lang string, word binary").toPandas()
-    sample = sample.sort_values(["lang", "word"], kind="stable")
-    if not len(sample):
+                got.update((name, w[k : k + LONGEST]) for w in words for k in range(0, len(w), LONGEST))
+            lang, out = zip(*got, strict=True) if got else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(out, pa.binary()), pa.array(got.values(), pa.int64())], names=["lang", "word", "times"])
+
+    sample = rows.select("lang", "text").mapInArrow(released(pick), "lang string, word binary, times long")
+    sample = sample.groupBy("lang", "word").agg(F.sum("times").alias("times")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    if not sample.num_rows:
         return [], None
-    label = np.searchsorted(np.array(names, object), sample["lang"].to_numpy(object))
-    return names, train([bytes(w) for w in sample["word"]], label, len(names))
+    label = np.searchsorted(np.array(names, object), np.array(sample["lang"].to_pylist(), object))
+    return names, train(sample["word"].to_pylist(), label, len(names), sample["times"].to_numpy())
 
 
 class Reader:

@@ -20,8 +20,7 @@ from .langid import held_out
 WIDTH, FILTERS = 6, 24
 BLOCK = 64  # chunks are 4 blocks long and begin every 3
 CHUNK, STRIDE = 4, 3
-DOCS_A_CLASS = 2500  # training documents of each class, at most about
-CHUNKS_A_DOC = 12  # chunks of each that training looks at, spread over the whole text
+DOCS_A_CLASS = 1500  # training documents of each class, at most about; read whole
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 THRESHOLD = 0.3
 
@@ -101,7 +100,7 @@ class Filters:
 
 
 def train(texts: list[bytes], y: np.ndarray, seed: int = 9) -> Filters:
-    """By Adam on class-weighted cross-entropy; ``texts`` are chunk samples joined per document."""
+    """By Adam on class-weighted cross-entropy over whole texts, each chunk as scoring sees it."""
     net, rng = Filters(seed), np.random.default_rng(seed)
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -109,8 +108,6 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 9) -> Filters:
     rows = []
     for t in texts:
         starts = list(range(0, max(1, len(t) - (CHUNK - STRIDE) * BLOCK), STRIDE * BLOCK))
-        if len(starts) > CHUNKS_A_DOC:
-            starts = [starts[k] for k in np.linspace(0, len(starts) - 1, CHUNKS_A_DOC).astype(int)]
         x = np.zeros((len(starts), size + WIDTH), np.uint8)
         for k, s in enumerate(starts):
             part = np.frombuffer(t[s : s + size + WIDTH], np.uint8)
@@ -167,25 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame, docs_a_class: int = DOCS_A_CLASS) ->
     picked = known.filter(luck < rate).limit(4 * docs_a_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null")
 
-    def pick(batches):
-        """Of each text the bytes that training looks at, so that what is gathered is bounded."""
-        most = (CHUNKS_A_DOC * STRIDE + 1) * BLOCK
-        for batch in batches:
-            texts = utf8(batch.column(2))
-            cut = []
-            for t in texts:
-                if len(t) > most:
-                    span = CHUNK * BLOCK
-                    t = b"".join(t[s : s + STRIDE * BLOCK] for s in np.linspace(0, len(t) - span, CHUNKS_A_DOC).astype(int).tolist())
-                cut.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary())], names=["doc_id", "y", "text"])
-
-    sample = rows.select("doc_id", "y", "text").mapInArrow(released(pick), "doc_id long, y int, text binary").toPandas()
-    sample = sample.sort_values(["doc_id", "text"], kind="stable")
-    y = sample["y"].to_numpy(np.int64)
+    # a doc_id may come with several texts: the bound holds for rows, and no row is cut
+    sample = rows.select("doc_id", "y", F.encode("text", "UTF-8").alias("text")).orderBy(F.xxhash64("doc_id", "text")).limit(4 * docs_a_class).toArrow()
+    sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    y = sample["y"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.5
-    net = train([bytes(t) for t in sample["text"]], y)
+    net = train(sample["text"].to_pylist(), y)
     # training weighs the classes alike; move the odds to those of all labelled rows
     net.shift = float(np.log(counts[1] / counts[0]))
     return net
