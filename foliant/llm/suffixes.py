@@ -457,7 +457,8 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, as_text: bool
     free = marked.filter(~F.col("_hit")).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), (nothing if passages else F.lit(None).cast("long")).alias("passage_bytes"), (F.col("text") if as_text else F.encode("text", "UTF-8")).alias("kept"), *keep
     )
-    hit = marked.filter("_hit").join(per, (F.col("dh") == F.col("_d")) & (F.col("th") == F.col("_t")), "left").select(*order)
+    # a merge join ends the stage of the mark, so that a task never holds two Python workers
+    hit = marked.filter("_hit").join(per.hint("merge"), (F.col("dh") == F.col("_d")) & (F.col("th") == F.col("_t")), "left").select(*order)
     schema = free.schema
 
     def merged(t: bytes, ranges: list, w: int, words: int) -> list[tuple[int, int]]:
