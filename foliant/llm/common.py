@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +60,15 @@ def stored(spark: SparkSession) -> int:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that go to Python; a batch holds whole texts."""
+    one_thread(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def one_thread(spark: SparkSession) -> None:
+    """Matrix products of workers in one thread each: the tasks of an executor fill its cores."""
+    spark.sparkContext.environment["OMP_NUM_THREADS"] = "1"
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -314,7 +321,20 @@ def tidy(spark: SparkSession) -> None:
 BITS_WORDS = 1 << 20
 
 
-def bit_table(hashes: DataFrame) -> np.ndarray:
+class Packed:
+    """An array that travels compressed: tables are mostly empty, and a task holds them once."""
+
+    def __init__(self, array: np.ndarray):
+        self.array = array
+
+    def __getstate__(self):
+        return self.array.dtype.str, zlib.compress(self.array.tobytes(), 1)
+
+    def __setstate__(self, state):
+        self.array = np.frombuffer(zlib.decompress(state[1]), state[0])
+
+
+def bit_table(hashes: DataFrame) -> Packed:
     """A one-hash Bloom filter of fixed size (8 MB) over the longs of the first column: what is
     in it may be more than was put in, never less, so users only save work by it."""
     h = F.col(hashes.columns[0])
@@ -322,15 +342,15 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
     got = words.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(BITS_WORDS, np.uint64)
     out[got["i"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
-    return out
+    return Packed(out)
 
 
-def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+def in_table(table: Packed, h: np.ndarray) -> np.ndarray:
     u = h.astype(np.int64).view(np.uint64)
-    return (table[(u & np.uint64(BITS_WORDS - 1)).astype(np.int64)] >> (u >> np.uint64(20) & np.uint64(63))) & np.uint64(1) == 1
+    return (table.array[(u & np.uint64(BITS_WORDS - 1)).astype(np.int64)] >> (u >> np.uint64(20) & np.uint64(63))) & np.uint64(1) == 1
 
 
-def held_in(table: np.ndarray):
+def held_in(table: Packed):
     """A column function: may the hashed long be in the bit table?"""
 
     @F.arrow_udf("boolean")

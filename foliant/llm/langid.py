@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, small_batches, utf8
+from .common import one_thread, released, small_batches, utf8
 
 HIDDEN = 16
 LONGEST = 24
@@ -160,6 +160,7 @@ def held_out(parts: int, part: int):
 def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> tuple[list[str], Network | None]:
     """Labels and network from the labelled rows outside the held-out fold.  Rows are picked by
     a hash of doc_id and text at a rate that gives about ``docs_a_language`` of each language."""
+    one_thread(docs.sparkSession)
     rows = docs.select("doc_id", "lang", "text").filter(~held_out(4, 2) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().collect()
     if not counts:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, small_batches, utf8
+from .common import one_thread, released, small_batches, utf8
 from .langid import held_out
 
 WIDTH, FILTERS = 6, 24
@@ -154,6 +154,7 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 9) -> Filters:
 
 def fit(docs: DataFrame, labels: DataFrame, docs_a_class: int = DOCS_A_CLASS) -> Filters | float:
     """The network, or one probability where there is no choice to learn."""
+    one_thread(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y")).filter(~held_out(5, 0))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     if len(counts) < 2:

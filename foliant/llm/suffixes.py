@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, SEGMENT, bit_table, held_in, in_table, mix, partitions, powers, released, small_batches, store, tidy, utf8
+from .common import BYTE_CODES, SEGMENT, Packed, bit_table, held_in, in_table, mix, partitions, powers, released, small_batches, store, tidy, utf8
 
 LENGTH = 400  # op8's contract
 PASSAGE, PASSAGE_WORDS = 240, 50  # a passage: repeated strings of so many bytes that make up so many words
@@ -241,6 +241,7 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
     split = np.zeros(SLOTS, np.int32)  # parts of about CROWD runs that a crowded lead is cut into
     big = crowd.filter(F.col("v") > CROWD).groupBy(F.pmod("lead", F.lit(SLOTS)).alias("slot")).agg(F.max(F.ceil(F.col("v") / CROWD)).alias("parts")).toArrow()
     split[big["slot"].to_numpy()] = big["parts"].to_numpy()
+    split = Packed(split)
 
     def suffixes(batches):
         names = [f.split()[0] for f in ROW.split(", ")]
@@ -253,7 +254,7 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
                     continue
                 raw = [data[a : a + n].tobytes() for a, n in zip(s[k].tolist(), size[k].tolist(), strict=True)]
                 front = [r[o : o + 16] for r, o in zip(raw, off[k].tolist(), strict=True)]
-                t, parts = text[k], split[(lead[k] & np.uint64(SLOTS - 1)).astype(np.int64)]
+                t, parts = text[k], split.array[(lead[k] & np.uint64(SLOTS - 1)).astype(np.int64)]
                 cols = [pa.array(front, pa.binary()), *[_long(x) for x in (lead[k], dh[t], th[t], dh[t] + at[k], c[k], off[k])], pa.array(parts), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
