@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import KEPT, store, stored, sweep, without
+from foliant.llm.common import KEPT, one_thread, store, stored, sweep, without
 from foliant.llm.jaccard import near_duplicates
 from foliant.llm.langid import UND, fit, predict
 from foliant.llm.mixing import mixed_documents
@@ -20,6 +20,7 @@ def _begin(spark: SparkSession) -> int:
     """A stage's input is written, so no table of the stages before it is read any more.  Executors
     hold the workers of several stages, so a task reads less of a shuffle at a time."""
     sweep(spark)
+    one_thread(spark)
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
     return stored(spark)
 
