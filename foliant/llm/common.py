@@ -19,10 +19,13 @@ _own: dict[str, str] = {}
 
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-    Only where that is unset (tests, a laptop) a folder of our own stands in for it."""
+    Only where that is unset and the session runs in one JVM (tests, a laptop) a folder of our own
+    stands in for it; a cluster without that setting is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="foliant-"))
     return f"{base.rstrip('/')}/foliant-{app}"
 

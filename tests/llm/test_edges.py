@@ -112,6 +112,40 @@ def test_sharding_balance_and_slots(spark, docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_against_a_plain_walk(spark, docs):
+    got = Counter((r.doc_id, r.size, r.text_crc32) for r in sharding.shard(docs).collect())
+    assert got == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows())
+    many = spark.createDataFrame([(i, text(i, 20 + i % 300)) for i in range(800)], "doc_id long, text string")
+    table = sharding.points(many)
+    pts = [(r.size, (r.d0, r.d1, r.d2)) for r in table.collect()]
+    most = sum(w for w, _ in pts) / 40
+    tree, leaves = sharding.grow(table, most)
+    weight, held = Counter(), defaultdict(set)
+    for w, x in pts:
+        node = 0
+        while tree.dim[node] >= 0:
+            node = tree.kids[node][int(x[tree.dim[node]] >= tree.cut[node])]
+        weight[node] += w
+        held[node].add(x)
+    assert weight == Counter({n: int(w) for n, w in leaves.items()})
+    assert all(w <= most or len(held[n]) == 1 for n, w in weight.items())
+    below = lambda n: weight[n] if tree.dim[n] < 0 else sum(map(below, tree.kids[n]))
+    halves = [min(map(below, tree.kids[n])) / below(n) for n in range(len(tree.dim)) if tree.dim[n] >= 0]
+    assert min(halves) > 0.2 and np.mean(halves) > 0.42  # cuts lie at medians, to a bin
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from foliant.llm import common
+
+    unset = N(get=lambda k, d: d)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            common.scratch(N(conf=unset, sparkContext=N(applicationId="app", master=master)))
+    assert common.scratch(N(conf=N(get=lambda k, d: "file:///x/"), sparkContext=N(applicationId="app", master="yarn"))) == "file:///x/foliant-app"
+
+
 def test_fingerprints_against_a_plain_loop(docs, none):
     got = {(r.doc_id, r.n_chars): r for r in fingerprints.edited_fingerprints(docs).collect()}
     assert fingerprints.edited_fingerprints(none).count() == 0
@@ -297,6 +331,43 @@ def test_language_is_learned(spark, docs, none):
     assert langid.identify(none).count() == 0
 
 
+def test_language_scores_against_a_plain_loop(docs):
+    names, net = langid.fit(docs)
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, langid.HIDDEN
+    seen = {}
+
+    def states(d, piece):
+        at, out = np.zeros(h), []
+        for byte in piece:
+            a, u = p[f"x{d}"][byte], at @ p[f"u{d}"]
+            z, r = 1 / (1 + np.exp(-(a[:h] + u[:h]))), 1 / (1 + np.exp(-(a[h : 2 * h] + u[h : 2 * h])))
+            at = (1 - z) * np.tanh(a[2 * h :] + r * (u[2 * h :] + p[f"c{d}"])) + z * at
+            out.append(at)
+        return out
+
+    def labels(piece):
+        if piece not in seen:
+            both = zip(states("f", piece), states("b", piece[::-1])[::-1], strict=True)
+            e = [np.exp(np.concatenate(x) @ p["o"] + p["ob"]) for x in both]
+            seen[piece] = sum(x / x.sum() for x in e)
+        return seen[piece]
+
+    want = {}
+    for r in rows():
+        t = (r[1] or "").encode()
+        words = t.split()
+        if any(c.isalpha() for c in r[1] or ""):
+            mean = sum(labels(w[k : k + langid.LONGEST]) for w in words for k in range(0, len(w), langid.LONGEST)) / sum(map(len, words))
+            want[(r[0], r[1])] = names[int(mean.argmax())], mean.max()
+        else:
+            want[(r[0], r[1])] = "und", 0.0
+    got = langid.predict(docs.select("doc_id", "text"), names, net, with_text=True).collect()
+    assert len(got) == len(rows())
+    for r in got:
+        lang, best = want[(r.doc_id, r.text)]
+        assert r.lang_pred == lang and abs(r.score - best) < 1e-4, (r.doc_id, r.score, best)
+
+
 def test_rare_languages_are_learned(spark):
     data = [(i, f"word{i % 210} other", f"l{i % 210:03d}") for i in range(1680)]
     names, net = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
@@ -337,6 +408,30 @@ def test_quality_is_learned(spark, docs, none):
     assert np.allclose(a[0], b)
 
 
+def test_quality_scores_against_a_plain_loop(spark, docs):
+    labels = spark.createDataFrame([(100 + i, i % 2, 0) for i in range(30)] + [(7, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    net = quality.fit(docs, labels)
+    p, chunk = {k: v.astype(np.float64) for k, v in net.p.items()}, quality.CHUNK * quality.BLOCK
+
+    def plain(t):
+        x = np.frombuffer(t + bytes(quality.WIDTH), np.uint8)
+        r = p["b"] + sum(p["t"][j][x[j : j + len(t)]] for j in range(quality.WIDTH))
+        step, tops = quality.STRIDE * quality.BLOCK, []
+        for s in range(0, len(t), step):
+            if s == 0 or s + chunk - step < len(t):
+                tops.append(np.maximum(r[s : s + chunk].max(0), 0))
+        f = np.concatenate([np.mean(tops, 0), np.max(tops, 0)]) if tops else np.zeros(2 * quality.FILTERS)
+        return 1 / (1 + np.exp(-(f @ p["w"] + p["c"][0] + net.shift)))
+
+    got = quality.score(docs.select("doc_id", "text", "size", "shard"), net).collect()  # clashing names come along
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows()) and {r.size for r in got} == {"clash"}
+    want = {r[0]: plain((r[1] or "").encode()) for r in rows()}
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 1e-4, (r.doc_id, r.score, want[r.doc_id])
+    assert len({r.score for r in got if r.doc_id in (4, 5)}) == 1  # null and empty alike
+    assert len({r.score for r in got if r.doc_id == 7}) == 1  # repeated rows alike
+
+
 def test_warc_round_trip(spark):
     big = "x" * 1500 + "é"
     data = [(1, "http://a", big), (2, "http://b\nc", big), (2, "http://b\nc", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "n", big), (7, "", "")]
