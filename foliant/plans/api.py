@@ -62,6 +62,16 @@ class DocumentSet:
     def dims(self) -> DataFrame:
         return layout.page_dims(self.clean, self.media)
 
+    def page_dimensions(self, page: int) -> DataFrame:
+        """(doc_id, page, width, height, reason) of one page, counted from 0, of every document.  A
+        document with fewer pages has no size there and the reason PageOutOfRange."""
+        if page < 0:
+            raise ValueError(f"no page {page}")
+        known = self.papers if self.papers is not None else self.spans.groupBy("doc_id").agg((F.max("page") + 1).alias("pages"))
+        sizes = self.dims.filter(F.col("page") == page).select("doc_id", "width", "height")
+        reason = F.when(F.col("pages") <= page, "PageOutOfRange")
+        return known.select("doc_id", "pages").join(sizes, "doc_id", "left").select("doc_id", F.lit(page).alias("page"), "width", "height", reason.alias("reason"))
+
     @cached_property
     def lines(self) -> DataFrame:
         return layout.lines(self.clean)

@@ -182,6 +182,86 @@ def test_page_files(spark, tmp_path, capsys):
     assert sum(seen) >= 2
 
 
+def lzw(data: bytes, early: int) -> bytes:
+    """A plain encoder: the longest known word each time."""
+    bits, table, width, word = "", {}, 9, b""
+    known = lambda w: len(w) == 1 or w in table
+    code = lambda w: w[0] if len(w) == 1 else table[w]
+    bits += format(256, "09b")
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if known(word + c):
+            word += c
+            continue
+        bits += format(code(word), f"0{width}b")
+        table[word + c] = 258 + len(table)
+        width = max(9, min(12, (257 + len(table) + early).bit_length()))
+        if len(table) == 3800:
+            bits, table, width = bits + format(256, f"0{width}b"), {}, 9
+        word = c
+    bits += (format(code(word), f"0{width}b") if word else "")
+    return int(bits + "0" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+@pytest.mark.parametrize("early", [0, 1])
+def test_lzw_reads_what_a_plain_encoder_writes(early):
+    import random
+
+    from foliant.sources import pdf
+
+    rng = random.Random(5)
+    for size in (1, 2, 300, 60_000):
+        for letters in (2, 256):
+            data = bytes(rng.randrange(letters) for _ in range(size))
+            assert pdf._lzw(lzw(data, early), early) == data
+    with pytest.raises(pdf.PdfError):
+        pdf._lzw(b"\x80\x7f\xff\xff", early)
+
+
+def test_stream_filters():
+    import base64
+    import zlib
+
+    from foliant.sources import pdf
+
+    def read(raw, head):
+        head = head.encode() + b" /Length %d" % len(raw)
+        return pdf.Document(b"%PDF-1.4\n1 0 obj\n<< " + head + b" >>\nstream\n" + raw + b"\nendstream\nendobj\n").stream(pdf.Ref(1))
+
+    text = b"BT (Hello) Tj ET " * 9
+    assert read(base64.a85encode(text) + b"~>", "/Filter /ASCII85Decode") == text
+    assert read(text.hex().encode() + b">", "/Filter [/ASCIIHexDecode]") == text
+    assert read(bytes([2]) + b"abc" + bytes([254]) + b"x" + bytes([128]) + b"never", "/Filter /RunLengthDecode") == b"abcxxx"
+    assert read(base64.a85encode(zlib.compress(text)), "/Filter [/ASCII85Decode /FlateDecode]") == text
+    rows = [bytes((7 * r + 3 * i) % 256 for i in range(12)) for r in range(5)]
+    made, above = b"", bytes(12)
+    for rule, row in enumerate(rows):  # one row of each rule, three bytes a sample
+        left, corner = bytes(3) + row[:-3], bytes(3) + above[:-3]
+        paeth = lambda a, b, c: min((a, b, c), key=lambda v: abs(a + b - c - v))
+        given = [bytes(12), left, above, [(a + b) // 2 for a, b in zip(left, above)], [paeth(*v) for v in zip(left, above, corner)]][rule]
+        made += bytes([rule]) + bytes((v - g) & 255 for v, g in zip(row, given))
+        above = row
+    parms = "/DecodeParms << /Predictor 15 /Colors 3 /Columns 4 >>"
+    assert read(zlib.compress(made), f"/Filter /FlateDecode {parms}") == b"".join(rows)
+    added = b"".join(bytes((v - g) & 255 for v, g in zip(r, bytes(3) + r[:-3])) for r in rows)
+    assert read(zlib.compress(added), "/Filter [/FlateDecode] /DecodeParms [<< /Predictor 2 /Colors 3 /Columns 4 >>]") == b"".join(rows)
+    with pytest.raises(pdf.PdfError, match="filter Unknown"):
+        read(text, "/Filter /Unknown")
+
+
+def test_a_page_of_an_unknown_filter_is_told_of(spark):
+    from foliant.plans.api import analyze_files
+
+    bad = minimal_pdf().replace(b"endobj\n4 0 obj\n<< ", b"endobj\n4 0 obj\n<< /Filter /Unknown ")
+    data = [("good.pdf", bytearray(minimal_pdf())), ("bad.pdf", bytearray(bad))]
+    d = analyze_files(spark.createDataFrame([(p, len(x), x) for p, x in data], "path string, length long, content binary"))
+    assert [r.reason for r in d.errors.collect()] == ["PageSkipped: filter Unknown"]
+    assert [(r.width, r.height, r.reason) for r in d.page_dimensions(0).filter("reason is null").collect()].count((600.0, 800.0, None)) >= 1
+    assert [(r.width, r.height, r.reason) for r in d.page_dimensions(1).collect()] == [(None, None, "PageOutOfRange")] * 2
+    with pytest.raises(ValueError):
+        d.page_dimensions(-1)
+
+
 def test_registry(spark):
     import __spark_entry__ as e
 
