@@ -372,3 +372,12 @@ def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     clear = marked.filter(~F.col("_maybe")).drop("_maybe")
     rest = marked.filter("_maybe").drop("_maybe").join(ids, F.col(key) == F.col("_id"), "left_anti")
     return clear.unionByName(rest)
+
+
+def apart(docs: DataFrame, names: tuple[str, ...]):
+    """``docs`` with every column but ``names`` called by its place, so that no column an operator
+    makes can clash with one of them, and a function that gives a result its old names back."""
+    own = {c: c if c in names else f"column_{i}" for i, c in enumerate(docs.columns)}
+    back = lambda out: out.select(*[F.col(v).alias(k) for k, v in own.items()])
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    return docs.select(*[F.col(quoted(k)).alias(v) for k, v in own.items()]), back

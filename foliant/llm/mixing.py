@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import running, store
+from .common import apart, running, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = 3  # weights 1, 2, 3, repeating
@@ -94,7 +94,12 @@ def _id(c):
 def mixed_documents(docs: DataFrame, seed: str = "42") -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document once per whole epoch, and the
     document in which a budget ends cut after its last word taken.  What a source's budget ends at
-    is one row per source; with it each document decides for itself, so texts stay in place."""
+    is one row per source; with it each document decides for itself, so texts stay in place.
+    Null text and text without a word: size 0, so it counts for nothing; it comes along where its key
+    sorts before the cut.  Null source: a source of its own.  Rows alike in all that is counted are
+    each taken whole or cut by their order of text.  An empty table stays empty; other columns keep
+    their names and values, whatever they are called."""
+    docs, back = apart(docs, ("doc_id", "text", "source", "n_chars"))
     cols = docs.columns
     plan = store(mix(docs.select("doc_id", "text", "source"), seed), "mix-plan").withColumn("key", _key(seed))
     ends = store(cuts(plan), "mix-cuts").withColumnRenamed("source", "_source")
@@ -111,7 +116,7 @@ def mixed_documents(docs: DataFrame, seed: str = "42") -> DataFrame:
     part = part.withColumn("text", first_words(F.col("text"), F.col("_cut.part")))
     if "n_chars" in cols:
         part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clear.select(*cols).unionByName(whole.select(*cols)).unionByName(part.select(*cols))
+    return back(clear.select(*cols).unionByName(whole.select(*cols)).unionByName(part.select(*cols)))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,29 @@ def test_language_stage_without_labels_keeps_texts(spark):
     docs = spark.createDataFrame([(*r, "a", 1) for r in data], SCHEMA)
     out = P.language(spark, docs, "")
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 4]
+
+
+def test_stages_carry_any_column_and_take_empty_tables(spark, monkeypatch):
+    from foliant.llm.langid import Network
+
+    from .test_edges import text
+
+    monkeypatch.setattr(P, "fit", lambda docs: (["en", "fr"], Network(2)))  # untrained: every score is about a half
+    extra = ["_at", "_n", "_k", "_cut", "_epochs", "_source", "_key", "_again", "_id", "_maybe", "_rest", "n_removed", "kept", "row", "size", "key", "lang_pred", "score", "c0", "c1", "component_id", "column_0", "a.b"]
+    shared = text(998, 120)
+    data = [(i, text(500 + i, 70), "en", "ab"[i % 2], 1) for i in range(12)] + [(20 + i, f"{text(530 + i, 60)} {shared}", "en", None, 1) for i in range(2)] + [(30, text(500, 70), "en", "a", 1)] * 2 + [(None, None, None, None, None), (31, "", "en", "a", 0)]
+    docs = spark.createDataFrame([(*r, *[f"{r[0]}{c}" for c in extra]) for r in data], SCHEMA + "".join(f", `{c}` string" for c in extra))
+    ids = lambda rows: sorted((r.doc_id for r in rows), key=repr)
+    kept = {}
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), "").collect() == [], name
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        kept[name] = out.collect()
+        assert all(r[c] == f"{r.doc_id}{c}" for r in kept[name] for c in extra), name
+    assert ids(kept["language_id"]) == ids([r for r in docs.collect() if r.text])
+    assert ids(kept["jaccard_join"]) == ids(docs.filter("doc_id is null or doc_id <> 30").collect())
+    assert ids(kept["suffix_dedup"]) == ids(docs.collect())
+    assert P.packing(spark, docs.limit(0), "").count() == 0
+    pieces = P.packing(spark, docs, "").collect()
+    assert ids(r for r in pieces if r.start == 0) == ids(docs.collect()) and {r.length for r in pieces if r.doc_id in (None, 31)} == {1}
