@@ -530,9 +530,7 @@ def synth_tables(spark, sf_dir):
     return corpus(spark, sf_dir).raw_tables.select("doc_id", "table_seq", "table_id", "caption", "text", "page", "after_block_index", "y_position")
 
 
-@query(
-    TYPED_SQL
-    + r""",
+METADATA_SQL = r""",
 gt AS (SELECT doc_id, arg_min(t, global_index) AS title FROM typed WHERE block_type = 'Title' AND t <> '' GROUP BY doc_id),
 p0 AS (SELECT *, MIN(bottom) OVER w + (MAX(top) OVER w - MIN(bottom) OVER w) * 0.6::DOUBLE AS cut FROM typed WHERE page = 0 WINDOW w AS (PARTITION BY doc_id)),
 lt AS (SELECT doc_id, arg_max(t, (font_size, global_index)) AS title FROM p0 WHERE top >= cut AND n_lines <= 3 AND block_type NOT IN ('Caption', 'PageNumber', 'RunningHeader', 'RunningFooter', 'Footnote', 'Reference') AND t <> '' GROUP BY doc_id),
@@ -542,9 +540,10 @@ md AS (SELECT d.doc_id, d.pages, COALESCE(g.title, l.title) AS title, x.doi FROM
 ta AS (SELECT p.doc_id, arg_min(p.bottom, global_index) AS b, arg_min(p.font_size, global_index) AS s FROM p0 p JOIN md USING (doc_id) WHERE p.t = md.title GROUP BY p.doc_id),
 un AS (SELECT p.doc_id, arg_min(t, (-top, global_index)) AS line FROM p0 p JOIN ta USING (doc_id) WHERE top < b AND b - top <= 50 AND font_size < s * 0.99::DOUBLE AND t <> ''
        AND block_type NOT IN ('SectionHeader', 'SubsectionHeader', 'Caption', 'PageNumber', 'RunningHeader', 'RunningFooter', 'Footnote') GROUP BY p.doc_id),
-au AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(line, '(?i)\band\b', ',', 'g'), '[,\n]'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: strlen(x) > 1) AS names FROM un)
-SELECT m.doc_id, title, COALESCE(array_to_string(names, '|'), '') AS authors, doi, CAST(pages AS INT) AS pages FROM md m LEFT JOIN au USING (doc_id)"""
-)
+au AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(line, '(?i)\band\b', ',', 'g'), '[,\n]'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: strlen(x) > 1) AS names FROM un)"""
+
+
+@query(TYPED_SQL + METADATA_SQL + """ SELECT m.doc_id, title, COALESCE(array_to_string(names, '|'), '') AS authors, doi, CAST(pages AS INT) AS pages FROM md m LEFT JOIN au USING (doc_id)""")
 def synth_metadata(spark, sf_dir):
     return corpus(spark, sf_dir).metadata.withColumn("authors", F.array_join("authors", "|"))
 
@@ -606,7 +605,20 @@ MARKDOWN_SQL = _bodies_sql(ESCAPE.format("text"), "'![' || " + ESCAPE.format("fi
 HEAD_SQL = "CASE WHEN s.header IS NOT NULL THEN repeat('#', greatest(1, least(6, s.level + 1))) || ' ' || " + ESCAPE.format("s.header") + " || chr(10) || chr(10) ELSE '' END"
 
 
-@query()
+YAML = r"""replace(replace(replace(replace(replace({0}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"""
+FRONT_SQL = (
+    METADATA_SQL
+    + """,
+fm AS (SELECT m.doc_id, '---' || chr(10) || COALESCE('title: "' || """
+    + YAML.format("title")
+    + """ || '"' || chr(10), '') || CASE WHEN len(names) > 0 THEN 'authors:' || chr(10) || array_to_string(list_transform(names, lambda x: '  - "' || """
+    + YAML.format("x")
+    + """ || '"' || chr(10)), '') ELSE '' END || '---' || chr(10) || chr(10) AS front FROM md m LEFT JOIN au USING (doc_id))"""
+)
+PAGED_SQL = "string_agg(" + HEAD_SQL + " || '<!-- page ' || CAST(s.page_start AS VARCHAR) || ' -->' || chr(10) || chr(10) || COALESCE(b.body, ''), '' ORDER BY s.section_id)"
+
+
+@query(MARKDOWN_SQL + FRONT_SQL + f" SELECT s.doc_id, COALESCE(any_value(front), '') || {PAGED_SQL} AS text FROM sections s LEFT JOIN bd b USING (doc_id, section_id) LEFT JOIN fm ON fm.doc_id = s.doc_id GROUP BY s.doc_id")
 def synth_markdown(spark, sf_dir):
     return corpus(spark, sf_dir).to_markdown(MarkdownConfig(page_numbers=True, front_matter=True))
 
@@ -616,7 +628,7 @@ def synth_markdown_math(spark, sf_dir):
     return corpus(spark, sf_dir).to_markdown(MarkdownConfig(math=MathConfig(), caption_style="bold"))
 
 
-@query(MARKDOWN_SQL + " SELECT s.doc_id, string_agg(" + HEAD_SQL + " || '<!-- page ' || CAST(s.page_start AS VARCHAR) || ' -->' || chr(10) || chr(10) || COALESCE(b.body, ''), '' ORDER BY s.section_id) AS text FROM sections s LEFT JOIN bd b USING (doc_id, section_id) GROUP BY s.doc_id")
+@query(MARKDOWN_SQL + f" SELECT s.doc_id, {PAGED_SQL} AS text FROM sections s LEFT JOIN bd b USING (doc_id, section_id) GROUP BY s.doc_id")
 def synth_markdown_pages(spark, sf_dir):
     return corpus(spark, sf_dir).to_markdown(MarkdownConfig(page_numbers=True))
 
