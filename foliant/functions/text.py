@@ -107,25 +107,27 @@ def numbering(text: Column) -> Column:
 
 def _numbering(text: Column) -> Column:
     """Struct (components array<struct<variant, ord>>, is_appendix, depth, prefix, rest) of the
-    number that a header begins with; null if there is none.  Variants: 0 Arabic, 1 Roman, 2 letter."""
+    number that a header begins with; null if there is none.  Variants: 0 Arabic, 1 Roman, 2 letter.
+    Arabic parts count for the depth whatever their size; components hold those up to MOST."""
     one = lambda v, o: F.array(F.struct(F.lit(v).alias("variant"), o.cast("long").alias("ord")))
-    numbers = lambda x: F.filter(F.transform(F.split(x, r"\."), lambda y: F.try_to_number(y, F.lit("9" * 12)).cast("long")), lambda y: y.isNotNull() & (y <= MOST))
+    digits = lambda x: F.filter(F.split(x, r"\."), lambda y: y.rlike("^[0-9]+$"))
+    numbers = lambda x: F.filter(F.transform(digits(x), lambda y: y.try_cast("decimal(38,0)")), lambda y: y <= MOST)
     # the first form that matches: which, its number, and all that it takes up
     forms = F.array(*[F.struct(F.lit(k).alias("k"), _part(text, p).alias("n"), _part(text, p, 0).alias("whole")) for k, p in enumerate((APPENDIX, ARABIC, ROMAN, ALPHA))])
 
     def components(f: Column) -> Column:
-        arabic = F.transform(numbers(f.n), lambda x: F.struct(F.lit(0).alias("variant"), x.alias("ord")))
+        arabic = F.transform(numbers(f.n), lambda x: F.struct(F.lit(0).alias("variant"), x.cast("long").alias("ord")))
         return F.when(f.k == 1, arabic).when(f.k == 2, let(roman_value(f.n), lambda v: one(1, v))).otherwise(one(2, F.ascii(f.n) - 64))
 
     def key(f: Column) -> Column:
         return let(
             components(f),
             lambda c: F.struct(
-                c.alias("components"), (f.k == 0).alias("is_appendix"), F.greatest(F.size(c), F.lit(1)).alias("depth"), trim(f.whole).alias("prefix"), trim(F.substring(text, F.length(f.whole) + 1, F.length(text))).alias("rest")
+                c.alias("components"), (f.k == 0).alias("is_appendix"), F.when(f.k == 1, F.size(digits(f.n))).otherwise(1).alias("depth"), trim(f.whole).alias("prefix"), trim(F.substring(text, F.length(f.whole) + 1, F.length(text))).alias("rest")
             ),
         )
 
-    good = F.filter(forms, lambda f: (f.n != "") & ((f.k != 1) | (F.size(numbers(f.n)) > 0)) & ((f.k != 2) | roman_value(f.n).isNotNull()))
+    good = F.filter(forms, lambda f: (f.n != "") & ((f.k != 1) | (F.size(digits(f.n)) > 0)) & ((f.k != 2) | roman_value(f.n).isNotNull()))
     return F.get(F.transform(F.slice(good, F.lit(1), F.lit(1)), key), F.lit(0))
 
 

@@ -288,3 +288,18 @@ def test_synth_queries_hold_whole_texts(spark, tmp_path):
             at = joined.index(x, at) + len(x)
     md = {r.doc_id: bare(r.text) for r in QUERIES["synth_markdown"](spark, str(tmp_path)).collect()}
     assert all(f"w{i}x19" in md[2] for i in range(23)) and "w0x19" in md[1]
+
+
+def test_numbering_of_long_numbers(spark):
+    """A number that no unsigned 32-bit integer holds is a section number too, and counts for the depth."""
+    rows = ["16455460745 inges to.", "3.16455460745 x", "4294967295 y", "1." + "9" * 50 + ".2 z", "٣ w"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, text string").select("id", T.numbering(F.col("text")).alias("k"))
+    got = [r.k and (r.k.prefix, r.k.rest, r.k.depth, [c.ord for c in r.k.components]) for r in d.orderBy("id").collect()]
+    assert got == [("16455460745", "inges to.", 1, []), ("3.16455460745", "x", 2, [3]), ("4294967295", "y", 1, [4294967295]), ("1." + "9" * 50 + ".2", "z", 3, [1, 2]), None]
+
+
+def test_long_number_header(spark):
+    spans = [span(0, "1 Intro", 72.0, 700.0, 14.0, True), span(1, "Body of the first section.", 72.0, 660.0), span(2, "16455460745 inges to.", 72.0, 600.0), span(3, "Body of the second section.", 72.0, 560.0)]
+    d = DocumentSet(spark.createDataFrame(spans, SPANS))
+    assert [(r.section_id, r.header, r.numbering) for r in d.sections.orderBy("section_id").collect()] == [(0, "Intro", "1"), (1, "inges to.", "16455460745")]
+    assert d.warnings.filter("kind = 'SectionNumberingAnomaly'").count() == 0
