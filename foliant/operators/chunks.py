@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from ..schema import CHUNKS
 from .sections import KEY, bodies, figure_text
 
 Count = Callable[[str], int]
+DOCS = 200  # documents whose sections are Python objects at a time
 _SENTENCE = re.compile(r"(?<=[。！？])|(?<=[.!?])(?=\s)")
 
 
@@ -196,16 +198,28 @@ def chunks(sections: DataFrame, section_blocks: DataFrame, figures: DataFrame, t
 
         cfg = replace(cfg, strategy="section", section_context=False)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    unit = F.struct("pick", "section_id", "header", "breadcrumb", "page_start", "page_end", "text")
+    units = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(unit)).alias("units"))
+
+    def fold(batches):
         count = counter() if counter else py_tokens
-        units = pdf.sort_values("pick", kind="stable").to_dict("records")
-        for u in units:
-            u["prefix"] = context_prefix(list(u["breadcrumb"]), u["header"]) if cfg.section_context else ""
-        out = pd.DataFrame(chunk_units(units, cfg, count), columns=[c.split()[0] for c in CHUNKS.split(", ")][1:])
-        out.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return out
-
-    return rows.groupBy("doc_id").applyInPandas(fold, CHUNKS)
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS):
+                part = batch.slice(at, DOCS)
+                ids, cols = [], [[] for _ in names]
+                for i, group in enumerate(part.column(1).to_pylist()):
+                    for u in group:
+                        u["prefix"] = context_prefix(u["breadcrumb"], u["header"]) if cfg.section_context else ""
+                    for c in chunk_units(group, cfg, count):
+                        ids.append(i)
+                        for values, name in zip(cols, names, strict=True):
+                            values.append(c[name])
+                arrays = [part.column(0).take(pa.array(ids, pa.int64())), *[pa.array(v, t) for v, t in zip(cols, kinds, strict=True)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names])
+
+    names = [c.split()[0] for c in CHUNKS.split(", ")][1:]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+    return units.mapInArrow(fold, CHUNKS)
 
 
 def chunk_lines(chunk_rows: DataFrame, figures: DataFrame, tables: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -118,16 +118,19 @@ def numbering_anomalies(header_rows: DataFrame) -> DataFrame:
     return found.unionByName(rows.filter("_again").select("doc_id", "block_index", "page", F.lit("Duplicate").alias("kind")))
 
 
-def split_sections(ordered: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sections, section_blocks) of marked blocks in reading order.  A section runs from a header to
-    the next; a preamble counts only with blocks; a document without blocks (``docs`` names all)
-    has one empty section.  ``section_id`` is the flat, pre-order index; ``parent_id`` the latest
-    earlier smaller level."""
-    is_header = F.col("header").isNotNull()
+def number_sections(ordered: DataFrame) -> DataFrame:
+    """Marked blocks in reading order with ``section_id``, the flat, pre-order index of their section: one
+    runs from a header to the next, and a preamble counts only with blocks."""
     run = Window.partitionBy("doc_id").orderBy("reading_seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = ordered.withColumn("_n", F.sum(is_header.cast("int")).over(run))
+    rows = ordered.withColumn("_n", F.sum(F.col("header").isNotNull().cast("int")).over(run))
     lead = F.min("_n").over(Window.partitionBy("doc_id"))
-    rows = rows.withColumn("section_id", (F.col("_n") - lead).cast("long"))
+    return rows.withColumn("section_id", (F.col("_n") - lead).cast("long")).drop("_n")
+
+
+def split_sections(rows: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections, section_blocks) of the rows of ``number_sections``.  A document without blocks
+    (``docs`` names all) has one empty section.  ``parent_id`` is the latest earlier smaller level."""
+    is_header = F.col("header").isNotNull()
     seq = lambda when: F.when(when, F.col("reading_seq"))
     s = rows.groupBy("doc_id", "section_id").agg(
         F.first("header", ignorenulls=True).alias("_h"),
@@ -150,7 +153,7 @@ def split_sections(ordered: DataFrame, docs: DataFrame | None = None) -> tuple[D
         F.coalesce("_last", "_first", "_at.page", F.lit(0)).alias("page_end"),
         F.coalesce("n_blocks", F.lit(0).cast("long")).alias("n_blocks"),
     )
-    return tree(s), rows.filter(~is_header).drop("header", "_n")
+    return tree(s), rows.filter(~is_header).drop("header")
 
 
 def tree(sections: DataFrame, max_level: int = 6) -> DataFrame:

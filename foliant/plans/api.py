@@ -87,12 +87,17 @@ class DocumentSet:
     # ---- structure
 
     @cached_property
-    def blocks(self) -> DataFrame:
-        """Blocks with their types, and ``header`` where they are one."""
+    def _numbered(self) -> DataFrame:
+        """Blocks with their places in reading order and in sections: kept, so that no output sorts them again."""
         c = self.config
         typed = structure.classify(self.raw_blocks, c.caption_max_chars, c.running_header_max_chars)
         typed = structure.repeated_running(typed) if c.headers.detect_repeated_running else typed.withColumn("reclassified", F.lit(False))
-        return self._once(structure.mark_headers(typed, c.headers))
+        return self._once(structure.number_sections(layout.reading_order(structure.mark_headers(typed, c.headers), c.reading_order)))
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """Blocks with their types, and ``header`` where they are one."""
+        return self._numbered.drop("reading_seq", "section_id")
 
     @cached_property
     def headers(self) -> DataFrame:
@@ -130,7 +135,7 @@ class DocumentSet:
 
     @cached_property
     def _split(self) -> tuple[DataFrame, DataFrame]:
-        return structure.split_sections(layout.reading_order(self.blocks, self.config.reading_order), self.papers)
+        return structure.split_sections(self._numbered, self.papers)
 
     @property
     def sections(self) -> DataFrame:
@@ -208,7 +213,8 @@ class DocumentSet:
         return C.chunks(self.sections, self.section_blocks, self.figures, self.tables, cfg, counter=counter)
 
     def chunk_lines(self, chunk_rows: DataFrame) -> DataFrame:
-        return C.chunk_lines(chunk_rows, self.figures, self.tables, self._papers)
+        """``chunk_rows`` are read three times, so they are kept like blocks."""
+        return C.chunk_lines(self._once(chunk_rows), self.figures, self.tables, self._papers)
 
 
 @dataclass

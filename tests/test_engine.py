@@ -303,3 +303,31 @@ def test_long_number_header(spark):
     d = DocumentSet(spark.createDataFrame(spans, SPANS))
     assert [(r.section_id, r.header, r.numbering) for r in d.sections.orderBy("section_id").collect()] == [(0, "Intro", "1"), (1, "inges to.", "16455460745")]
     assert d.warnings.filter("kind = 'SectionNumberingAnomaly'").count() == 0
+
+
+def test_chunk_lines_pack_once(paper, tmp_path):
+    """The lines read the chunks three times; the packing behind them runs once."""
+    log = str(tmp_path / "counted")
+
+    def counter():
+        from foliant.functions.text import py_tokens
+
+        def count(text):
+            with open(log, "a") as f:
+                f.write("x")
+            return py_tokens(text)
+
+        return count
+
+    rows = paper.to_chunks(ChunkConfig(max_tokens=30, overlap_tokens=4), counter)
+    n = len(rows.collect())
+    once = len(open(log).read())
+    assert len(paper.chunk_lines(rows).collect()) == n and len(open(log).read()) == 2 * once
+
+
+def test_kept_blocks_know_their_sections(paper):
+    """Nothing is sorted or numbered again above the kept blocks."""
+    plan = lambda node: [node.nodeName(), *[x for i in range(node.children().size()) for x in plan(node.children().apply(i))]]
+    names = plan(paper.section_blocks._jdf.queryExecution().withCachedData())
+    assert {"InMemoryRelation", "LogicalRDD"} & set(names) and "Window" not in names
+    assert not {"reading_seq", "section_id"} & set(paper.blocks.columns)
