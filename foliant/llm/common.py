@@ -314,11 +314,16 @@ def running(df: DataFrame, group: list[str], order: list, value: str, name: str)
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let the JVM drop shuffle files that no live plan needs; long jobs hold many otherwise."""
+    """Let the JVM drop shuffle files that no live plan needs; long jobs hold many otherwise.  Executors
+    collect their garbage too: a heap grows to its limit and stays there, beside the Python workers,
+    and each process that it starts shows as much again until it runs a program of its own."""
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if spark.sparkContext.master.split("[")[0] != "local":
+        n = spark.sparkContext.defaultParallelism  # a task for each core, so that every executor has some
+        spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
 
 
 BITS_WORDS = 1 << 20

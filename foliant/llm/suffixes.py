@@ -218,6 +218,7 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
 
     counts = d.select("text").mapInArrow(released(leads), "lead long, n long").groupBy("lead").agg(F.sum("n").alias("n"))
     table = bit_table(counts.filter("n > 1").select("lead"))
+    tidy(spark)
 
     def emit(batches):
         for batch in batches:
@@ -230,6 +231,7 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
                     yield pa.RecordBatch.from_arrays(cols, names=["dh", "th", "k", "c", "size", "lead", "content"])
 
     places = store(d.mapInArrow(released(emit), "dh long, th long, k long, c long, size long, lead long, content long"), "suf-runs")
+    tidy(spark)
     kinds = places.groupBy("lead", "content").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
     kinds = store(kinds, "suf-kinds")
     tidy(spark)
@@ -312,7 +314,9 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return store(out, "suf-starts")
+    out = store(out, "suf-starts")
+    tidy(spark)
+    return out
 
 
 def crowded_windows(rows: DataFrame, lengths: tuple[int, ...], first_stays: bool) -> DataFrame:
@@ -450,6 +454,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, as_text: bool
     per = found.groupBy("dh", "th").agg(F.sort_array(F.collect_set(F.struct("w", "from", "to"))).alias("ranges"))
     per = store(per.select(F.col("dh").alias("_d"), F.col("th").alias("_t"), "ranges"), "suf-ranges")
     table = bit_table(per.select(F.xxhash64("_d", "_t").alias("h")))
+    tidy(spark)
     order = ["doc_id", "text", "ranges", *keep]
     nothing = F.lit(0).cast("long")
 

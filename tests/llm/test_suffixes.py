@@ -142,3 +142,33 @@ def test_multikey_order():
     t = rng.integers(0, 3, (500, 6)).astype(np.uint64)
     got = t[multikey_order(t)].tolist()
     assert got == sorted(t.tolist())
+
+
+def test_executors_give_memory_back(tmp_path):
+    """On a cluster ``tidy`` collects the garbage of every executor, not the driver's alone."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import pyspark
+
+    home = tmp_path / "home"  # executors work in Spark's home
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    code = f"""
+from pyspark.sql import SparkSession
+from foliant.llm.common import tidy
+conf = {{"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.executor.extraJavaOptions": "-Xlog:gc:file={tmp_path}/gc-%p.log"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+while spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() < 3:
+    pass
+tidy(spark)
+spark.stop()
+"""
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], env=env, check=True, timeout=120, cwd=tmp_path)
+    logs = [p.read_text() for p in tmp_path.glob("gc-*.log")]
+    assert len(logs) == 2 and all("System.gc()" in x for x in logs)
