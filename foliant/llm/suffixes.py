@@ -67,10 +67,38 @@ def _hash(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sums(data: np.ndarray) -> np.ndarray:
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * powers()[: len(data)], out=total[1:])
+    codes = BYTE_CODES.take(data)
+    codes *= powers()[: len(data)]
+    np.cumsum(codes, out=total[1:])
     return total
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``mix`` in place."""
+    y = x >> np.uint64(30)
+    x ^= y
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= np.right_shift(x, np.uint64(27), out=y)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= np.right_shift(x, np.uint64(31), out=y)
+    return x
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbours, by those of 2, 4, 8, ..., in place."""
+    k, n = 1, len(x)
+    while 2 * k <= width:
+        np.minimum(x[: n - k], x[k:n], out=x[: n - k])
+        n, k = n - k, 2 * k
+    if k < width:
+        np.minimum(x[: n - width + k], x[width - k : n], out=x[: n - width + k])
+        n -= width - k
+    return x[:n]
+
+
+_PLACES = np.arange(SEGMENT, dtype=np.uint64)
+
+
 def segments(texts: list[bytes], shape: Shape):
     """(buffer, [(text number, offset in text, offset in buffer, length, starts)]): whole texts
     together, long ones in pieces that overlap, so that each start has all its bytes."""
@@ -97,20 +125,22 @@ def runs(texts: list[bytes], shape: Shape):
         n, reach = len(data), shape.reach
         total = _sums(data)
         grams = n - GRAM + 1
-        p = np.arange(grams)
-        g = (_hash(total, p, p + GRAM) & ~np.uint64(SEGMENT - 1)) | p.astype(np.uint64)
-        room = -(-grams // reach) * reach + reach
-        g = np.concatenate([g, np.full(room - grams, np.uint64(2**64 - 1))]).reshape(-1, reach)
-        ahead = np.minimum.accumulate(g, 1).ravel()
-        behind = np.minimum.accumulate(g[:, ::-1], 1)[:, ::-1].ravel()
-        starts = np.concatenate([np.arange(o, o + k) for _, _, o, _, k in held])
-        anchor = (np.minimum(behind[starts], ahead[starts + reach - 1]) & np.uint64(SEGMENT - 1)).astype(np.int64)
-        new = np.ones(len(starts), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
+        g = _mixed((total[GRAM:] - total[:grams]) * powers()[SEGMENT - grams + 1 : SEGMENT + 1][::-1])
+        g &= ~np.uint64(SEGMENT - 1)
+        g |= _PLACES[:grams]
+        room = n - shape.base + reach
+        if grams < room:
+            g = np.concatenate([g, np.full(room - grams, np.uint64(2**64 - 1))])
+        least = _least(g, reach)  # no two are equal but by having one anchor
+        of = np.array([(h[2], h[2] + h[4]) for h in held])
         # adjacent texts in the buffer never give consecutive starts: base - 1 lie between
-        first = np.flatnonzero(new)
-        s, a, c = starts[first], anchor[first], np.diff(np.append(first, len(starts)))
-        which = np.searchsorted(np.array([o for _, _, o, _, _ in held]), s, side="right") - 1
+        new = least[1:] != least[:-1]
+        new[of[1:, 0] - 1] = True
+        s = np.concatenate([[0], np.flatnonzero(new) + 1])
+        which = np.searchsorted(of[:, 0], s, side="right") - 1
+        c = np.minimum(np.append(s[1:], n), of[which, 1]) - s
+        s, c, which = (x[c > 0] for x in (s, c, which))
+        a = (least[s] & np.uint64(SEGMENT - 1)).astype(np.int64)
         place = np.array([(h[0], h[1] - h[2], h[2] + h[3]) for h in held])[which]
         size = np.minimum(c - 1 + shape.top, place[:, 2] - s)
         lead = _hash(total, a, a + shape.lead)
@@ -204,8 +234,8 @@ FOUND = "dh long, th long, w int, `from` long, `to` long"
 
 
 def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool = False) -> DataFrame:
-    """(dh, th, w, from, to): ranges of starts of repeated windows of w bytes, for each of ``lengths``,
-    in the rows of ``docs`` (dh, th, text), dh a hash of the document below 2^62 and th of its text.  An
+    """(dh, th, w, from, to): ranges of starts of repeated windows of w bytes, for each of ``lengths``
+    (a start that a range of a greater w holds may be told there alone), in the rows of ``docs`` (dh, th, text), dh a hash of the document below 2^62 and th of its text.  An
     occurrence is k = dh + start: documents in order of dh, and starts in order within one."""
     spark, shape = docs.sparkSession, Shape(min(lengths), max(lengths))
     d = docs.filter(F.octet_length("text") >= shape.base).select("dh", "th", "text")
@@ -254,7 +284,8 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
                 k = k[in_table(wanted, dh[text[k]] + at[k])]
                 if not len(k):
                     continue
-                raw = [data[a : a + n].tobytes() for a, n in zip(s[k].tolist(), size[k].tolist(), strict=True)]
+                whole_ = data.tobytes()
+                raw = [whole_[a : a + n] for a, n in zip(s[k].tolist(), size[k].tolist(), strict=True)]
                 front = [r[o : o + 16] for r, o in zip(raw, off[k].tolist(), strict=True)]
                 t, parts = text[k], split.array[(lead[k] & np.uint64(SLOTS - 1)).astype(np.int64)]
                 cols = [pa.array(front, pa.binary()), *[_long(x) for x in (lead[k], dh[t], th[t], dh[t] + at[k], c[k], off[k])], pa.array(parts), pa.array(raw, pa.binary())]
@@ -308,9 +339,12 @@ def repeated_starts(docs: DataFrame, lengths: tuple[int, ...], first_stays: bool
     if first_stays:
         whole = whole.filter("k <> first")
     whole = whole.withColumn("s", F.col("k") - F.col("dh"))
-    for w in lengths:
-        until = F.col("s") + F.least("c", F.col("size") - (w - 1))
-        parts.append(whole.select("dh", "th", F.lit(w).alias("w"), F.col("s").alias("from"), until.alias("to")).filter("`from` < `to`"))
+    # a start that repeats for w bytes repeats for fewer: those are told for the starts left only
+    told = F.col("s")
+    for w in sorted(lengths, reverse=True):
+        until = F.greatest(told, F.col("s") + F.least("c", F.col("size") - (w - 1)))
+        parts.append(whole.select("dh", "th", F.lit(w).alias("w"), told.alias("from"), until.alias("to")).filter("`from` < `to`"))
+        told = until
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -328,21 +362,34 @@ def crowded_windows(rows: DataFrame, lengths: tuple[int, ...], first_stays: bool
     order = ["lead", "w", "h", "dh", "at", "th"]
     wide = "lead long, w int, h long, dh long, at long, th long"
 
-    def stretches_of(raw: bytes, off: int, starts: int):
-        """Per length: the run's hash sums, windows and, for each, the hash of what all windows that
-        begin within the same FINE bytes before the anchor have in common."""
-        total = _sums(np.frombuffer(raw, np.uint8))
-        for w in lengths:
-            a = np.arange(min(starts, len(raw) - w + 1))
-            if len(a):
-                near = (off - a) // FINE * FINE
-                core = _hash(total, off - near, off - near + w - FINE + 1) + (near + w).astype(np.uint64)
-                yield w, total, a, core.view(np.int64)
+    def stretches_of(raw: list[bytes], off: np.ndarray, starts: np.ndarray):
+        """Per length, for some runs at a time: the runs' hash sums, and of each window its run, its
+        start in the run and in the sums, and the hash of what all windows that begin within the same
+        FINE bytes before the anchor have in common."""
+        size = np.array([len(r) for r in raw])
+        i = 0
+        while i < len(raw):
+            j, n = i + 1, int(size[i])
+            while j < len(raw) and n + size[j] <= SEGMENT:
+                n, j = n + int(size[j]), j + 1
+            total = _sums(np.frombuffer(b"".join(raw[i:j]), np.uint8))
+            at = np.cumsum(size[i:j]) - size[i:j]
+            for w in lengths:
+                n = np.maximum(np.minimum(starts[i:j], size[i:j] - w + 1), 0)
+                if n.any():
+                    own = np.repeat(np.arange(j - i), n)
+                    a = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                    near = (off[i:j][own] - a) // FINE * FINE
+                    b = at[own] + off[i:j][own] - near
+                    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (near[1:] != near[:-1])]))
+                    core = _hash(total, b[new], b[new] + w - FINE + 1) + (near[new] + w).astype(np.uint64)
+                    yield w, total, i + own, a, at[own] + a, core.view(np.int64), np.diff(np.append(new, len(own)))
+            i = j
 
     def cores(batches):
         for batch in batches:
-            off, starts = batch.column(6).to_pylist(), batch.column(5).to_pylist()
-            out = [np.unique(x[3]) for r in zip(batch.column(8).to_pylist(), off, starts, strict=True) for x in stretches_of(*r)]
+            off, starts = batch.column(6).to_numpy(), batch.column(5).to_numpy()
+            out = [x[5] for x in stretches_of(batch.column(8).to_pylist(), off, starts)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["core"])
 
@@ -355,12 +402,11 @@ def crowded_windows(rows: DataFrame, lengths: tuple[int, ...], first_stays: bool
         for batch in batches:
             lead, dh, th, k, starts, off = (batch.column(j).to_numpy() for j in (1, 2, 3, 4, 5, 6))
             out = []
-            for i, raw in enumerate(batch.column(8).to_pylist()):
-                for w, total, a, core in stretches_of(raw, int(off[i]), int(starts[i])):
-                    a = a[in_table(shared, core)]
-                    if len(a):
-                        one = np.ones(len(a), np.int64)
-                        out.append(np.stack([i * one, w * one, _hash(total, a, a + w).view(np.int64), a]))
+            for w, total, own, a, at, core, many in stretches_of(batch.column(8).to_pylist(), off, starts):
+                some = np.repeat(in_table(shared, core), many)
+                if some.any():
+                    own, a, at = own[some], a[some], at[some]
+                    out.append(np.stack([own, np.full(len(a), w), _hash(total, at, at + w).view(np.int64), a]))
             if not out:
                 continue
             row, w, h, a = np.concatenate(out, 1)
@@ -451,7 +497,10 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, as_text: bool
     d = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"), *keep)
     d = d.withColumn("dh", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "th"), 2))
     found = repeated_starts(d.select("dh", "th", "text"), lengths, first_stays)
-    per = found.groupBy("dh", "th").agg(F.sort_array(F.collect_set(F.struct("w", "from", "to"))).alias("ranges"))
+    # a range as one long: from, how many starts (fewer than a segment has), which length
+    which = F.array_position(F.array(*[F.lit(w) for w in lengths]), F.col("w")) - 1
+    code = F.shiftleft("from", 32).bitwiseOR(F.shiftleft(F.col("to") - F.col("from"), 8)).bitwiseOR(which)
+    per = found.groupBy("dh", "th").agg(F.collect_set(code).alias("ranges"))
     per = store(per.select(F.col("dh").alias("_d"), F.col("th").alias("_t"), "ranges"), "suf-ranges")
     table = bit_table(per.select(F.xxhash64("_d", "_t").alias("h")))
     tidy(spark)
@@ -467,25 +516,35 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, as_text: bool
     hit = marked.filter("_hit").join(per.hint("merge"), (F.col("dh") == F.col("_d")) & (F.col("th") == F.col("_t")), "left").select(*order)
     schema = free.schema
 
-    def merged(t: bytes, ranges: list, w: int, words: int) -> list[tuple[int, int]]:
-        """Bytes that the windows of w bytes cover, runs of fewer words left out."""
-        out: list[list[int]] = []
-        for r in ranges:
-            if r["w"] != w:
-                continue
-            a, b = r["from"], r["to"] - 1 + w
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], b)
-            else:
-                out.append([a, b])
-        return [(a, b) for a, b in out if not words or len(t[a:b].split()) >= words]
+    def merged(texts: list[bytes], row: np.ndarray, code: np.ndarray, w: int, words: int) -> list[list[tuple[int, int]]]:
+        """Per text the bytes that its windows of w bytes cover, runs of fewer words left out."""
+        out = [[] for _ in texts]
+        some = np.array(lengths)[code & 255] >= w
+        row, code = row[some], code[some]
+        if len(row):
+            first = (row << 32) + (code >> 32)
+            order = np.argsort(first)
+            first, until = first[order], (first + (code >> 8 & (1 << 24) - 1) - 1 + w)[order]
+            until = np.maximum.accumulate(until)
+            # texts begin more than a text apart, so that none reaches into the next
+            new = np.flatnonzero(np.concatenate([[True], first[1:] > until[:-1]]))
+            a, b = first[new], until[np.append(new[1:], len(first)) - 1]
+            r = a >> 32
+            for k, x, y in zip(r.tolist(), (a - (r << 32)).tolist(), (b - (r << 32)).tolist(), strict=True):
+                if not words or len(texts[k][x:y].split()) >= words:
+                    out[k].append((x, y))
+        return out
 
     def cut(batches):
         for batch in batches:
             n, removed, spans, passage, kept = [], [], [], [], []
-            for t, ranges in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            texts, ranges = utf8(batch.column(1)), batch.column(2)
+            row = np.repeat(np.arange(len(texts)), ranges.value_lengths().fill_null(0).to_numpy())
+            code = ranges.flatten().to_numpy()
+            covered = merged(texts, row, code, length, least_words)
+            whole = merged(texts, row, code, PASSAGE, PASSAGE_WORDS) if passages else None
+            for i, (t, gone) in enumerate(zip(texts, covered, strict=True)):
                 out, at = [], 0
-                gone = merged(t, ranges or [], length, least_words)
                 for a, b in gone:
                     out.append(t[at:a])
                     at = b
@@ -493,7 +552,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, as_text: bool
                 n.append(len(t))
                 removed.append(sum(b - a for a, b in gone))
                 spans.append(len(gone))
-                passage.append(sum(b - a for a, b in merged(t, ranges or [], PASSAGE, PASSAGE_WORDS)) if passages else None)
+                passage.append(sum(b - a for a, b in whole[i]) if passages else None)
                 rest = b"".join(out)
                 kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
             cols = [batch.column(0), _long(n), _long(removed), _long(spans), pa.array(passage, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), *[batch.column(order.index(c)) for c in keep]]

@@ -132,6 +132,28 @@ def test_sorted_neighbours():
         assert x[:n] == y[:n] and (n == min(len(x), len(y)) or x[n] != y[n])
 
 
+def test_a_repeated_start_is_told_once(spark):
+    """Not once for each length: such rows were a half of what op8 wrote and grouped."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    same = [words(rng, 150), words(rng, 900)]
+    df = spark.createDataFrame([(1 << 32, same[0]), (2 << 32, same[0]), (3 << 32, same[1]), (4 << 32, same[1])], "dh long, text string")
+    suffixes.small_batches(spark, 500)
+    found = suffixes.repeated_starts(df.withColumn("th", F.xxhash64("text")), (LENGTH, PASSAGE)).collect()
+    told = Counter((r.dh, r.w, s) for r in found for s in range(r["from"], r["to"]))
+    sizes = {i + 1: len(same[i // 2].encode()) for i in range(4)}
+    assert sorted(told) == sorted((i << 32, LENGTH if s <= n - LENGTH else PASSAGE, s) for i, n in sizes.items() for s in range(n - PASSAGE + 1))
+    assert set(told.values()) == {1}
+
+
+def test_least_of_neighbours():
+    rng = np.random.default_rng(1)
+    for width in (1, 2, 3, 64, 120, 200):
+        x = rng.integers(0, 50, 300).astype(np.uint64)
+        assert suffixes._least(x.copy(), width).tolist() == [x[i : i + width].min() for i in range(301 - width)]
+
+
 def test_no_rows_and_one(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, "x")]) == brute([(1, "x")])
